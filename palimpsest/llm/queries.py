@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covering_simhash, language_id, line_dedup, lsm_dedup, piecewise_hash, sp_chunks, token_spans, vector_packing
+from . import covering_simhash, language_id, line_dedup, lsm_dedup, piecewise_hash, pseudonyms, sp_chunks, token_spans, vector_packing, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,18 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise_hash.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_spans.section_tokens(table(spark, sf_dir, "documents"), rule="majority")
 
@@ -50,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_fingerprints, op4_language_id, op6_section_tokens, op7_sentencepiece, op8_exact_dedup, op9_simhash, op10_packing)
+    for f in (op1_line_dedup, op2_fingerprints, op3_html_text, op4_language_id, op5_pseudonyms, op6_section_tokens, op7_sentencepiece, op8_exact_dedup, op9_simhash, op10_packing)
 }
 
 ORACLES: dict[str, str] = {
