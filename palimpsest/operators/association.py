@@ -41,7 +41,7 @@ def by_box_iou(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str
         return df.withColumn("cell", pack_voxel(F.col("_i"), F.col("_j"), F.col("_k")))
 
     a = dealt(left.select(left_id, *equal, *low, *high))
-    b = dealt(right.select(F.col(right_id).alias(f"right_{right_id}"), *equal, *[F.col(c).alias(f"r_{c}") for c in (*low, *high)])).select(f"right_{right_id}", *equal, *[f"r_{c}" for c in (*low, *high)], "cell")
+    b = dealt(right.select(right_id, *equal, *low, *high)).select(F.col(right_id).alias(f"right_{right_id}"), *equal, *[F.col(c).alias(f"r_{c}") for c in (*low, *high)], "cell")
     met = a.join(b, ["cell", *equal])
     for c, n in zip(low, "ijk", strict=True):
         met = met.where(F.col(f"_{n}") == voxel(F.greatest(F.col(c), F.col(f"r_{c}")), size))

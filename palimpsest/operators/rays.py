@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,12 +34,18 @@ def _cross2(a: Sequence[Column], b: Sequence[Column]) -> Column:
 
 
 def verify(points: DataFrame, rays: DataFrame, *, point_id: str, ray_id: str, ts: str = "ts", block: float, radial: float, depth: float, earliest: Column | None = None, latest: Column | None = None) -> DataFrame:
-    """point_id, ray_id, ts, verdict for rays that pass a point's own cell within the radial tolerance: a ray that goes on
-    behind the point by more than the depth tolerance shows its absence, one that ends at it its presence; one that ends
-    before it shows nothing and is "occluded". earliest and latest bound ts and may name columns of the points."""
+    """point_id, ray_id, ts, verdict for rays that pass a point within the radial tolerance: a ray that goes on behind the
+    point by more than the depth tolerance shows its absence, one that ends at it its presence; one that ends before it
+    shows nothing and is "occluded". earliest and latest bound ts and may name columns of the points.
+
+    A ray's samples are at most a quarter block apart, so a point goes to all cells within the tolerance and half of that."""
     cells = ray_blocks(rays, ray_id, block, grow=depth)
-    at = points.withColumn("cell", pack_voxel(*[voxel(F.col(c), block) for c in POINT]))
-    met = at.join(cells, "cell").join(rays.select(ray_id, ts, *SOURCE, *TARGET), ray_id)
+    near = math.hypot(radial, block / 8) + 1e-9
+    at = points.select(point_id, *POINT)
+    for c, n in zip(POINT, "ijk", strict=True):
+        at = at.withColumn(f"_{n}", F.explode(F.sequence(voxel(F.col(c) - near, block), voxel(F.col(c) + near, block))))
+    pairs = at.select(point_id, pack_voxel(F.col("_i"), F.col("_j"), F.col("_k")).alias("cell")).join(cells, "cell").select(point_id, ray_id).distinct()
+    met = pairs.join(points, point_id).join(rays.select(ray_id, ts, *SOURCE, *TARGET), ray_id)
     if earliest is not None:
         met = met.where(F.col(ts) >= earliest)
     if latest is not None:
