@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import LOWER, saved
+from .common import LOWER, free_name, saved
 
 #: Fingerprints of one bucket that one task takes, and of all buckets dealt to it on average.
 BUCKET, SHARE = 50_000, 40_000
@@ -153,5 +153,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
     """docs without those that are not their component's smallest id; of rows with equal ids all stay or go together."""
     near = near_duplicates(docs, id_col, text_col, radius=radius, width=width, seed=seed)
-    gone = near.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    of = free_name(docs, "gone")
+    gone = near.where("component_id < doc_id").select(F.col("doc_id").alias(of)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(of), "left_anti")

@@ -197,7 +197,7 @@ PROBE = "shard int, salt int, kind int, row long, lines array<int>, hi array<lon
 
 def _probe_dealt(docs: DataFrame, at: int, schema: T.StructType, names: pa.Schema, index: DataFrame, shards: int, min_chars: int) -> DataFrame:
     """Hashes go to the shards, packed per document and shard; line numbers come back."""
-    row, spark = free_name(docs, "row"), docs.sparkSession
+    row, of, gone_lines, spark = free_name(docs, "row"), free_name(docs, "of"), free_name(docs, "lines"), docs.sparkSession
     numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
     arrow = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), ("row", pa.int64()), ("lines", pa.list_(pa.int32())), ("hi", pa.list_(pa.int64())), ("lo", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("bits", "fingerprints", "counts")]])
@@ -230,8 +230,8 @@ def _probe_dealt(docs: DataFrame, at: int, schema: T.StructType, names: pa.Schem
     asked = numbered.select(docs.columns[at], row).mapInArrow(ask, PROBE)
     shelves = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "sizes", "bits", "fingerprints", "counts")
     met = asked.unionByName(shelves, allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    gone = met.mapInArrow(answer, "row long, lines array<int>").groupBy("row").agg(F.flatten(F.collect_list("lines")).alias("lines")).withColumnRenamed("row", "_of")
-    joined = numbered.join(gone, F.col(row) == F.col("_of"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "lines")
+    gone = met.mapInArrow(answer, "row long, lines array<int>").groupBy("row").agg(F.flatten(F.collect_list("lines")).alias(gone_lines)).withColumnRenamed("row", of)
+    joined = numbered.join(gone, F.col(row) == F.col(of), "left").select(*[F.col(f"`{c}`") for c in docs.columns], gone_lines)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
