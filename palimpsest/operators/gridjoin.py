@@ -28,12 +28,17 @@ def spread(df: DataFrame, coords: Sequence[str], size: float) -> DataFrame:
     return df.withColumn("_d", _around()).withColumn("cell", pack_voxel(*[voxel(F.col(c), size) + F.col(f"_d.{d}") for c, d in zip(coords, "ijk", strict=True)])).drop("_d")
 
 
-def pairs(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, right_id: str, coords: Sequence[str] = XYZ, equal: Sequence[str] = ()) -> DataFrame:
-    """left_id, right_id (as right_<right_id>), d2 for all pairs within the radius that agree on the columns in equal."""
-    a = left.select(left_id, *equal, *coords).withColumn("cell", cell(coords, radius))
-    b = spread(right.select(F.col(right_id).alias(f"right_{right_id}"), *equal, *[F.col(c).alias(f"_{c}") for c in coords]), [f"_{c}" for c in coords], radius)
+def pairs(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, right_id: str, coords: Sequence[str] = XYZ, equal: Sequence[str] = (), differ: str | None = None) -> DataFrame:
+    """left_id, right_id (as right_<right_id>), d2 for all pairs within the radius that agree on the columns in equal and,
+    if given, differ in one other."""
+    more = [differ] if differ else []
+    a = left.select(left_id, *equal, *more, *coords).withColumn("cell", cell(coords, radius))
+    b = spread(right.select(F.col(right_id).alias(f"right_{right_id}"), *equal, *[F.col(c).alias(f"_{c}") for c in (*more, *coords)]), [f"_{c}" for c in coords], radius)
     d2 = squared_distance([F.col(c) for c in coords], [F.col(f"_{c}") for c in coords])
-    return a.join(b, ["cell", *equal]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select(left_id, *equal, f"right_{right_id}", "d2")
+    met = a.join(b, ["cell", *equal])
+    for c in more:
+        met = met.where(F.col(c) != F.col(f"_{c}"))
+    return met.withColumn("d2", d2).where(F.col("d2") <= radius * radius).select(left_id, *equal, f"right_{right_id}", *more, *[f"_{c}" for c in more], "d2")
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, right_id: str, coords: Sequence[str] = XYZ, equal: Sequence[str] = ()) -> DataFrame:
