@@ -8,32 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .fold import ordered_fold
 
 
 def fragments(observations: DataFrame, key: str, ts: str, coords: Sequence[str], move: float) -> DataFrame:
     """key, fragment, birth, last_support, death, n, status: the observations of an entity in order; a step of more than
     move from the fragment's first position begins a new one, which ends the former. The last one is current.
 
-    A fold over each entity's history in order: higher-order functions, so nothing leaves the JVM. A history is bounded by
-    what one entity can be seen doing; observations are first thinned to one per stamp."""
-    point = F.struct(F.col(ts).alias("ts"), *[F.col(c).cast("double").alias(f"p{k}") for k, c in enumerate(coords)])
-    once = observations.groupBy(key, ts).agg(F.min(point).alias("o"))
-    history = once.groupBy(key).agg(F.sort_array(F.collect_list("o")).alias("h"))
-    kind = "array<struct<birth:bigint,last:bigint,n:bigint," + ",".join(f"p{k}:double" for k in range(len(coords))) + ">>"
-
-    def born(o: Column) -> Column:
-        return F.struct(o["ts"].alias("birth"), o["ts"].alias("last"), F.lit(1).cast("long").alias("n"), *[o[f"p{k}"].alias(f"p{k}") for k in range(len(coords))])
-
-    def step(seen: Column, o: Column) -> Column:
-        now = F.element_at(seen, -1)
-        d2 = sum(((o[f"p{k}"] - now[f"p{k}"]) * (o[f"p{k}"] - now[f"p{k}"]) for k in range(len(coords))), F.lit(0.0))
-        grown = F.struct(now["birth"].alias("birth"), o["ts"].alias("last"), (now["n"] + 1).alias("n"), *[now[f"p{k}"].alias(f"p{k}") for k in range(len(coords))])
-        return F.when(F.size(seen) == 0, F.array(born(o))).when(d2 > move * move, F.concat(seen, F.array(born(o)))).otherwise(F.concat(F.slice(seen, F.lit(1), F.size(seen) - 1), F.array(grown)))
-
-    folded = history.select(key, F.posexplode(F.aggregate("h", F.array().cast(kind), step)).alias("fragment", "f"), F.size("h").alias("_n"))
-    after = F.lead("f.birth").over(Window.partitionBy(key).orderBy("fragment"))
-    out = folded.select(key, "fragment", F.col("f.birth").alias("birth"), F.col("f.last").alias("last_support"), after.alias("death"), F.col("f.n").alias("n"))
-    return out.withColumn("status", F.when(F.col("death").isNull(), "current").otherwise("closed"))
+    Of equal stamps the least position counts. An ordered fold whose state is one fragment per key."""
+    least = observations.groupBy(key, ts).agg(F.min(F.struct(*[F.col(c).cast("double").alias(f"p{k}") for k, c in enumerate(coords)])).alias("p"))
+    once = least.select(key, F.col(ts).cast("long").alias("ts"), "p.*")
+
+    def closed(now: list, death: int | None) -> tuple:
+        return (now[0], now[1], now[2], now[3], death, now[4], "current" if death is None else "closed")
+
+    def step(now: list | None, row: tuple) -> tuple[list, list[tuple]]:
+        place = row[2:]
+        if now is None:
+            return [row[0], 0, row[1], row[1], 1, place], []
+        if sum((a - b) ** 2 for a, b in zip(place, now[5], strict=True)) > move * move:
+            return [row[0], now[1] + 1, row[1], row[1], 1, place], [closed(now, row[1])]
+        return [*now[:3], row[1], now[4] + 1, now[5]], []
+
+    kind = once.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, fragment bigint, birth bigint, last_support bigint, death bigint, n bigint, status string"
+    return ordered_fold(once, [key], ["ts"], step, lambda now: [closed(now, None)], schema)
 
 
 def geometry_owner(segments: DataFrame, key: str, order: Sequence[str], *, moved: Column, support: Column) -> DataFrame:

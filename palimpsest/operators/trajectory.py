@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import ordered_fold
+
 
 def merge(rows: DataFrame, key: str, ts: str, priority: str) -> DataFrame:
     """One row per entity and stamp: the one of least priority."""
@@ -40,10 +42,13 @@ def densify(rows: DataFrame, key: str, ts: str, values: Sequence[str], step: int
 
 
 def throttle(rows: DataFrame, key: str, ts: str, spacing: int) -> DataFrame:
-    """Rows at least spacing after the last one kept, from the first on: a fold over each key's distinct stamps."""
-    history = rows.groupBy(key).agg(F.array_sort(F.collect_set(ts)).alias("_h"))
-    kept = F.aggregate("_h", F.array().cast("array<bigint>"), lambda a, t: F.when((F.size(a) == 0) | (t >= F.element_at(a, -1) + spacing), F.concat(a, F.array(t))).otherwise(a))
-    return rows.join(history.select(key, F.explode(kept).alias(ts)), [key, ts], "left_semi")
+    """Rows at least spacing after the last one kept, from the first on: an ordered fold whose state is one stamp."""
+    stamps = rows.select(key, ts).distinct()
+
+    def step(last: int | None, row: tuple) -> tuple[int, list[tuple]]:
+        return (row[1], [row]) if last is None or row[1] >= last + spacing else (last, [])
+
+    return rows.join(ordered_fold(stamps, [key], [ts], step, lambda _: [], stamps.schema), [key, ts], "left_semi")
 
 
 def slices(rows: DataFrame, map_time: str, query_time: str) -> DataFrame:

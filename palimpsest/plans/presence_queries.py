@@ -314,6 +314,11 @@ ORACLES = {
     "catalog_override": "SELECT CASE WHEN c_nationkey = 0 THEN -1 ELSE n_regionkey END AS region_id, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
     "missing_entities": """SELECT c_custkey AS entity, 'missing' AS side FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)
         UNION ALL SELECT DISTINCT user_id, 'unexpected' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)""",
+    "object_state_fold": f"""WITH RECURSIVE {OBSERVATIONS}, u AS (SELECT entity, t, min(value) AS value, row_number() OVER (PARTITION BY entity ORDER BY t) AS k FROM o GROUP BY 1, 2),
+        f AS (SELECT entity, k, t, 0::BIGINT AS fragment, value AS anchor FROM u WHERE k = 1 UNION ALL
+              SELECT u.entity, u.k, u.t, CASE WHEN abs(u.value - f.anchor) > 60 THEN f.fragment + 1 ELSE f.fragment END, CASE WHEN abs(u.value - f.anchor) > 60 THEN u.value ELSE f.anchor END FROM f JOIN u ON u.entity = f.entity AND u.k = f.k + 1),
+        g AS (SELECT entity, fragment, min(t) AS birth, max(t) AS last_support, count(*) AS n FROM f GROUP BY 1, 2), d AS (SELECT *, lead(birth) OVER (PARTITION BY entity ORDER BY fragment) AS death FROM g)
+        SELECT entity, fragment, birth, last_support, death, n, CASE WHEN death IS NULL THEN 'current' ELSE 'closed' END AS status FROM d""",
     "segment_owner": f"""WITH {OBSERVATIONS}, d AS (SELECT entity, t // {7 * DAY} AS week, count(*) AS support, bool_or(value > 190) AS moved FROM o GROUP BY 1, 2)
         SELECT entity, week, support, moved FROM d QUALIFY row_number() OVER (PARTITION BY entity ORDER BY moved DESC, CASE WHEN moved THEN 0 ELSE support END DESC, week DESC) = 1""",
     "compare_runs": """WITH m AS (SELECT a.d AS a, b.d AS b FROM (SELECT p_partkey AS k, p_retailprice AS d FROM part WHERE p_partkey % 5 > 0) a FULL JOIN (SELECT p_partkey AS k, p_retailprice + p_size - 25 AS d FROM part WHERE p_partkey % 7 > 0) b USING (k))

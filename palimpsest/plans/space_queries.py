@@ -362,6 +362,11 @@ ORACLES = {
         SELECT vid AS fid, vid AS a, vid + 2 AS b, vid + 4 AS c FROM l WHERE vid + 2 IN (SELECT vid FROM l) AND vid + 4 IN (SELECT vid FROM l)""",
     "overwrite_recent": f"{_AB} SELECT vid, label FROM p QUALIFY max(vid) OVER (PARTITION BY {_cell(0.15)}) <= vid + 100",
     "vertex_renumber": f"{_AB} SELECT vid, row_number() OVER (ORDER BY label, vid) - 1 AS target FROM p",
+    "prior_match_greedy": f"""WITH RECURSIVE {POINTS}, c AS (SELECT a.vid, b.vid AS r, {_D2} AS d2, row_number() OVER (ORDER BY {_D2}, a.vid, b.vid) AS k FROM a JOIN b ON a.label = b.label AND {_D2} <= 0.12 * 0.12),
+        f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS l, []::BIGINT[] AS r UNION ALL
+              SELECT c.k, CASE WHEN list_contains(f.l, c.vid) OR list_contains(f.r, c.r) THEN f.l ELSE list_append(f.l, c.vid) END, CASE WHEN list_contains(f.l, c.vid) OR list_contains(f.r, c.r) THEN f.r ELSE list_append(f.r, c.r) END FROM f JOIN c ON c.k = f.k + 1),
+        m AS (SELECT unnest(l) AS vid, unnest(r) AS right_vid FROM (SELECT l, r FROM f ORDER BY k DESC LIMIT 1))
+        SELECT a.vid, right_vid, round(d2, 9) AS d2 FROM a LEFT JOIN m USING (vid) LEFT JOIN c ON c.vid = a.vid AND c.r = right_vid""",
     "memory_update_full_outer": f"""{_AB}, {_RAYS}, {_FREE}, la AS (SELECT *, label * 20 + (vid * 7) % 23 AS l FROM a), lb AS (SELECT *, label * 20 + (vid * 7) % 29 AS l FROM b),
         f AS (SELECT l, avg(x) AS cx, avg(CASE WHEN fc.n IS NOT NULL THEN 1 ELSE 0 END) AS free FROM (SELECT *, {_cell(0.15)} AS cell FROM la) LEFT JOIN fc USING (cell) GROUP BY 1), g AS (SELECT l, avg(x) AS cx FROM lb GROUP BY 1)
         SELECT CASE WHEN f.l IS NULL THEN 'new' WHEN g.l IS NULL AND free >= 0.5 THEN 'absent' WHEN g.l IS NULL THEN 'unobserved' WHEN abs(g.cx - f.cx) <= 0.1 THEN 'persistent' ELSE 'changed' END AS decision, count(*) AS n FROM f FULL JOIN g ON f.l = g.l GROUP BY 1""",

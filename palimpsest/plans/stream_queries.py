@@ -60,5 +60,6 @@ def stream_object_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (stream_incremental_changes, stream_tracker_activity, stream_object_state)}
 ORACLES = {
     "stream_incremental_changes": BATCH["change_scan_forward"],
+    "stream_object_state": BATCH["object_state_fold"],
     "stream_tracker_activity": f"SELECT * FROM ({BATCH['session_windows']}) WHERE last_end <= (SELECT epoch_us(max(ts)) FROM events)",
 }
