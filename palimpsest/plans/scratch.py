@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What this driver has written.
+_paths: list[str] = []
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; only where that is unset (tests), a temporary one."""
@@ -14,7 +17,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what this driver has written so far, and says how many tables that were. DataFrames that read them are
+    lost, so it is for after their results have been written or collected."""
+    n = len(_paths)
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def saved(df: DataFrame, name: str, **options: str) -> DataFrame:

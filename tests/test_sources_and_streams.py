@@ -43,6 +43,35 @@ def test_sinks_keep_their_contracts(spark, tmp_path):
         sinks.publish(df, str(tmp_path / "p"))
 
 
+def test_scratch_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from palimpsest.plans import scratch
+
+    scratch.clear(spark)
+    path = scratch.scratch(spark, "t")
+    spark.range(3).write.parquet(path)
+    assert Path(path.removeprefix("file://")).exists()
+    assert scratch.clear(spark) == 1 and not Path(path.removeprefix("file://")).exists()
+
+
+def test_ply_and_intrinsics(spark, tmp_path):
+    import numpy as np
+
+    from palimpsest.sources import ply
+
+    head = "ply\nformat {} 1.0\nelement vertex 2\nproperty float x\nproperty float y\nproperty double z\nproperty uchar red\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n"
+    (tmp_path / "a.ply").write_text(head.format("ascii") + "1 2 3 255\n4 5 6 0\n3 0 1 1\n")
+    body = np.array([(1, 2, 3, 255), (4, 5, 6, 0)], np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f8"), ("red", "u1")])).tobytes()
+    (tmp_path / "b.ply").write_bytes(head.format("binary_little_endian").encode() + body + b"\x03\0\0\0\0")
+    got = ply.read_points(spark, str(tmp_path / "*.ply")).collect()
+    assert sorted((r.vid, r.x, r.y, r.z) for r in got) == [(0, 1, 2, 3)] * 2 + [(1, 4, 5, 6)] * 2
+    out = ply.ascii_ply(spark.createDataFrame([(0, 1.0, 2.0, 3.0)], "vid long, x double, y double, z double"), 1).orderBy("ord")
+    assert [r.value for r in out.collect()][-2:] == ["end_header", "1.0 2.0 3.0"]
+    (tmp_path / "i.txt").write_text("Res_x: 960\nf_x: 481.5\n")
+    assert ply.read_intrinsics(spark, str(tmp_path / "i.txt")).first()["values"] == {"Res_x": 960.0, "f_x": 481.5}
+
+
 def test_manifest_does_not_depend_on_order(spark):
     df = spark.range(100).select("id", (F.col("id") * 7 % 13).alias("v"))
     a, b = (sinks.manifest(x, ["v"]).first() for x in (df, df.orderBy(F.rand(3)).repartition(7)))
