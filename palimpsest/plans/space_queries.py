@@ -37,7 +37,7 @@ def aabb_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, sf_dir: str, session: int) -> DataFrame:
-    return mesh.bounds(points(spark, sf_dir, session).where("vid % 7 = 0"), ["label"])
+    return mesh.bounds(points(spark, sf_dir, session), ["label"])
 
 
 def aabb_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ def ray_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _policy(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         o = observations(spark, sf_dir)
-        windows = o.where("event_id % 10 = 0").select(F.col("event_id").alias("vid"), "entity", (F.col("t") - 48 * HOUR).alias("first"), (F.col("t") + 24 * HOUR).alias("last"))
+        windows = o.select(F.col("event_id").alias("vid"), "entity", (F.col("t") - 48 * HOUR).alias("first"), (F.col("t") + 24 * HOUR).alias("last"))
         poses = o.where("verdict = 'present'").select("entity", F.col("t").alias("ts")).distinct()
         return rays.sources(windows, poses, name, key="vid", group="entity")
 
