@@ -135,10 +135,13 @@ def merge_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compose_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The background and the points of the objects that are present, with their owner."""
+    """The background and the points of the objects that are present, with their owner. Orders and points are dealt to as many
+    places as the fewer of them have, so each order has points and each point an owner; where orders are more, they share points."""
     background = points(spark, sf_dir, 0).select("vid", F.lit(None).cast("long").alias("owner"))
-    present = presence.present_at(stays(spark, sf_dir).where("order_id < 400"), F.lit(ORDER_DAY)).select(F.col("order_id").alias("owner"))
-    own = points(spark, sf_dir, 1).select("vid", (F.col("vid") % 400).alias("owner")).join(present, "owner", "left_semi")
+    place, orders = F.expr("vid div 2"), table(spark, sf_dir, "orders")
+    places = F.least(points(spark, sf_dir, 1).agg(F.max(place) + 1).scalar(), orders.agg(F.max("o_orderkey") + 1).scalar())
+    present = presence.present_at(stays(spark, sf_dir), F.lit(ORDER_DAY)).select(F.col("order_id").alias("owner"), (F.col("order_id") % places).alias("place"))
+    own = points(spark, sf_dir, 1).select("vid", (place % places).alias("place")).join(present, "place")
     return background.unionByName(own.select("vid", "owner"))
 
 
@@ -179,10 +182,12 @@ def kpi_still_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every map (month of an order) at every query time (year): each pair once, with what is present."""
-    s = stays(spark, sf_dir).where("entity % 10 = 0").select("entity", "first", "last")
-    times = spark.range(5).select((F.lit(ORDER_DAY) + F.col("id") * 365 * DAY).alias("t"))
-    met = s.crossJoin(F.broadcast(times)).where(presence.is_present(F.col("first"), F.col("last"), F.col("t")))  # five times
+    """Every map (month of an order) at every query time (one a year, over all years of the table): each pair once, with what is present."""
+    s = stays(spark, sf_dir).select("entity", "first", "last")
+    year = lambda stamp: (stamp - ORDER_DAY) / (365 * DAY)
+    ends = s.agg(F.ceil(year(F.min("first"))).alias("low"), F.floor(year(F.max(F.greatest("first", "last")))).alias("high")).where("low <= high")
+    times = ends.select(F.explode(F.sequence("low", "high")).alias("k")).select((ORDER_DAY + F.col("k") * 365 * DAY).alias("t"))
+    met = s.crossJoin(F.broadcast(times)).where(presence.is_present(F.col("first"), F.col("last"), F.col("t")))  # a row a year
     return met.groupBy("entity", "t").agg(F.count("*").alias("n"))
 
 

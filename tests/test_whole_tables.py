@@ -5,8 +5,9 @@ import random
 
 import pytest
 
-from palimpsest.plans import space_queries
+from palimpsest.plans import entity_queries, space_queries
 from palimpsest.plans.inputs import HOUR
+from palimpsest.plans.presence_queries import DAY, ORDER_DAY
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +71,45 @@ def test_boxes_hold_all_points_of_a_label(spark, tables):
             pairs[j, k] = both / (volume([h - lo for lo, h in a]) + volume([h - lo for lo, h in b]) - both)
     got = {(x.label, x.right_label): x.iou for x in space_queries.aabb_iou_pairs(spark, base).collect()}
     assert got == pytest.approx({k: v for k, v in pairs.items() if v >= 0.1}, abs=1e-6)
+
+
+@pytest.fixture(scope="module", params=[30, 700])
+def shop(spark, tables, tmp_path_factory, request):
+    """A folder with orders (fewer than points, or more), lineitem and embeddings; each order's entity, first and last."""
+    r = random.Random(4)
+    base = str(tmp_path_factory.mktemp("shop"))
+    start = datetime.datetime(1994, 3, 1)
+    orders = [(k, r.randrange(25), start + datetime.timedelta(days=r.randrange(9 * 365))) for k in range(request.param)]
+    lines = [(k, day + datetime.timedelta(days=r.randrange(900))) for k, _, day in orders if k % 3]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{base}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_shipdate timestamp_ntz").write.parquet(f"{base}/lineitem.parquet")
+    spark.read.parquet(f"{tables[0]}/embeddings.parquet").write.parquet(f"{base}/embeddings.parquet")
+    ends = dict(lines)
+    return base, [(k, c, stamp(day), stamp(ends[k]) if k in ends else None) for k, c, day in orders], tables[2]
+
+
+def present(stays, t):
+    return [s for s in stays if s[2] <= t and (s[3] is None or s[3] > t)]
+
+
+def test_all_entities_at_all_years(spark, shop):
+    base, stays, _ = shop
+    low, high = min(s[2] for s in stays), max(s[3] or s[2] for s in stays)
+    times = [t for t in (ORDER_DAY + k * 365 * DAY for k in range(-30, 30)) if low <= t <= high]
+    assert len(times) > 5
+    want = {}
+    for t in times:
+        for s in present(stays, t):
+            want[s[1], t] = want.get((s[1], t), 0) + 1
+    assert {(x.entity, x.t): x.n for x in entity_queries.evaluate_all(spark, base).collect()} == want
+
+
+def test_all_orders_are_composed(spark, shop):
+    base, stays, cloud = shop
+    ids = [k for k, *_ in cloud if k % 2]
+    n = min(len(ids), len(stays))
+    here = [s[0] for s in present(stays, ORDER_DAY)]
+    want = [(k, None) for k, *_ in cloud if k % 2 == 0] + [(v, o) for v in ids for o in here if v // 2 % n == o % n]
+    assert {o for _, o in want if o is not None} == set(here)
+    got = [tuple(x) for x in entity_queries.compose_scene(spark, base).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
