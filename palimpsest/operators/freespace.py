@@ -19,13 +19,34 @@ def _samples(rays: DataFrame, ray_id: str, step: float, start: float, short: flo
     return at.select(ray_id, "at", (F.col("_len") - F.col("at")).alias("sdf"), *[(F.col(s) + (F.col(t) - F.col(s)) * F.col("at") / F.col("_len")).alias(p) for s, t, p in zip(SOURCE, TARGET, POINT, strict=True)])
 
 
+def _crossed(rays: DataFrame, ray_id: str, size: float, start: float, short: float) -> DataFrame:
+    """ray_id, cell: the cells that each ray passes from start up to short before its end, cut where it meets a cell's wall."""
+    length = F.sqrt(squared_distance([F.col(c) for c in SOURCE], [F.col(c) for c in TARGET]))
+    end = F.col("_len") - short
+
+    def walls(s: str, t: str):
+        way = (F.col(t) - F.col(s)) / F.col("_len")
+        a, b = (F.floor((F.col(s) + way * at) / size) for at in (F.lit(float(start)), end))
+        met = F.transform(F.sequence(F.least(a, b) + 1, F.greatest(a, b)), lambda k: (k * F.lit(float(size)) - F.col(s)) / way)
+        return F.when(a == b, F.array().cast("array<double>")).otherwise(met)
+
+    inner = F.filter(F.concat(*[walls(s, t) for s, t in zip(SOURCE, TARGET, strict=True)]), lambda at: (at > start) & (at < end))
+    cuts = F.array_sort(F.concat(F.array(F.lit(float(start)), end), inner))
+    pieces = F.zip_with(F.slice(cuts, F.lit(1), F.size(cuts) - 1), F.slice(cuts, F.lit(2), F.size(cuts) - 1), lambda a, b: F.struct(((a + b) / 2).alias("at"), (b - a).alias("long")))
+    run = rays.withColumn("_len", length).where((F.col("_len") > 0) & (end > start))
+    at = run.withColumn("_p", F.explode(F.filter(pieces, lambda p: p["long"] > size * 1e-9)))
+    return at.select(ray_id, *[(F.col(s) + (F.col(t) - F.col(s)) * F.col("_p.at") / F.col("_len")).alias(p) for s, t, p in zip(SOURCE, TARGET, POINT, strict=True)]).select(ray_id, _cell(size).alias("cell"))
+
+
 def _cell(size: float):
     return pack_voxel(*[voxel(F.col(c), size) for c in POINT])
 
 
 def free_counts(rays: DataFrame, *, ray_id: str, size: float, start: float = 0.0, short: float = 0.0, step: float | None = None) -> DataFrame:
-    """cell, n: how many rays pass each cell; a ray counts once in a cell."""
-    return _samples(rays, ray_id, step or size, start, short).select(ray_id, _cell(size).alias("cell")).distinct().groupBy("cell").agg(F.count("*").alias("n"))
+    """cell, n: how many rays pass each cell; a ray counts once in a cell. Without a step the cells are those that a ray truly
+    crosses, else those of samples a step apart, which may miss some."""
+    met = _samples(rays, ray_id, step, start, short).select(ray_id, _cell(size).alias("cell")) if step else _crossed(rays, ray_id, size, start, short)
+    return met.distinct().groupBy("cell").agg(F.count("*").alias("n"))
 
 
 def free_fraction(points: DataFrame, counts: DataFrame, *, size: float, keys: tuple[str, ...] = (), least: int = 1) -> DataFrame:

@@ -1,10 +1,13 @@
 """Registered queries on small tables against brute force: no row is left out by its id."""
 
 import datetime
+import math
 import random
+from collections import Counter
 
 import pytest
 
+from palimpsest.operators import freespace
 from palimpsest.plans import entity_queries, space_queries
 from palimpsest.plans.inputs import HOUR
 from palimpsest.plans.presence_queries import DAY, ORDER_DAY
@@ -113,3 +116,38 @@ def test_all_orders_are_composed(spark, shop):
     assert {o for _, o in want if o is not None} == set(here)
     got = [tuple(x) for x in entity_queries.compose_scene(spark, base).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_free_space_counts_every_cell_crossed(spark):
+    r = random.Random(6)
+    rays = [(k, *(r.uniform(-1, 1) for _ in range(6))) for k in range(30)] + [(30, 0.05, 0.05, 0.05, 0.05, 0.05, 0.05), (31, 0.95, 0.05, 0.05, -0.95, 0.05, 0.05)]
+    frame = spark.createDataFrame(rays, "ray long, sx double, sy double, sz double, tx double, ty double, tz double")
+
+    def crossed(ray, size, short):
+        """Cells whose box the segment enters, by slabs."""
+        s, t = ray[1:4], ray[4:7]
+        length = math.dist(s, t)
+        if length <= short:
+            return set()
+        end = [a + (b - a) * (length - short) / length for a, b in zip(s, t, strict=True)]
+        spans = [range(math.floor(min(a, b) / size), math.floor(max(a, b) / size) + 1) for a, b in zip(s, end, strict=True)]
+        found = set()
+        for cell in ((i, j, k) for i in spans[0] for j in spans[1] for k in spans[2]):
+            low, high = 0.0, 1.0
+            for a, b, c in zip(s, end, cell, strict=True):
+                if a == b:
+                    if not c * size <= a < (c + 1) * size:
+                        low, high = 1.0, 0.0
+                else:
+                    u, v = sorted(((c * size - a) / (b - a), ((c + 1) * size - a) / (b - a)))
+                    low, high = max(low, u), min(high, v)
+            if high - low > 1e-9:
+                found.add(cell)
+        return found
+
+    want = Counter(c for ray in rays for c in crossed(ray, 0.15, 0.05))
+    got = freespace.free_counts(frame, ray_id="ray", size=0.15, short=0.05)
+    assert Counter(x.n for x in got.collect()) == Counter(want.values())
+    coarse = freespace.free_counts(frame, ray_id="ray", size=0.15, short=0.05, step=0.15)
+    assert coarse.join(got.withColumnRenamed("n", "m"), "cell").where("n > m").count() == 0
+    assert coarse.count() < got.count()
