@@ -38,6 +38,10 @@ PATTERNS = {
     "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Digit groups that one blank or hyphen joins, and the usual groupings of a card.
+RUN = r"(?<!\d)\d(?:[ \-]?\d){12,}+"
+LAYOUT = r"^(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{4,5}|\d{4}(?:[ \-]\d{4}){3}[ \-]\d{1,3})$"
+BUT_CARDS = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "card")
 #: A text without any of these characters has no candidate.
 HINT = "[0-9@=:]"
 
@@ -97,11 +101,18 @@ def _alphabets(value: Column, kind: Column) -> Column:
     body = F.regexp_extract(value, r"[A-Za-z0-9_\-+/=]+$", 0)
     hexadecimal = F.when(kind != "secret", F.lit("")).when(body.rlike("^[0-9a-f]+$"), F.lit(_DIGITS + _LOWER[:6])).when(body.rlike("^[0-9A-F]+$"), F.lit(_DIGITS + _UPPER[:6])).otherwise("")
 
-    def of(c: Column, k: Column) -> Column:
+    def of(c: Column, k: Column, once: Column) -> Column:
+        lead, fixed, hexadecimal = (once[n] for n in ("lead", "fixed", "hexadecimal"))
         own = F.when(c.between("0", "9"), _DIGITS).when(c.between("a", "z"), _LOWER).when(c.between("A", "Z"), _UPPER).otherwise(c)
         return F.when((k < lead) | (k >= fixed), c).otherwise(F.when(hexadecimal != "", hexadecimal).otherwise(own))
 
-    return F.transform(F.split(value, ""), of)
+    once = F.struct(lead.alias("lead"), fixed.alias("fixed"), hexadecimal.alias("hexadecimal"))
+    return _with(once, lambda x: F.transform(F.split(value, ""), lambda c, k: of(c, k, x)))
+
+
+def _with(once: Column, use: Callable[[Column], Column]) -> Column:
+    """use(once), where once is computed a single time and not for each element that use goes through."""
+    return F.transform(F.array(once), use)[0]
 
 
 def _ints(*columns: Column) -> Column:
@@ -141,13 +152,13 @@ def feistel(symbols: Column, sizes: Column, tweak: Column, key: str, *, back: bo
         even = k % 2 == 0
         noise = F.sha2(F.concat_ws("|", F.lit(key), tweak, k.cast("string"), F.array_join(F.when(even, second).otherwise(first).cast("array<string>"), ",")), 512)
 
-        def moved(v: Column, i: Column) -> Column:
+        def moved(v: Column, i: Column, noise: Column) -> Column:
             ours = F.when(even, i < half).otherwise(i >= half)
             add = F.conv(F.substring(noise, (i % 16) * 8 + 1, F.lit(7)), 16, 10).cast("int")
             size = F.element_at(sizes, i + 1)
             return F.when(ours, F.pmod(v - add if back else v + add, size)).otherwise(v)
 
-        return F.transform(now, moved)
+        return _with(noise, lambda x: F.transform(now, lambda v, i: moved(v, i, x)))
 
     steps = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     return F.aggregate(steps, symbols, turn)
@@ -180,6 +191,21 @@ def pseudonyms(values: Column, key: str, *, back: bool = False) -> Column:
     return F.transform(moved, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), _written(x).alias("written")))
 
 
+def _cards(text: Column) -> Column:
+    """The valid cards within a text's runs of digit groups, from one group's start to another's end; of a run, those in a
+    usual grouping if there are any, else all."""
+
+    def spans(groups: Column) -> Column:
+        n = F.size(groups)
+        starts = F.sequence(F.lit(1), n)
+        every = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(19), n - i + 1)), lambda k: F.regexp_replace(F.array_join(F.slice(groups, i, k), ""), r"[ \-]$", ""))))
+        return F.filter(every, lambda v: F.length(v).between(13, 37) & F.length(_digits(v)).between(13, 19) & (_luhn(_digits(v), 1) % 10 == 0))
+
+    runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda r: F.regexp_extract_all(r, F.lit(r"\d+[ \-]?"), F.lit(0)))
+    usual = lambda v: F.filter(v, lambda c: c.rlike(LAYOUT))
+    return F.array_distinct(F.flatten(F.transform(F.transform(runs, spans), lambda v: F.when(F.size(usual(v)) > 0, usual(v)).otherwise(v))))
+
+
 def _of(kind: str) -> Callable[[Column], Column]:
     return lambda x: F.coalesce(x["kind"] == kind, F.lit(False))
 
@@ -193,10 +219,15 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str | None = N
     outs = {f"pii_{k}" for k in KINDS}
     kept = [c for c in docs.columns if c.lower() not in outs]
     text = F.col(f"`{text_col}`")
-    found = docs.select(*[F.col(f"`{c}`") for c in kept], F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("pii__values"))
-    changed = found.select(*[F.col(f"`{c}`") for c in kept], F.when(F.size("pii__values") > 0, pseudonyms(F.col("pii__values"), key, back=back)).alias("pii__values"))
+    cards = F.when(text.rlike(RUN), _cards(text))
+    held = docs.select(*[F.col(f"`{c}`") for c in kept], cards.alias("pii__cards"))
+    # a row's own cards come first, so that digits beside them do not hide them
+    pattern = F.when(F.size("pii__cards") > 0, F.concat(F.lit(r"(?<!\d)(?:"), F.array_join("pii__cards", "|"), F.lit(r")(?!\d)|" + BUT_CARDS))).otherwise(ANY)
+    held = held.select(*[F.col(f"`{c}`") for c in kept], pattern.alias("pii__pattern"))
+    found = held.select(*[F.col(f"`{c}`") for c in kept], "pii__pattern", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.col("pii__pattern"), F.lit(0))).alias("pii__values"))
+    changed = found.select(*[F.col(f"`{c}`") for c in kept], "pii__pattern", F.when(F.size("pii__values") > 0, pseudonyms(F.col("pii__values"), key, back=back)).alias("pii__values"))
     new = F.col("pii__values")
-    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.transform(new, lambda x: x["written"]), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    joined = F.array_join(F.zip_with(F.split(text, F.col("pii__pattern"), -1), F.transform(new, lambda x: x["written"]), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
     texts = F.when(new.isNotNull(), joined).otherwise(text)
     tally = [F.when(new.isNull(), 0).otherwise(F.size(F.filter(new, _of(k)))).alias(f"pii_{k}") for k in KINDS]
     return changed.select(*[texts.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept], *tally)

@@ -115,3 +115,15 @@ def test_no_python_on_the_main_path(spark):
 
 def test_pseudonyms_of_an_empty_table(spark):
     assert pseudonyms.pseudonymise(docs(spark, [])).collect() == []
+
+
+CARDS = ["4111 1111 1111 1111 12/27", "order 12 4111 1111 1111 1111", "4111111111111111 123", "ids 2024 4111-1111-1111-1111", "2024 4111 1111 1111 1111", "5 3782 822463 10005 7", "4111 1111 1111 1111 5500 0000 0000 0004"]
+
+
+def test_cards_beside_other_digits(spark):
+    plain = ["4111111111111111", "378282246310005", "5500000000000004"]
+    for text, row in zip(CARDS, run(spark, CARDS), strict=True):
+        bare = "".join(filter(str.isdigit, row.text))
+        assert row.pii_card == sum(c in "".join(filter(str.isdigit, text)) for c in plain), text
+        assert not any(c in bare for c in plain), text
+        assert [c for c in row.text if not c.isdigit()] == [c for c in text if not c.isdigit()]
