@@ -29,8 +29,8 @@ DAYS, DATE_SIZES = 73049, (17, 4297)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: By kind, as found in a text and, between anchors, as a value.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}][\p{L}\p{N}\-]*+(?:\.[\p{L}\p{N}\-]++)+",
-    "secret": r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key|auth)[\"']?\s{0,4}[:=]\s{0,4}[\"']?[A-Za-z0-9_\-+/=]{8,512}+",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}][\p{L}\p{N}\-]*+(?:\.[\p{L}\p{N}\-]++)+",
+    "secret": r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key|auth)[\"']?\s{0,4}[:=]\s{0,4}[\"']?[A-Za-z0-9_\-+/=]{8,}+(?:\.[A-Za-z0-9_\-+/=]++)*+",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?:(?<![\d\w])\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|(?<!\d)\d{3}[.\-])\d{3}[ .\-]\d{4}(?!\d)|(?<![\d\w])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -98,7 +98,7 @@ def _alphabets(value: Column, kind: Column) -> Column:
         .otherwise(F.length(value))
     )
     lead = F.when(kind == "phone", F.length(F.regexp_extract(value, r"^\+\d{1,3}(?=\D)|^\+\d", 0))).when(kind == "secret", F.length(F.regexp_extract(value, r"^.*?[:=]\s*[\"']?", 0))).otherwise(0)
-    body = F.regexp_extract(value, r"[A-Za-z0-9_\-+/=]+$", 0)
+    body = F.regexp_extract(value, r"[A-Za-z0-9_\-+/=.]+$", 0)
     hexadecimal = F.when(kind != "secret", F.lit("")).when(body.rlike("^[0-9a-f]+$"), F.lit(_DIGITS + _LOWER[:6])).when(body.rlike("^[0-9A-F]+$"), F.lit(_DIGITS + _UPPER[:6])).otherwise("")
 
     def of(c: Column, k: Column, once: Column) -> Column:

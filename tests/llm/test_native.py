@@ -127,3 +127,14 @@ def test_cards_beside_other_digits(spark):
         assert row.pii_card == sum(c in "".join(filter(str.isdigit, text)) for c in plain), text
         assert not any(c in bare for c in plain), text
         assert [c for c in row.text if not c.isdigit()] == [c for c in text if not c.isdigit()]
+
+
+def test_long_secrets_and_addresses(spark):
+    key = "".join(chr(97 + k * 7 % 26) + str(k % 10) for k in range(500))
+    jwt = ".".join(("eyJhbGciOiJIUzI1NiJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIn0", "dozjgNryP4J3jVmNHl0w5N"))
+    name = "long" * 40
+    texts = [f"secret={key} end", f"token={jwt} end", f"mail {name}@example.org end"]
+    got = run(spark, texts)
+    assert [(r.pii_secret, r.pii_email) for r in got] == [(1, 0), (1, 0), (0, 1)]
+    assert key[-400:] not in got[0].text and not any(p in got[1].text for p in jwt.split(".")) and name not in got[2].text
+    assert [len(r.text) for r in got] == [len(t) for t in texts]
