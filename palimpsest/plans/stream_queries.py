@@ -14,10 +14,12 @@ from .scratch import scratch
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stream(spark: SparkSession, sf_dir: str, files: int | None = 4) -> DataFrame:
+    """The events; files: how many a trigger reads, None for all."""
     # a pattern, as a stream takes a file or a folder of files only by a pattern
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/event[s].parquet")
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{sf_dir}/event[s].parquet")
 
 
 def _observed(events: DataFrame) -> DataFrame:
@@ -33,8 +35,9 @@ def stream_incremental_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_tracker_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed sessions: those whose gap has passed before the stream's last stamp."""
-    events = _stream(spark, sf_dir).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    """Closed sessions: those whose gap has passed before the stream's last stamp. One trigger reads all files: these are in no
+    order of time, and of a later trigger the watermark would drop the rows older than those before it."""
+    events = _stream(spark, sf_dir, None).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     out = scratch(spark, "sessions")
     run = activity.sessions(events, "user_id", "ts", "2 hours").writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
