@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import covering_simhash, language_id, line_dedup, lsm_dedup, piecewise_hash, pseudonyms, sp_chunks, token_spans, vector_packing, wrappers
+from .common import OPEN_KEY
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=spark.conf.get("palimpsest.pseudonym.key", OPEN_KEY))
 
 
 def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,9 +67,9 @@ TEXTS = [
 ]
 
 
-def run(spark, texts, **k):
+def run(spark, texts, key="some key", **k):
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, pii_email long")
-    return [x for x in pseudonyms.pseudonymise(df, **k).orderBy("doc_id").collect()]
+    return [x for x in pseudonyms.pseudonymise(df, key=key, **k).orderBy("doc_id").collect()]
 
 
 def luhn(s):
@@ -91,7 +91,7 @@ def test_pseudonyms_keep_the_format_and_come_back(spark):
     assert "300.1.1.1 1.2.3.4.5" in texts[2] and "000-12-3456 900-12-3456" in texts[5]
     assert "02/30/2020" in texts[6] and "2023-02-29 1850-01-01" in texts[6]
     counts = [tuple(x[f"pii_{k}"] for k in pseudonyms.KINDS) for x in got]
-    assert counts == [(2, 0, 0, 0, 0, 0, 0), (0, 2, 0, 0, 0, 0, 0), (0, 0, 1, 0, 0, 0, 0), (0, 0, 0, 3, 0, 0, 0), (0, 0, 0, 0, 2, 0, 0), (0, 0, 0, 0, 0, 1, 0), (0, 0, 0, 0, 0, 0, 3), (0,) * 7, (0,) * 7, (0,) * 7, (1, 0, 0, 0, 0, 0, 0)]
+    assert counts == [(2, 0, 0, 0, 0, 0, 0, 0), (0, 2, 0, 0, 0, 0, 0, 0), (0, 0, 1, 0, 0, 0, 0, 0), (0, 0, 0, 3, 0, 0, 0, 0), (0, 0, 0, 0, 2, 0, 0, 0), (0, 0, 0, 0, 0, 0, 1, 0), (0, 0, 0, 0, 0, 0, 0, 3), (0,) * 8, (0,) * 8, (0,) * 8, (1, 0, 0, 0, 0, 0, 0, 0)]
 
 
 def test_equal_values_stay_linked_and_keys_differ(spark):
@@ -109,12 +109,12 @@ def test_feistel_is_a_permutation(spark):
 
 
 def test_no_python_on_the_main_path(spark):
-    plan = pseudonyms.pseudonymise(docs(spark, CASES))._jdf.queryExecution().executedPlan().toString()
+    plan = pseudonyms.pseudonymise(docs(spark, CASES), key="k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
 def test_pseudonyms_of_an_empty_table(spark):
-    assert pseudonyms.pseudonymise(docs(spark, [])).collect() == []
+    assert pseudonyms.pseudonymise(docs(spark, []), key="k").collect() == []
 
 
 CARDS = ["4111 1111 1111 1111 12/27", "order 12 4111 1111 1111 1111", "4111111111111111 123", "ids 2024 4111-1111-1111-1111", "2024 4111 1111 1111 1111", "5 3782 822463 10005 7", "4111 1111 1111 1111 5500 0000 0000 0004"]
@@ -138,3 +138,112 @@ def test_long_secrets_and_addresses(spark):
     assert [(r.pii_secret, r.pii_email) for r in got] == [(1, 0), (1, 0), (0, 1)]
     assert key[-400:] not in got[0].text and not any(p in got[1].text for p in jwt.split(".")) and name not in got[2].text
     assert [len(r.text) for r in got] == [len(t) for t in texts]
+
+
+def feistel_by_hand(symbols, sizes, tweak, key):
+    half = len(symbols) // 2
+    now = list(symbols)
+    for k in range(10):
+        a, b = now[:half], now[half:]
+        still = b if k % 2 == 0 else a
+        seed = hashlib.sha512("|".join([key, tweak, str(k), ",".join(map(str, still))]).encode()).hexdigest()
+        noise = lambda at: int((seed if at < 16 else hashlib.sha512(f"{seed}|{at // 16}".encode()).hexdigest())[at % 16 * 8 :][:7], 16)  # noqa: B023, E731
+        for i in range(len(a) if k % 2 == 0 else len(b)):
+            at = i if k % 2 == 0 else half + i
+            now[at] = (now[at] + noise(i)) % sizes[at]
+    return now
+
+
+def pseudonym_by_hand(kind, head, body, tail, key):
+    """For letters, digits and fixed characters."""
+    where = [k for k, c in enumerate(body) if c.isascii() and c.isalnum()]
+    sizes = [10 if body[k].isdigit() else 26 for k in where]
+    first = ["0" if body[k].isdigit() else "a" if body[k].islower() else "A" for k in where]
+    stays = {"email": tail.lower(), "phone": head}.get(kind, "")
+    moved = feistel_by_hand([ord(body[k]) - ord(f) for k, f in zip(where, first, strict=True)], sizes, "|".join([kind, stays, ",".join(map(str, sizes))]), key)
+    out = list(body)
+    for k, f, v in zip(where, first, moved, strict=True):
+        out[k] = chr(ord(f) + v)
+    return head + "".join(out) + tail
+
+
+BY_HAND = [
+    ("email", "", "bob", "@example.com"),
+    ("email", "", "Bob.Long-name77", "@Example.com"),
+    ("email", "", "a_b", "@x.org"),
+    ("secret", "password=", "hunter22Xy", ""),
+    ("secret", "token: '", "zQ9_" * 30, ""),
+    ("secret", "api_key =       ", "k9-Zz/" * 200, ""),
+    ("phone", "+44", " 20 7946 0958", ""),
+    ("phone", "", "212-555-1234", ""),
+]
+
+
+def test_values_equal_a_feistel_by_hand(spark):
+    """An independent network over nothing but the characters that vary."""
+    got = [r.text for r in run(spark, [h + b + t for _, h, b, t in BY_HAND], key="hand")]
+    assert got == [pseudonym_by_hand(*x, "hand") for x in BY_HAND]
+    cards = run(spark, ["4111111111111111"], key="hand")[0].text
+    assert cards[:-1] == "".join(map(str, feistel_by_hand([4] + [1] * 14, [10] * 15, "card||" + ",".join(["10"] * 15), "hand"))) and luhn(cards)
+    day = (19000 + 5).__index__()
+    a, b = feistel_by_hand([day // 4297, day % 4297], [17, 4297], "date||17,4297", "hand")
+    import datetime as dt
+
+    text = str(dt.date(1900, 1, 1) + dt.timedelta(day))
+    assert run(spark, [text], key="hand")[0].text == str(dt.date(1900, 1, 1) + dt.timedelta(a * 4297 + b))
+
+
+def test_one_known_value_tells_nothing_of_others(spark):
+    """Values of one length that differ in one character differ nearly everywhere; domains and keys matter."""
+    texts = ["alexander@example.com", "blexander@example.com", "alexandes@example.com", "alexander@example.org", "password=abcdefghijkl", "password=bbcdefghijkl", "token=" + "A1" * 40]
+    a, b, c, d, e, f, g = (r.text for r in run(spark, texts))
+    shift = lambda x, y, n: [ord(p) - ord(q) for p, q in zip(x[:n], y[:n], strict=True)]
+    for x, y in ((a, b), (a, c), (a, d)):
+        assert sum(v != 0 for v in shift(x, y, 9)) >= 6
+    assert sum(v != 0 for v in shift(e[9:], f[9:], 12)) >= 9
+    assert sum(v != 0 for v in shift(a, texts[0], 9)) >= 6 and shift(a, texts[0], 9)[3:] != shift(b, texts[1], 9)[3:]
+    runs = [g[6:][k : k + 16] for k in range(0, 80, 16)]
+    assert len(set(runs)) == len(runs)
+    one = [r.text[0] for r in run(spark, [f"{x}@d.org" for x in "abcdefghijklmnopqrstuvwxyz"])]
+    assert sorted(one) == list("abcdefghijklmnopqrstuvwxyz") and len({(ord(y) - ord(x)) % 26 for x, y in zip("abcdefghijklmnopqrstuvwxyz", one, strict=True)}) > 3
+
+
+MORE = [
+    "31/12/1999 and 29/02/2000 then 30/11/2011, 13/02/2001 not 31/02/1999",
+    "DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432, not DE88 3704 0044 0532 0130 00",
+    "2001:db8:85a3::8a2e:370:7334 and FE80:0:0:0:202:B3FF:FE1E:8329, fe80::1; not std::vector or 12:30:45",
+    "жуков.7@почта.рф und jürgen@beispiel.de",
+    "password:        verylongsecret1",
+    "secret=" + "Ab3_" * 200 + " end",
+]
+
+
+def test_more_formats(spark):
+    got = run(spark, MORE)
+    texts = [r.text for r in got]
+    assert [r.text for r in run(spark, texts, back=True)] == MORE
+    assert [sum(r[f"pii_{k}"] for k in pseudonyms.KINDS) for r in got] == [4, 2, 3, 2, 1, 1]
+    import datetime as dt
+
+    days = re.findall(r"\d\d/\d\d/\d{4}", texts[0])
+    assert days[-1] == "31/02/1999" and all(dt.datetime.strptime(d, "%d/%m/%Y").year and int(d[:2]) > 12 for d in days[:-1])
+    for account in (re.findall(r"DE\d\d(?: \d{4}){4} \d\d", texts[1])[0], re.findall(r"GB[0-9A-Z]{20}", texts[1])[0]):
+        bare = account.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    assert "DE88 3704 0044 0532 0130 00" in texts[1] and "std::vector or 12:30:45" in texts[2]
+    for text, value in ((2, "2001:db8:85a3::8a2e:370:7334"), (2, "fe80::1;"), (3, "жуков"), (3, "jürgen"), (4, "verylongsecret1"), (5, "Ab3_Ab3_")):
+        assert value not in texts[text]
+
+
+def test_days_first_are_permuted_among_themselves(spark):
+    import datetime as dt
+
+    all_days = [dt.date(2003, 1, 1) + dt.timedelta(k) for k in range(731)]
+    texts = [d.strftime("%d/%m/%Y") for d in all_days if d.day > 12]
+    got = [r.text for r in run(spark, texts)]
+    assert len(set(got)) == len(texts) and [r.text for r in run(spark, got, back=True)] == texts
+
+
+def test_a_missing_key_is_refused(spark):
+    with pytest.raises(ValueError, match="key"):
+        pseudonyms.pseudonymise(docs(spark, CASES))
