@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import covering_simhash, language_id, line_dedup, pseudonyms, vector_packing
-from palimpsest.llm.common import saved
+from palimpsest.llm.common import OPEN_KEY, saved
 
 
 def _like(changed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _like(pseudonyms.pseudonymise(docs), docs)
+    return _like(pseudonyms.pseudonymise(docs, key=spark.conf.get("palimpsest.pseudonym.key", OPEN_KEY)), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
