@@ -52,11 +52,21 @@ PATTERNS = {
     "date": r"(?<![\d.\-/])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d\-/])",
     "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?!\d)",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What a candidate of these kinds begins with; it is looked at first.
+STARTS = {r"(?=[A-Z])": ("iban",), r"(?=[0-9A-Fa-f]{0,4}:)": ("ip6",), r"(?=[\d+(])": ("ip", "phone", "ssn", "date", "card")}
+
+
+def _any_of(*kinds: str) -> str:
+    """One pattern of several kinds, the earlier first."""
+    led = ["|".join(f"(?:{PATTERNS[k]})" for k in ("email", "secret"))]
+    return "|".join(led + [f"{s}(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in own if k in kinds) + ")" for s, own in STARTS.items()])
+
+
+ANY = _any_of(*PATTERNS)
 #: Digit groups that one blank or hyphen joins, and the usual groupings of a card.
 RUN = r"(?<!\d)\d(?:[ \-]?\d){12,}+"
 LAYOUT = r"^(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{4,5}|\d{4}(?:[ \-]\d{4}){3}[ \-]\d{1,3})$"
-BUT_CARDS = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "card")
+BUT_CARDS = _any_of(*(k for k in PATTERNS if k != "card"))
 #: A text without any of these characters has no candidate.
 HINT = "[0-9@=:]"
 #: One character that varies, by kind.

@@ -1,6 +1,7 @@
 """Language ID, HTML extraction and the pipeline."""
 
 import html
+import json
 import random
 import re
 import zlib
@@ -99,13 +100,81 @@ def test_pages_without_an_article():
 
 def test_wrappers_generalise():
     """Repeats, options and slots of aligned pages."""
-    a, b = (wrappers.expression(wrappers.parse(x)) for x in ("<div><h1>A</h1><p>x</p><p>y</p></div>", "<div><h1>A</h1><h2>s</h2><p>z</p></div>"))
+    a, b = (wrappers.expression(wrappers.parse(x), [str(k)]) for k, x in enumerate( ("<div><h1>A</h1><p>x</p><p>y</p></div>", "<div><h1>A</h1><h2>s</h2><p>z</p></div>")))
     (div,) = wrappers.merge(a, b)[1]
     assert [(k[0], k[2], k[3]) for k in div[1]] == [("h1", 0, 0), ("h2", 0, 1), ("p", 1, 0)]
-    assert div[1][0][1][0][6] == "A" and div[1][2][1][0][6] is None  # a constant and a slot
+    assert len(div[1][0][1][0][wrappers.TEXTS]) == 1 and len(div[1][2][1][0][wrappers.TEXTS]) == 3  # a constant and a slot
     rows = "<dl>" + "<dt>a</dt><dd>b</dd>" * 3 + "</dl>"
     (dl,) = wrappers.expression(wrappers.parse(rows))[1]
-    assert [(k[0], k[2]) for k in dl[1]] == [("(dt dd)", 1)]
+    assert [(k[0], k[2]) for k in dl[1]] == [("(dt,dd)", 1)]
+
+
+def learned(pages):
+    """The rule that pages of one host give, as the tasks fold it."""
+    from functools import reduce
+
+    own = [wrappers.keyed(wrappers.parse(p)) for p in pages]
+    return wrappers.rule_of(json.loads(json.dumps(reduce(wrappers.merge, own))))
+
+
+def odd_page(k, body):
+    """Class names that mean nothing; menus, notices and footers that all pages have, and a list of links."""
+    links = "".join(f'<li><a href="/{k}{j}">Piece {k} {j}</a></li>' for j in range(6))
+    return f'<html><body><div class="x1"><ul><li>Home<li>News<li>About us</ul></div><div class="x2"><div class="x3"><h1>Title {k}</h1>{body}<p>Write to us about this.</p></div><div class="x4"><ul>{links}</ul></div></div><div class="x5"><p>All rights reserved</p></div></body></html>'
+
+
+def test_wrappers_decide_where_class_names_mean_nothing():
+    bodies = [f"<p>Story {k} with words of its own.</p><p>More of {k}.</p>" for k in range(9)]
+    pages = [odd_page(k, b) for k, b in enumerate(bodies)]
+    rule = learned(pages)
+    for k, p in enumerate(pages):
+        assert wrappers.main_text(p, rule) == f"Title {k} Story {k} with words of its own. More of {k}."
+        assert wrappers.main_text(p, None) != wrappers.main_text(p, rule)
+    assert not learned(pages[:3]).drop  # too few pages to tell
+    assert not learned([pages[0]] * 20).drop  # copies are one page
+
+
+def test_copies_and_headings_stay_in_articles():
+    near = [f"<html><body><article><h1>Same</h1><p>one text of all</p><p>and its end</p><p>copy {k}</p></article></body></html>" for k in range(12)]
+    assert wrappers.main_text(near[3], learned(near)) == "Same one text of all and its end copy 3"
+    pages = [f"<html><body><article><h2>Summary</h2><p>{'text ' * 9}{k}</p><p>Subscribe to our letters</p></article></body></html>" for k in range(12)]
+    assert wrappers.main_text(pages[3], learned(pages)) == "Summary " + "text " * 9 + "3"
+
+
+def test_a_host_outweighs_class_names():
+    pages = [f'<html><body><div class="top">Site</div><div class="widget"><p>{"words " * 20}{k}</p></div></body></html>' for k in range(6)]
+    assert wrappers.main_text(pages[2], learned(pages)) == "words " * 20 + "2"
+
+
+def test_rules_do_not_depend_on_the_order():
+    pages = [odd_page(k, f"<p>Body {k % 7}</p>" * (1 + k % 3)) for k in range(40)]
+    want = learned(pages).written()
+    r = random.Random(9)
+    for _ in range(3):
+        r.shuffle(pages)
+        assert learned(pages).written() == want
+
+
+ODD = {
+    "<p title=don't>one two it's three</p><p>four</p>": "one two it's three four",
+    "<article><h1>T</h1><div class='related-work'>work</div><div class='figure overlay'>fig</div><p>see <math><mi>x</mi></math></p></article>": "T work fig see x",
+    "<nav>n</nav><header>site</header><article><header><h1>Own</h1></header><p>text</p><footer>f</footer></article>": "Own text",
+    "<div>" * 300 + "x<nav>MENU</nav>" + "</div>" * 300: "x",
+    "<article>a<div class='layout has-sidebar'>b</div><div class='elementor-widget-container'>c</div><div class='comments-area'>no</div></article>": "a b c",
+    "<article class='post comment-open'>a</article>": "a",
+    "<main class='content no-sidebar'>a<button>b</button><object>c</object></main>": "a c",
+    "<div class='comments'>only this</div>": "only this",
+    "<p title=\"a>b\">c</p><p class=d\"e>f": "c f",
+    "<ul>" + "<li><div>a" * 500: " ".join(["a"] * 500),
+    "<" * 3000 + "a": "<" * 3000 + "a",
+    "<a " * 20000: "<a " * 20000,
+    "</x>" * 5000 + "<div>" * 5000 + "</x>" * 5000 + "y": "y",
+}
+
+
+@pytest.mark.parametrize("page", ODD, ids=range(len(ODD)))
+def test_odd_markup(page):
+    assert wrappers.main_text(page, None) == ODD[page].strip()
 
 
 # the pipeline
