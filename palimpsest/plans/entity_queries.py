@@ -9,7 +9,7 @@ from ..functions import belief, geometry
 from ..operators import alignment, association, clusters, freespace, gridjoin, mesh, metrics, presence, quality, rays
 from .inputs import HOUR, OBSERVATIONS, POINTS, STAYS, observations, points, stays, table
 from .presence_queries import DAY, ORDER_DAY
-from .space_queries import _AB, _D2, _NEAR, _RAYS, _SEEN, RADIUS, XYZ, _cell, _rays, _seen
+from .space_queries import _AB, _D2, _NEAR, _RAYS, _SEEN, RADIUS, XYZ, _cell, _free_sql, _rays, _seen
 
 
 def cluster_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +299,9 @@ ORACLES = {
         SELECT c_custkey AS node, coalesce(k + greatest((SELECT max(u) FROM t), (SELECT max(c_custkey) FROM customer)), c_custkey) AS new_id FROM customer LEFT JOIN c ON node = c_custkey""",
     "prune_unobserved": f"{_AB} SELECT vid // 6 AS object, count(*) AS n_seen FROM a WHERE EXISTS (SELECT 1 FROM b WHERE {_D2} <= 0.0025) GROUP BY 1",
     "merge_changes": f"{_AB}, {_RAYS}, {_SEEN} SELECT vid, label FROM a WHERE vid NOT IN {_ABSENT} AND NOT EXISTS (SELECT 1 FROM b WHERE b.label < 3 AND {_D2} <= {RADIUS} * {RADIUS})",
-    "compose_scene": f"""WITH {POINTS}, {STAYS} SELECT vid, NULL::BIGINT AS owner FROM a UNION ALL SELECT vid, vid % 400 FROM b WHERE vid % 400 IN (SELECT order_id FROM s WHERE order_id < 400 AND first <= {ORDER_DAY} AND (last IS NULL OR last > {ORDER_DAY}))""",
+    "compose_scene": f"""WITH {POINTS}, {STAYS}, k AS (SELECT least((SELECT max(vid // 2) + 1 FROM b), (SELECT max(o_orderkey) + 1 FROM orders)) AS k),
+        o AS (SELECT order_id AS owner, order_id % k AS place FROM s, k WHERE first <= {ORDER_DAY} AND (last IS NULL OR last > {ORDER_DAY}))
+        SELECT vid, NULL::BIGINT AS owner FROM a UNION ALL SELECT vid, owner FROM (SELECT vid, (vid // 2) % k AS place FROM b, k) JOIN o USING (place)""",
     "prior_vertex_states": f"""{_AB}, {_RAYS}, {_SEEN}, s AS (SELECT vid, count(*) FILTER (reach - d > 0.03) AS ab, count(*) FILTER (abs(reach - d) <= 0.03) AS pr FROM h WHERE aside <= 0.02 GROUP BY 1)
         SELECT vid, CASE WHEN EXISTS (SELECT 1 FROM b WHERE {_D2} <= 0.06 * 0.06) THEN 'persistent' WHEN ab >= 1 AND pr <= 0 THEN 'absent' ELSE 'unobserved' END AS state FROM a LEFT JOIN s USING (vid)""",
     "published_audit": "SELECT o_orderpriority, count(*) AS published, count(l.k) AS processed, round(count(l.k) / count(*), 6) AS ratio FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber = 2) l ON k = o_orderkey GROUP BY 1",
@@ -309,13 +311,13 @@ ORACLES = {
     "kpi_still_current": f"""{_AB}, va AS (SELECT DISTINCT label, floor(x / 0.04)::BIGINT AS i, floor(y / 0.04)::BIGINT AS j, floor(z / 0.04)::BIGINT AS k FROM a), vb AS (SELECT DISTINCT floor(x / 0.04)::BIGINT AS i, floor(y / 0.04)::BIGINT AS j, floor(z / 0.04)::BIGINT AS k FROM b),
         c AS (SELECT label, round(avg((EXISTS (SELECT 1 FROM vb WHERE abs(vb.i - va.i) <= 1 AND abs(vb.j - va.j) <= 1 AND abs(vb.k - va.k) <= 1))::INT), 6) AS covered FROM va GROUP BY 1)
         SELECT label, covered, fraction FROM c JOIN (SELECT label, round(avg((EXISTS (SELECT 1 FROM b WHERE {_D2} <= 0.04 * 0.04))::INT), 6) AS fraction FROM a GROUP BY 1) USING (label)""",
-    "evaluate_all": f"WITH {STAYS} SELECT entity, t, count(*) AS n FROM s JOIN (SELECT {ORDER_DAY} + i * {365 * DAY} AS t FROM range(0, 5) r(i)) ON first <= t AND (last IS NULL OR last > t) WHERE entity % 10 = 0 GROUP BY 1, 2",
+    "evaluate_all": f"""WITH {STAYS}, e AS (SELECT ceil((min(first) - {ORDER_DAY}) / {365 * DAY})::BIGINT AS low, floor((max(greatest(first, last)) - {ORDER_DAY}) / {365 * DAY})::BIGINT AS high FROM s),
+        q AS (SELECT {ORDER_DAY} + unnest(range(low, high + 1)) * {365 * DAY} AS t FROM e) SELECT entity, t, count(*) AS n FROM s JOIN q ON first <= t AND (last IS NULL OR last > t) GROUP BY 1, 2""",
     "co_registered_merge": f"WITH {STAYS} SELECT entity, max(first) AS first_absent, min(first) + {DAY} AS first_persistent, min(last) + {DAY} AS last_absent, max(last) AS last_persistent FROM s GROUP BY entity",
     "memory_join": "SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 3 > 0 GROUP BY 1",
     "stationary_classes": "SELECT CASE WHEN regexp_matches(lower(p_name || CASE WHEN p_size > 40 THEN ' Robot arm' ELSE '' END), 'person|human|robot|cart|trolley|vehicle|animal') THEN 0 ELSE 1 END AS stationary, count(*) AS n FROM part GROUP BY 1",
     "window_sensor_gate": f"WITH {OBSERVATIONS} SELECT event_id, entity AS user_id FROM o QUALIFY coalesce(t - lag(t) OVER (PARTITION BY entity ORDER BY t) >= 86400000000, true)",
-    "low_support_cells": f"""{_AB}, {_RAYS}, len AS (SELECT *, sqrt((tx - sx) ** 2 + (ty - sy) ** 2 + (tz - sz) ** 2) AS len FROM r), sm AS (SELECT *, unnest(range(0, floor(len / 0.2)::BIGINT + 1)) * 0.2::DOUBLE AS s FROM len),
-        fc AS (SELECT cell, count(*) AS n FROM (SELECT DISTINCT ray, {_cell(0.2, "(sx + (tx - sx) * s / len)", "(sy + (ty - sy) * s / len)", "(sz + (tz - sz) * s / len)")} AS cell FROM sm) GROUP BY 1) SELECT n, count(*) AS cells FROM fc GROUP BY 1""",
+    "low_support_cells": f"{_AB}, {_RAYS}, {_free_sql(0.2, 0.0)} SELECT n, count(*) AS cells FROM fc GROUP BY 1",
     "trajectory_association": f"""WITH {OBSERVATIONS}, q AS (SELECT event_id AS vid, entity, t // {HOUR} AS h, value / 100 AS x FROM o), m AS (SELECT s.vid, t.vid AS right_vid, abs(s.x - t.x) AS d FROM q s JOIN q t ON s.h = t.h AND s.entity % 2 = 0 AND t.entity % 2 = 1 AND (s.x - t.x) * (s.x - t.x) <= 0.1 * 0.1
         QUALIFY row_number() OVER (PARTITION BY s.vid ORDER BY (s.x - t.x) * (s.x - t.x), t.vid) = 1) SELECT q.vid, right_vid, round(d, 6) AS distance FROM q LEFT JOIN m USING (vid) WHERE entity % 2 = 0""",
     "quality_soft": f"""WITH {STAYS} SELECT rule, 'soft' AS severity, n, failed, failed = 0 AS passed FROM (SELECT 'has an end' AS rule, count(*) AS n, count(*) FILTER (last IS NULL) AS failed FROM s

@@ -288,7 +288,7 @@ _AB = f"WITH {POINTS}"
 
 
 def _policy_sql(pick: str) -> str:
-    return f"""WITH {OBSERVATIONS}, w AS (SELECT event_id AS vid, entity, t - {48 * HOUR} AS first, t + {24 * HOUR} AS last FROM o WHERE event_id % 10 = 0),
+    return f"""WITH {OBSERVATIONS}, w AS (SELECT event_id AS vid, entity, t - {48 * HOUR} AS first, t + {24 * HOUR} AS last FROM o),
         p AS (SELECT DISTINCT entity, t AS ts FROM o WHERE verdict = 'present'), m AS (SELECT vid, ts, first, last FROM w JOIN p USING (entity) WHERE ts BETWEEN first AND last) {pick}"""
 
 
@@ -296,8 +296,19 @@ _VOTES = f"""{_AB}, ea AS (SELECT *, label * 10 + vid % 5 AS entity FROM a), eb
     near AS (SELECT a.entity, b.entity AS t, row_number() OVER (PARTITION BY a.vid ORDER BY {_D2}, b.vid) AS k FROM ea a JOIN eb b ON a.label = b.label AND {_D2} <= {RADIUS} * {RADIUS}),
     v AS (SELECT entity, t AS right_entity, count(*) AS votes FROM near WHERE k = 1 GROUP BY 1, 2),
     best AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY entity ORDER BY votes DESC, right_entity) = 1)"""
-_FREE = f"""len AS (SELECT *, sqrt((tx - sx) ** 2 + (ty - sy) ** 2 + (tz - sz) ** 2) AS len FROM r), sm AS (SELECT *, unnest(range(0, floor((len - 0.05) / 0.15)::BIGINT + 1)) * 0.15::DOUBLE AS s FROM len WHERE len >= 0.05),
-    fc AS (SELECT cell, count(*) AS n FROM (SELECT DISTINCT ray, {_cell(0.15, "(sx + (tx - sx) * s / len)", "(sy + (ty - sy) * s / len)", "(sz + (tz - sz) * s / len)")} AS cell FROM sm) GROUP BY 1)"""
+
+
+def _free_sql(size: float, short: float) -> str:
+    """Cells that rays cross: each ray is cut where it meets a cell's wall, and a piece lies in the cell of its middle."""
+    walls = [f"list_transform(range(least(floor(s{c} / {size}), floor((s{c} + (t{c} - s{c}) / len * e) / {size}))::BIGINT + 1, greatest(floor(s{c} / {size}), floor((s{c} + (t{c} - s{c}) / len * e) / {size}))::BIGINT + 1), lambda k: (k * {size}::DOUBLE - s{c}) / ((t{c} - s{c}) / len))" for c in XYZ]
+    at = [f"(s{c} + (t{c} - s{c}) * m / len)" for c in XYZ]
+    return f"""len AS (SELECT *, sqrt((tx - sx) ** 2 + (ty - sy) ** 2 + (tz - sz) ** 2) AS len FROM r), en AS (SELECT *, len - {short} AS e FROM len WHERE len > {short}),
+    cu AS (SELECT *, list_sort(list_concat([0.0::DOUBLE, e], list_filter(list_concat(list_concat({walls[0]}, {walls[1]}), {walls[2]}), lambda w: w > 0 AND w < e))) AS cuts FROM en),
+    pc AS (SELECT *, unnest(range(1, len(cuts))) AS i FROM cu), md AS (SELECT *, (cuts[i] + cuts[i + 1]) / 2 AS m FROM pc WHERE cuts[i + 1] - cuts[i] > {size} * 1e-9),
+    fc AS (SELECT cell, count(*) AS n FROM (SELECT DISTINCT ray, {_cell(size, *at)} AS cell FROM md) GROUP BY 1)"""
+
+
+_FREE = _free_sql(0.15, 0.05)
 
 ORACLES = {
     "label_unpack": "SELECT l_partkey % 40000 AS semantic, l_suppkey % 65536 AS instance, count(*) AS n FROM lineitem GROUP BY 1, 2",
@@ -305,11 +316,11 @@ ORACLES = {
     "voxel_downsample_first": f"{_AB} SELECT min(vid) AS vid, arg_min(label, vid) AS label FROM p GROUP BY {_cell(SIZE)}",
     "voxel_min_support": f"{_AB} SELECT min(vid) AS vid, arg_min(label, vid) AS label FROM p GROUP BY {_cell(SIZE)} HAVING count(*) >= 3",
     "aabb_by_label": f"{_AB} SELECT label, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(min(x), 6) AS x0, round(min(y), 6) AS y0, round(min(z), 6) AS z0, round(max(x), 6) AS x1, round(max(y), 6) AS y1, round(max(z), 6) AS z1 FROM p GROUP BY label",
-    "aabb_iou_pairs": f"""{_AB}, ba AS (SELECT label, {_BOX} FROM a WHERE vid % 7 = 0 GROUP BY 1), bb AS (SELECT label, {_BOX} FROM b WHERE vid % 7 = 0 GROUP BY 1),
+    "aabb_iou_pairs": f"""{_AB}, ba AS (SELECT label, {_BOX} FROM a GROUP BY 1), bb AS (SELECT label, {_BOX} FROM b GROUP BY 1),
         v AS (SELECT a.label, b.label AS right_label, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) * greatest(least(a.z1, b.z1) - greatest(a.z0, b.z0), 0) AS c,
               (a.x1 - a.x0) * (a.y1 - a.y0) * (a.z1 - a.z0) AS va, (b.x1 - b.x0) * (b.y1 - b.y0) * (b.z1 - b.z0) AS vb FROM ba a CROSS JOIN bb b)
         SELECT label, right_label, round(c / (va + vb - c), 6) AS iou FROM v WHERE c > 0 AND c / (va + vb - c) >= 0.1""",
-    "points_in_box_audit": f"""{_AB}, bx AS (SELECT label AS box, {_BOX} FROM a WHERE vid % 7 = 0 GROUP BY 1)
+    "points_in_box_audit": f"""{_AB}, bx AS (SELECT label AS box, {_BOX} FROM a GROUP BY 1)
         SELECT box, count(*) AS inside, count(*) FILTER (label = box) AS own FROM p JOIN bx ON x BETWEEN x0 - 0.02 AND x1 + 0.02 AND y BETWEEN y0 - 0.02 AND y1 + 0.02 AND z BETWEEN z0 - 0.02 AND z1 + 0.02 GROUP BY box""",
     "nn_join_ab": f"{_AB}, {_NEAR} SELECT vid, right_vid, round(sqrt(d2), 6) AS distance FROM nn",
     "fraction_within": f"{_AB}, {_NEAR} SELECT label, round(count(nn.vid) / count(*), 6) AS fraction FROM a LEFT JOIN nn USING (vid) GROUP BY label",
