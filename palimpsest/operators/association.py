@@ -82,22 +82,30 @@ def greedy_nearest(left: DataFrame, right: DataFrame, radius: float, *, left_id:
     return greedy_pairs(near, left_id, f"right_{right_id}", "d2", group=[label])
 
 
-def ordered_greedy(candidates: DataFrame, frame: str, track: str, cluster: str, score: str, *, least: float) -> DataFrame:
-    """frame, track, cluster, score: within a frame, tracks in order take their best cluster that is still free and scores
-    strictly more. A frame's candidates, one image's clusters by live tracks, are bounded and go to one task each."""
+def rounds_of_pairs(candidates: DataFrame, left: str, right: str, left_order: Sequence[Column], right_order: Sequence[Column], *, group: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """group, left, right, keep: a one-to-one matching in which a pair is taken if it is the first of its left end's open
+    candidates by left_order and of its right end's by right_order, and its ends' other pairs go, until none is open. If
+    right_order is that of the left ends, this is what these get who choose one after the other."""
+    from ..plans.scratch import saved
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, own in rows.sort_values([track, score, cluster], ascending=[True, False, True]).groupby(track, sort=True):
-            for r in own.itertuples(index=False):
-                if getattr(r, score) > least and getattr(r, cluster) not in used:
-                    used.add(getattr(r, cluster))
-                    out.append(tuple(r))
-                    break
-        return pd.DataFrame(out, columns=rows.columns)
+    at = [Window.partitionBy(*group, c).orderBy(*o) for c, o in ((left, left_order), (right, right_order))]
+    open_ = saved(candidates.select(*group, left, right, *keep), "pairs")
+    taken = None
+    while not open_.isEmpty():
+        ranked = open_.withColumns({"_l": F.row_number().over(at[0]), "_r": F.row_number().over(at[1])})
+        won = saved(ranked.where("_l = 1 and _r = 1").drop("_l", "_r"), "won")
+        if won.isEmpty():
+            raise ValueError("the orders contradict each other: no pair is first on both sides")
+        taken = won if taken is None else taken.unionByName(won)
+        open_ = saved(open_.join(won.select(*group, left), [*group, left], "left_anti").join(won.select(*group, right), [*group, right], "left_anti"), "pairs")
+    return open_ if taken is None else taken
 
-    schema = candidates.select(frame, track, cluster, score).schema
-    return candidates.select(frame, track, cluster, score).groupBy(frame).applyInPandas(assign, schema)
+
+def ordered_greedy(candidates: DataFrame, frame: str, track: str, cluster: str, score: str, *, least: float) -> DataFrame:
+    """frame, track, cluster, score: within a frame, tracks in order take their best cluster that is still free and scores
+    strictly more; the smaller cluster on a tie. In rounds, so that no frame comes to one task."""
+    rows = candidates.select(frame, track, cluster, score).where(F.col(score) > least)
+    return rounds_of_pairs(rows, track, cluster, [F.col(score).desc(), F.col(cluster).asc()], [F.col(track).asc()], group=[frame], keep=[score])
 
 
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -128,17 +136,31 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j])
 
 
-def optimal(costs: DataFrame, group: str, left: str, right: str, cost: str, *, missing: float) -> DataFrame:
-    """group, left, right, cost: a cheapest one-to-one matching in each group; pairs without a row cost missing and are not
-    returned. Groups, such as one image's instances, are bounded."""
+def optimal(costs: DataFrame, group: str, left: str, right: str, cost: str, *, missing: float, most: int = 4_000_000) -> DataFrame:
+    """group, left, right, cost: a cheapest one-to-one matching in each group, in which a pair without a row, or left apart, costs
+    missing. What rows connect is solved in one task, apart from the rest of its group; a part whose table would have
+    more than most cells is an error."""
+    from .components import connected_components
+
+    rows = costs.select(group, left, right, cost).where(F.col(cost) < missing)
+    end = lambda c, side: F.struct(F.col(group).alias("g"), F.lit(side).alias("s"), F.col(c).cast("string").alias("c"))
+    part = connected_components(rows.select(end(left, 0).alias("u"), end(right, 1).alias("v")))
+    named = rows.withColumn("_u", end(left, 0)).join(part, F.col("_u") == part["node"]).select(group, left, right, cost, F.col("component").alias("_part"))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         table = rows.pivot_table(index=left, columns=right, values=cost, aggfunc="min")
-        matrix = table.fillna(missing).to_numpy(float)
-        got = [(rows[group].iloc[0], table.index[i], table.columns[j], matrix[i, j]) for i, j in hungarian(matrix) if not np.isnan(table.iat[i, j])]
+        n, m = table.shape
+        if (n + m) ** 2 > most:
+            raise ValueError(f"a part of {n} by {m} is too large for one task")
+        # every end may stay alone, for half of missing
+        matrix = np.full((n + m, n + m), missing / 2)
+        matrix[:n, :m] = table.fillna(np.inf).to_numpy(float)
+        matrix[n:, m:] = 0.0
+        matrix[~np.isfinite(matrix)] = 4.0 * missing * (n + m)
+        got = [(rows[group].iloc[0], table.index[i], table.columns[j], table.iat[i, j]) for i, j in hungarian(matrix) if i < n and j < m]
         return pd.DataFrame(got, columns=[group, left, right, cost])
 
-    return costs.select(group, left, right, cost).groupBy(group).applyInPandas(solve, costs.select(group, left, right, cost).schema)
+    return named.groupBy("_part").applyInPandas(lambda rows: solve(rows.drop(columns="_part")), rows.schema)
 
 
 def merge_targets(merges: DataFrame, from_col: str = "from_node", to_col: str = "to_node", valid: str = "is_valid", order: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,11 @@ def sized(points: DataFrame, keys: Sequence[str], least: int = 1, most: int | No
     return points.groupBy(*keys).agg(F.count("*").alias("n")).where((n >= least) & (n <= most if most else F.lit(True)))
 
 
-def rejected(rows: DataFrame, prompts: DataFrame, feature: str, prompt: str, limit: float) -> DataFrame:
+def rejected(rows: DataFrame, prompts: DataFrame, feature: str, prompt: str, limit: float, *, most: int = 1000) -> DataFrame:
     """rows without those that resemble a prompt by more than the limit. Prompts are a dimension of a few rows, joined as one
-    array; a row without a feature stays."""
+    array; more than most are an error. A row without a feature stays."""
+    if prompts.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} prompts")
     line = prompts.agg(F.collect_list(prompt).alias("_prompts"))
     best = F.array_max(F.transform("_prompts", lambda p: cosine(F.col(feature), p)))
     return rows.crossJoin(F.broadcast(line)).where(F.coalesce(best <= limit, F.lit(True))).drop("_prompts")
@@ -54,6 +57,38 @@ def islands(members: DataFrame, label: str, component: str, *, least: int, share
     return sizes.join(top, label).select(label, component, "n", ((F.col("n") >= least) & (F.col("n") >= share * F.col("_top"))).alias("kept"))
 
 
+def islands_by_gap(components: DataFrame, label: str, component: str, low: Sequence[str], high: Sequence[str], *, least: int, gap: float) -> DataFrame:
+    """label, component, n, kept for components with their size n and box: the largest of a label stays (the smaller id on a
+    tie), another one of at least least members only if its box is no farther than gap from the largest's, along every axis."""
+    top = components.groupBy(label).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(component).alias("c"), *[F.col(c).alias(f"t_{c}") for c in (*low, *high)])).alias("t"))
+    near = F.lit(True)
+    for a, b in zip(low, high, strict=True):
+        near = near & (F.greatest(F.col(a) - F.col(f"t.t_{b}"), F.col(f"t.t_{a}") - F.col(b)) <= gap)
+    kept = (F.col(component) == F.col("t.c")) | ((F.col("n") >= least) & near)
+    return components.join(top, label).select(label, component, "n", kept.alias("kept"))
+
+
+def face_neighbours(faces: DataFrame, fid: str = "fid", corners: Sequence[str] = ("a", "b", "c")) -> DataFrame:
+    """u, v: faces that share an edge, each pair once."""
+    a, b, c = corners
+    edges = faces.select(fid, F.explode(F.array(*[F.struct(F.least(x, y).alias("p"), F.greatest(x, y).alias("q")) for x, y in ((a, b), (b, c), (c, a))])).alias("e"))
+    return edges.select(F.col(fid).alias("u"), "e").join(edges.select(F.col(fid).alias("v"), "e"), "e").where("u < v").select("u", "v").distinct()
+
+
+def without_small(labels: DataFrame, edges: DataFrame, fid: str, label: str, least: int) -> DataFrame:
+    """fid, label: members (labels other than 0) of components of fewer than least take the label that most of their border's
+    edges lead to, the smaller one on a tie; 0, which is no label, if there is none."""
+    a, b = (labels.select(F.col(fid).alias(n), F.col(label).alias(f"l{n}")) for n in "uv")
+    met = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(a, "u").join(b, "v")
+    found = connected_components(met.where("lu = lv and lu <> 0").select("u", "v"))
+    placed = labels.join(found, labels[fid] == found["node"], "left").select(fid, label, F.coalesce("component", fid).alias("_c"))
+    small = placed.where(F.col(label) != 0).groupBy("_c").agg(F.count("*").alias("_n")).where(F.col("_n") < least).select("_c")
+    votes = met.where("lu <> lv and lv <> 0").join(placed.select(F.col(fid).alias("u"), "_c"), "u").join(small, "_c").groupBy("_c", "lv").agg(F.count("*").alias("_m"))
+    best = votes.groupBy("_c").agg(F.min(F.struct((-F.col("_m")).alias("m"), F.col("lv").alias("l"))).alias("_b"))
+    whole = placed.join(small.withColumn("_small", F.lit(True)), "_c", "left").join(best, "_c", "left")
+    return whole.select(fid, F.when(F.col("_small") & (F.col(label) != 0), F.coalesce("_b.l", F.lit(0))).otherwise(F.col(label)).alias(label))
+
+
 def attach(centres: DataFrame, major: Column, radius: float, *, cid: str, label: str, coords: Sequence[str] = XYZ) -> DataFrame:
     """cid, target: small components go to the nearest major one of their label within the radius, else to none."""
     small, large = centres.where(~major), centres.where(major)
@@ -85,14 +120,17 @@ def pixel_iou(a: DataFrame, b: DataFrame, pixel: Sequence[str], left: str, right
     return common.join(nx, left).join(ny, right).select(left, right, "common", (F.col("common") / (F.col("_nx") + F.col("_ny") - F.col("common"))).alias("iou"))
 
 
-def hops(edges: DataFrame, seeds: DataFrame, node: str, limit: int) -> DataFrame:
-    """node, distance: steps along undirected edges (u, v) from the nearest seed, up to the limit; a frontier join a step."""
+def hops(edges: DataFrame, seeds: DataFrame, node: str, limit: int | None = None) -> DataFrame:
+    """node, distance: steps along undirected edges (u, v) from the nearest seed; a frontier join a step. With a limit only
+    those within it, without one all that are reached."""
     from ..plans.scratch import saved
 
     both = saved(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     seen = saved(seeds.select(F.col(node).alias("node"), F.lit(0).alias("distance")).distinct(), "seen")
     front = seen
-    for k in range(1, limit + 1):
+    for k in count(1):
+        if limit is not None and k > limit:
+            break
         step = both.join(front, both["u"] == front["node"]).select(F.col("v").alias("node")).distinct()
         front = saved(step.join(seen, "node", "left_anti").select("node", F.lit(k).alias("distance")), "front")
         if front.isEmpty():

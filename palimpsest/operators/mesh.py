@@ -25,9 +25,14 @@ def newest_per_voxel(vertices: DataFrame, ts: str, size: float, slack: int = 0,
 
 
 def weld(base: DataFrame, added: DataFrame, radius: float, *, vid: str = "vid", coords: Sequence[str] = XYZ) -> DataFrame:
-    """vid, target: each added vertex goes to the nearest existing one within the radius, else to itself."""
+    """vid, target: each added vertex goes to the nearest existing one within the radius, else to itself; one whose own id an
+    existing vertex has gets an id above all others."""
     near = nearest(added, base, radius, left_id=vid, right_id=vid, coords=coords)
-    return added.select(vid).join(near, vid, "left").select(vid, F.coalesce(f"right_{vid}", vid).alias("target"))
+    placed = added.select(vid).join(near.select(vid, F.col(f"right_{vid}").alias("_to")), vid, "left")
+    from .alignment import fresh_ids
+
+    fresh = fresh_ids(placed.where("_to is null").select(vid), base.select(vid), vid)
+    return placed.where("_to is not null").select(vid, F.col("_to").alias("target")).unionByName(fresh.select(vid, F.col("new_id").alias("target")))
 
 
 def append(base: DataFrame, added: DataFrame, radius: float, *, vid: str = "vid", supported: bool = False, coords: Sequence[str] = XYZ) -> DataFrame:
@@ -84,6 +89,17 @@ def dominant_plane(points: DataFrame, keys: Sequence[str], z: Column, size: floa
     return best.select(*keys, F.col("b.plane").alias("plane"), (-F.col("b.m")).alias("n"))
 
 
+def dominant_planes(points: DataFrame, keys: Sequence[str], z: Column, size: float) -> DataFrame:
+    """keys, lower, upper: the best supported height bins of the lower and of the upper half of each key's bins; the lower half
+    ends at the middle of the lowest and the highest bin. Of equal ones the lower bin counts."""
+    from ..functions.geometry import plane_key
+
+    counts = points.groupBy(*keys, plane_key(z, size).alias("plane")).agg(F.count("*").alias("n"))
+    ends = counts.groupBy(*keys).agg(((F.min("plane") + F.max("plane")) / 2).alias("_mid"))
+    best = lambda side: F.min(F.when(side, F.struct((-F.col("n")).alias("m"), F.col("plane").alias("p"))))["p"]
+    return counts.join(ends, list(keys)).groupBy(*keys).agg(best(F.col("plane") <= F.col("_mid")).alias("lower"), best(F.col("plane") > F.col("_mid")).alias("upper"))
+
+
 def voxel_components(points: DataFrame, label: str, size: float, *, diagonal: bool = True, coords: Sequence[str] = XYZ) -> DataFrame:
     """label, cell, component (its smallest cell): occupied voxels of one label that touch, by 26 or 6 neighbours."""
     from ..functions.geometry import pack_voxel, voxel

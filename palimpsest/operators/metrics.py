@@ -57,3 +57,15 @@ def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, n, mean, std, low, high over values that are numbers; the population's deviation."""
     v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
     return df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
+
+
+def distinct_targets(links: DataFrame, source: str, target: str, order: Sequence[str]) -> DataFrame:
+    """The first link, in order, of each source and of those the first to each target: no target counts twice."""
+    row = F.struct(*[F.col(c) for c in links.columns])
+    first = links.groupBy(source).agg(F.min_by(row, F.struct(*order)).alias("_r")).select("_r.*")
+    return first.groupBy(target).agg(F.min_by(row, F.struct(*order)).alias("_r")).select("_r.*")
+
+
+def rates_with(tp: Column, fp: Column, fn: Column, missed: Column, hallucinated: Column) -> tuple[Column, Column, Column]:
+    """precision, recall, f1 in which what was not detected at all counts too."""
+    return rates(tp, fp + hallucinated, fn + missed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +32,42 @@ def arc_length(rows: DataFrame, key: str, ts: str, coords: Sequence[str]) -> Dat
     return stepped.withColumn("length", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def unwrapped(rows: DataFrame, key: str, ts: str, angle: Column) -> DataFrame:
+    """rows with angle and yaw: the angle continued over full turns, from the first one on."""
+    order = Window.partitionBy(key).orderBy(ts)
+    at = rows.withColumn("angle", angle)
+    turn = F.col("angle") - F.lag("angle").over(order)
+    # to [-pi, pi)
+    step = F.pmod(turn + math.pi, F.lit(2 * math.pi)) - math.pi
+    first = F.first("angle").over(order)
+    stepped = at.withColumns({"_s": F.coalesce(step, F.lit(0.0)), "_f": first})
+    return stepped.withColumn("yaw", F.col("_f") + F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_s", "_f")
+
+
+def smoothed(rows: DataFrame, key: str, ts: str, angle: str, reach: int, sigma: float) -> DataFrame:
+    """rows with smooth: the direction of the Gaussian mean of the unit vectors up to reach rows on either side."""
+    order = Window.partitionBy(key).orderBy(ts)
+    sums = {}
+    for name, f in (("_x", F.cos), ("_y", F.sin)):
+        parts = []
+        for k in range(-reach, reach + 1):
+            at = F.lag(angle, -k).over(order) if k < 0 else F.lead(angle, k).over(order) if k > 0 else F.col(angle)
+            parts.append(F.coalesce(f(at) * math.exp(-k * k / (2 * sigma * sigma)), F.lit(0.0)))
+        sums[name] = sum(parts[1:], parts[0])
+    return rows.withColumns(sums).withColumn("smooth", F.atan2("_y", "_x")).drop("_x", "_y")
+
+
+def resampled(rows: DataFrame, key: str, ts: str, coords: Sequence[str], spacing: float) -> DataFrame:
+    """key, place, coords: points every spacing along each path, from its first one, linear in between."""
+    order = Window.partitionBy(key).orderBy(ts)
+    at = arc_length(rows, key, ts, coords)
+    ahead = at.select(key, "length", *coords, F.lead("length").over(order).alias("_l"), *[F.lead(c).over(order).alias(f"_{c}") for c in coords])
+    first, last = F.ceil(F.col("length") / spacing), F.ceil(F.col("_l") / spacing) - 1
+    dense = ahead.where("_l > length").withColumn("place", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))))
+    share = (F.col("place") * spacing - F.col("length")) / (F.col("_l") - F.col("length"))
+    return dense.select(key, "place", *[(F.col(c) + (F.col(f"_{c}") - F.col(c)) * share).alias(c) for c in coords])
+
+
 def densify(rows: DataFrame, key: str, ts: str, values: Sequence[str], step: int) -> DataFrame:
     """key, ts, values at every step from each stamp up to the next, linear in between; the last row as it is."""
     order = Window.partitionBy(key).orderBy(ts)
