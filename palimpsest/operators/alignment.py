@@ -76,10 +76,25 @@ def remap(rows: DataFrame, rules: DataFrame, key: str, at: str, *, value: str, l
 
 def fresh_ids(rows: DataFrame, taken: DataFrame, node: str) -> DataFrame:
     """rows with new_id: a node whose id is taken gets one above all others, in the order of the ids."""
-    top = rows.select(node).unionByName(taken.select(node)).agg(F.max(node).alias("_top"))
-    clash = rows.join(taken.select(node).distinct(), node, "left_semi").select(node).distinct()
     from .mesh import renumber
 
-    numbered = renumber(clash, [], vid=node).crossJoin(F.broadcast(top))  # one row
-    new = numbered.select(node, (F.col("_top") + 1 + F.col("target")).alias("_new"))
+    top = rows.select(node).unionByName(taken.select(node)).agg(F.max(node)).scalar()
+    clash = rows.join(taken.select(node).distinct(), node, "left_semi").select(node).distinct()
+    new = renumber(clash, [], vid=node).select(node, (top + 1 + F.col("target")).alias("_new"))
     return rows.join(new, node, "left").withColumn("new_id", F.coalesce("_new", node)).drop("_new")
+
+
+def restored(prior: DataFrame, current: DataFrame, node: str, state: str, states: Sequence[str]) -> DataFrame:
+    """node, new_id of the prior nodes in one of the states, with fresh ids where the current ones have theirs."""
+    return fresh_ids(prior.where(F.col(state).isin(list(states))).select(node), current.select(node), node)
+
+
+def span(rows: DataFrame, order: Sequence[str], start: int, n: int) -> DataFrame:
+    """n rows from a place in the order on, from 0."""
+    return rows.orderBy(*order).offset(start).limit(n)
+
+
+def random_rows(rows: DataFrame, keys: Sequence[str], index: str, n: int, seed: int = 0) -> DataFrame:
+    """At most n rows of each key, as if drawn at random; the same ones each time. The limit on the rank is pushed below the shuffle."""
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(index).cast("string")).cast("binary"))
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(draw, index))).where(F.col("_n") <= n).drop("_n")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.scratch import saved
 
@@ -31,14 +35,51 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", *, rounds: int = 64) -> DataFrame:
+#: Edges that one task may settle by itself.
+SMALL = 100_000
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """(node, component) of few edges, in one task."""
+    kind = edges.schema["u"].dataType
+    schema = T.StructType([T.StructField(c, kind) for c in ("node", "component")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        parent: dict = {}
+        named = isinstance(kind, T.StructType)
+        key = (lambda x: tuple(x.values())) if named else (lambda x: x)
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                a, c = root(key(u)), root(key(v))
+                if a != c:
+                    parent[max(a, c)] = min(a, c)
+        rows = [(x, root(x)) for x in list(parent)]
+        back = (lambda x: dict(zip(kind.names, x, strict=True))) if named else (lambda x: x)
+        arrow = to_arrow_schema(schema)
+        yield pa.RecordBatch.from_arrays([pa.array([back(r[k]) for r in rows], arrow.field(k).type) for k in (0, 1)], schema=arrow)
+
+    return edges.coalesce(1).mapInArrow(run, schema)
+
+
+def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", *, rounds: int = 64, small: int = SMALL) -> DataFrame:
     """(node, component) for every node of an edge; component is its smallest reachable node.
 
-    Null ends and self loops make no link. Each round is written to the shared folder; edges never leave the executors."""
+    Null ends and self loops make no link. Each round is written to the shared folder. As soon as no more than small edges
+    are left, which each round counts, one task settles them; small 0 leaves all to the rounds."""
     now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct()
     now = saved(now, "edges")
     state = _state(now)
     for _ in range(rounds):
+        if state[0] <= small:
+            return saved(_settled(now), "components")
         if not state[0]:
             break
         now = saved(_small_star(_large_star(now)), "edges")

@@ -41,11 +41,35 @@ def pairs(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, rig
     return met.withColumn("d2", d2).where(F.col("d2") <= radius * radius).select(left_id, *equal, f"right_{right_id}", *more, *[f"_{c}" for c in more], "d2")
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, right_id: str, coords: Sequence[str] = XYZ, equal: Sequence[str] = ()) -> DataFrame:
-    """left_id, right_<right_id>, distance: the nearest within the radius, the smaller id on a tie; no row without one."""
-    near = pairs(left, right, radius, left_id=left_id, right_id=right_id, coords=coords, equal=equal)
-    best = near.groupBy(left_id).agg(F.min(F.struct("d2", F.col(f"right_{right_id}").alias("id"))).alias("best"))
-    return best.select(left_id, F.col("best.id").alias(f"right_{right_id}"), F.sqrt("best.d2").alias("distance"))
+#: Right-hand points of one cell beyond which nearest ones are looked for in finer cells first.
+DENSE = 256
+
+
+def nearest(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, right_id: str, coords: Sequence[str] = XYZ, equal: Sequence[str] = (), dense: int = DENSE) -> DataFrame:
+    """left_id, right_<right_id>, distance: the nearest within the radius, the smaller id on a tie; no row without one.
+
+    Points at one place meet as one. Where a cell has more than dense of them, which is measured, ever larger radii are tried on what is
+    left: a neighbour within a radius is the nearest one if the cells are no smaller, so crowded places make few pairs."""
+    to = f"right_{right_id}"
+    places = right.groupBy(*equal, *coords).agg(F.min(right_id).alias(right_id))
+    most = places.groupBy(*equal, cell(coords, radius)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    radii = [radius]
+    while most > dense and len(radii) < 7:
+        radii.insert(0, radii[0] / 2)
+        most /= 4  # surfaces, not volumes, are crowded
+    own = left.select(left_id, *equal, *coords).where(" and ".join(f"`{c}` is not null" for c in coords))
+    out = None
+    for r in radii:
+        near = pairs(own, places, r, left_id=left_id, right_id=right_id, coords=coords, equal=equal)
+        best = near.groupBy(left_id).agg(F.min(F.struct("d2", F.col(to).alias("id"))).alias("best"))
+        found = best.select(left_id, F.col("best.id").alias(to), F.sqrt("best.d2").alias("distance"))
+        if len(radii) > 1:
+            from ..plans.scratch import saved
+
+            found = saved(found, "near")
+            own = own.join(found.select(left_id), left_id, "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, right_id: str, coords: Sequence[str] = XYZ, anti: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,24 @@ def session_update(before: DataFrame, after: DataFrame, label: str, *, free_shar
     return met.withColumn("decision", decision).drop("_before", "_after")
 
 
+def decide(known: DataFrame, now: DataFrame, label: str, *, free: str, support: str, least_free: float, supported: float, background: Sequence[int] = ()) -> DataFrame:
+    """label, decision for the labels of either session: background is joined; what only the later session has is new; what it
+    lacks is absent if it sees through most of it, else unobserved; what both have is joined where the prior is supported,
+    else the later one holds alone if it sees through the prior, or with the prior's supported part."""
+    a, b = known.select(label, free, support, F.lit(True).alias("_k")), now.select(label).distinct().withColumn("_n", F.lit(True))
+    met = a.join(b, label, "full_outer")
+    decision = (
+        F.when(F.col(label).isin(list(background)), "background_union")
+        .when(F.col("_k").isNull(), "new_current")
+        .when(F.col("_n").isNull() & (F.col(free) >= least_free), "absent")
+        .when(F.col("_n").isNull(), "unobserved")
+        .when(F.col(support) >= supported, "persistent_union")
+        .when(F.col(free) >= least_free, "current_only")
+        .otherwise("supported_prior")
+    )
+    return met.select(label, decision.alias("decision"))
+
+
 def match_prior(prior: DataFrame, current: DataFrame, radius: float, *, prior_id: str, current_id: str, label: str) -> DataFrame:
     """prior_id, right_<current_id> (null: not matched), d2: one-to-one, nearest first, equal labels."""
     found = greedy_nearest(prior, current, radius, left_id=prior_id, right_id=current_id, label=label)

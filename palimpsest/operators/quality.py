@@ -51,3 +51,38 @@ def compare_runs(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, th
         F.count_if(d < -t).alias("closer"),
         F.count_if(d > t).alias("farther"),
     )
+
+
+def run_gates(frames: DataFrame, done: DataFrame, mesh: DataFrame, *, seed: DataFrame, written: DataFrame, frame: str = "frame", stamp: str = "stamp") -> DataFrame:
+    """rule, failed: the accounting of a run. frames: what came in; done: what was processed; seed and written: one column, what a
+    session began with and what the one before it had written."""
+    known, acted = frames.select(frame).distinct(), done.select(frame).distinct()
+    one = lambda df, c: df.agg(c.alias("failed"))
+    newest = frames.agg(F.max(stamp).alias("a")).crossJoin(done.agg(F.max(stamp).alias("b")))  # a row each
+    a, b = seed.columns[0], written.columns[0]
+    differ = seed.select(F.col(a).alias("s")).distinct().join(written.select(F.col(b).alias("w")).distinct(), F.col("s") == F.col("w"), "full_outer").where("s is null or w is null")
+    rules = {
+        "frames accounted for": one(known.join(acted, frame, "left_anti"), F.count("*")),
+        "frames processed once": one(done.groupBy(frame).count().where("count > 1"), F.count("*")),
+        "no unknown frame": one(done.join(known, frame, "left_anti"), F.count("*")),
+        "final stamp reached": newest.select(F.when(F.col("b") >= F.col("a"), 0).otherwise(1).cast("long").alias("failed")),
+        "mesh is not empty": one(mesh, F.when(F.count("*") > 0, 0).otherwise(1).cast("long")),
+        "seed equals what was written": one(differ, F.count("*")),
+    }
+    out = None
+    for name, df in rules.items():
+        row = df.select(F.lit(name).alias("rule"), "failed")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def dataset_checks(pixels: DataFrame, valid: Column, poses: DataFrame, pose: str, distances: DataFrame, distance: str, *, least_valid: float, most_mean: float) -> DataFrame:
+    """rule, value, passed: the share of valid depths, the share of rigid poses, the mean distance of points that came back."""
+    from ..functions.geometry import rigid
+
+    rows = [
+        pixels.agg(F.avg(valid.cast("int")).alias("value")).select(F.lit("valid depths").alias("rule"), "value", (F.col("value") >= least_valid).alias("passed")),
+        poses.agg(F.avg(rigid(F.col(pose)).cast("int")).alias("value")).select(F.lit("rigid poses").alias("rule"), "value", (F.col("value") >= 1.0).alias("passed")),
+        distances.agg(F.avg(distance).alias("value")).select(F.lit("mean distance").alias("rule"), "value", (F.col("value") <= most_mean).alias("passed")),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

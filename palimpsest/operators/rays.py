@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import pack_voxel, squared_distance, voxel
 
 SOURCE, TARGET, POINT = ("sx", "sy", "sz"), ("tx", "ty", "tz"), ("x", "y", "z")
+#: Rays of one cell that are joined in one place; cells with more are dealt over several.
+RAYS_A_CELL = 50_000
 
 
 def _along(block: float, grow: float) -> Column:
@@ -40,11 +42,15 @@ def verify(points: DataFrame, rays: DataFrame, *, point_id: str, ray_id: str, ts
 
     A ray's samples are at most a quarter block apart, so a point goes to all cells within the tolerance and half of that."""
     cells = ray_blocks(rays, ray_id, block, grow=depth)
+    heavy = cells.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    salts = max(1, -(-heavy // RAYS_A_CELL))  # next to a sensor a cell has all its rays
+    cells = cells.withColumn("_salt", F.pmod(F.xxhash64(ray_id), F.lit(salts)))
     near = math.hypot(radial, block / 8) + 1e-9
     at = points.select(point_id, *POINT)
     for c, n in zip(POINT, "ijk", strict=True):
         at = at.withColumn(f"_{n}", F.explode(F.sequence(voxel(F.col(c) - near, block), voxel(F.col(c) + near, block))))
-    pairs = at.select(point_id, pack_voxel(F.col("_i"), F.col("_j"), F.col("_k")).alias("cell")).join(cells, "cell").select(point_id, ray_id).distinct()
+    asked = at.select(point_id, pack_voxel(F.col("_i"), F.col("_j"), F.col("_k")).alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
+    pairs = asked.join(cells, ["cell", "_salt"]).select(point_id, ray_id).distinct()
     met = pairs.join(points, point_id).join(rays.select(ray_id, ts, *SOURCE, *TARGET), ray_id)
     if earliest is not None:
         met = met.where(F.col(ts) >= earliest)
@@ -89,25 +95,67 @@ POLICIES = ("first", "last", "first_and_last", "middle", "all")
 
 def sources(windows: DataFrame, poses: DataFrame, policy: str, *, key: str, group: str, first: str = "first", last: str = "last", ts: str = "ts") -> DataFrame:
     """key, ts: the poses of the same group that see each observation window, closed on both sides, by the policy. middle is
-    the nearest to the window's centre, the earlier on a tie. A window without a pose gives no row."""
+    the nearest to the window's centre, the earlier on a tie. A window without a pose gives no row.
+
+    One pose a window is an as-of join, which makes no pairs; all of them are joined by slices of time as wide as the
+    average window."""
     if policy not in POLICIES:
         raise ValueError(f"policy is one of {POLICIES}")
-    met = windows.join(poses, group).where(F.col(ts).between(F.col(first), F.col(last))).select(key, ts, first, last)
+    own = windows.select(key, group, F.col(first).alias("_lo"), F.col(last).alias("_hi")).where("_lo <= _hi")
+    line = poses.select(group, F.col(ts).alias("_ts")).distinct()
     if policy == "all":
-        return met.select(key, ts)
+        width = own.agg(F.greatest(F.avg(F.col("_hi") - F.col("_lo")), F.lit(1.0)).cast("long")).first()[0] or 1
+        cut = lambda c: F.expr(f"{c} div {int(width)}L")
+        dealt = own.withColumn("_at", F.explode(F.sequence(cut("_lo"), cut("_hi"))))
+        return dealt.join(line.withColumn("_at", cut("_ts")), [group, "_at"]).where("_ts between _lo and _hi").select(key, F.col("_ts").alias(ts))
+    near = lambda at, **k: as_of(own.withColumn("_at", at), line, by=[group], at="_at", ts="_ts", **k)
     if policy == "middle":
-        off = F.abs(2 * F.col(ts) - F.col(first) - F.col(last))
-        return met.groupBy(key).agg(F.min(F.struct(off.alias("off"), F.col(ts).alias("ts"))).alias("m")).select(key, F.col("m.ts").alias(ts))
-    ends = met.groupBy(key).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    if policy == "first_and_last":
-        return ends.select(key, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias(ts))
-    return ends.select(key, F.col("_lo" if policy == "first" else "_hi").alias(ts))
+        centre = F.col("_lo") + F.floor((F.col("_hi") - F.col("_lo")) / 2)
+        both = near(centre).unionByName(near(centre, forward=True)).where("_ts between _lo and _hi")
+        off = F.abs(2 * F.col("_ts") - F.col("_lo") - F.col("_hi"))
+        return both.groupBy(key).agg(F.min(F.struct(off.alias("off"), F.col("_ts").alias("ts"))).alias("m")).select(key, F.col("m.ts").alias(ts))
+    ends = []
+    if policy != "last":
+        ends.append(near(F.col("_lo"), forward=True).where("_ts <= _hi"))
+    if policy != "first":
+        ends.append(near(F.col("_hi")).where("_ts >= _lo"))
+    met = [e.select(key, F.col("_ts").alias(ts)) for e in ends]
+    return met[0] if len(met) == 1 else met[0].unionByName(met[1]).distinct()
+
+
+#: Rows of a group that one slice of an as-of join has on average, at most.
+SLICE = 200_000
+
+
+def as_of(left: DataFrame, right: DataFrame, *, by: Sequence[str], at: str, ts: str, value: str | None = None, forward: bool = False, rows: int = SLICE) -> DataFrame:
+    """left with the stamp, or the value, of the latest right row at or before column at (forward: the earliest at or after it)
+    within by, null if there is none. right has one row a stamp.
+
+    One sort of both sides, no pairs. Where the largest group has more than rows rows it is cut into slices of time, sorted
+    apart; each slice begins with what the ones before it (after it) end with, a row a slice."""
+    value, kept = value or ts, left.columns
+    span = right.groupBy(*by).agg(F.count("*").alias("n"), (F.max(ts).cast("long") - F.min(ts).cast("long")).alias("w")).agg(F.max("n"), F.max(F.col("w") * rows / F.col("n"))).first()
+    width = max(1, int(span[1] or 1)) if (span[0] or 0) > rows else None
+    cut = (lambda c: F.floor(F.col(c).cast("long") / width)) if width else (lambda c: F.lit(0))
+    a = left.withColumns({"_t": F.col(at), "_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)})
+    b = right.select(*by, F.col(ts).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_s", cut("_t").cast("long"))
+    side = F.col("_side")
+    order = Window.partitionBy(*by, "_s").orderBy(*([F.col("_t").desc(), side] if forward else ["_t", side])).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_f", F.last(F.when(side == 0, F.struct(F.col("_v").alias("v"))), ignorenulls=True).over(order)).where("_side = 1")
+    best = F.col("_f.v")
+    if width:
+        pick = F.min_by if forward else F.max_by
+        ends = b.groupBy(*by, cut("_t").cast("long").alias("_s")).agg(pick("_v", "_t").alias("_e"))
+        # slices without right rows take over as well: they are asked for too
+        asked = found.select(*by, "_s").distinct().join(ends, [*by, "_s"], "full_outer")
+        over = Window.partitionBy(*by).orderBy(F.col("_s").desc() if forward else F.col("_s")).rowsBetween(Window.unboundedPreceding, -1)
+        carried = asked.withColumn("_c", F.last("_e", ignorenulls=True).over(over)).select(*by, "_s", "_c")
+        found, best = found.join(carried, [*by, "_s"], "left"), F.coalesce(best, F.col("_c"))
+    names = [c for c in kept if c != value]
+    return found.select(*names, best.alias(value))
 
 
 def nearest_before(left: DataFrame, right: DataFrame, *, by: Sequence[str], ts: str, value: str) -> DataFrame:
-    """left with the value of the latest right row at or before its ts within by: one sort, no pairs."""
-    a = left.withColumn("_side", F.lit(1)).withColumn("_value", F.lit(None).cast(right.schema[value].dataType))
-    b = right.select(*by, ts, F.lit(0).alias("_side"), F.col(value).alias("_value"))
-    order = Window.partitionBy(*by).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True)
-    return both.withColumn(value, F.last(F.when(F.col("_side") == 0, F.col("_value")), ignorenulls=True).over(order)).where("_side = 1").drop("_side", "_value")
+    """left with the value of the latest right row at or before its ts within by."""
+    return as_of(left, right.select(*by, F.col(ts).alias("_right_ts"), value), by=by, at=ts, ts="_right_ts", value=value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,12 @@ _paths: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; only where that is unset (tests), a temporary one."""
+    """A new path in the folder that spark.checkpoint.dir names. Where that is unset, a local master gets a temporary one;
+    on a cluster, whose executors don't share such a folder, it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", root)
     _paths.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..operators.presence import is_present
 
 
-def snapshot_stamp(snapshots: DataFrame, times: DataFrame, stamp: str, t: str, *, later: bool = True) -> DataFrame:
+def snapshot_stamp(snapshots: DataFrame, times: DataFrame, stamp: str, t: str, *, later: bool = True, most: int = 100_000) -> DataFrame:
     """t, stamp: the snapshot that answers each query time, clamped to the timeline: the first one at or after it, which
-    knows most (later), or else the last one at or before it. The timeline's stamps meet the times as one sorted array in
-    each row of a single-row side."""
+    knows most (later), or else the last one at or before it. The timeline's stamps, a few per session, meet the times as
+    one sorted array in each row of a single-row side; more than most of them are an error."""
+    if snapshots.select(stamp).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} snapshots")
     line = snapshots.agg(F.array_sort(F.collect_set(stamp)).alias("_line"))
     met = times.crossJoin(F.broadcast(line))  # one row: the timeline, one long per snapshot
     at = F.filter("_line", lambda s: s >= F.col(t)) if later else F.filter("_line", lambda s: s <= F.col(t))

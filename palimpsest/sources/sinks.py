@@ -56,3 +56,21 @@ def markdown(df: DataFrame, limit: int = 200) -> str:
 
 def manifest_json(row) -> str:
     return json.dumps(row.asDict(), sort_keys=True)
+
+
+def write_audits(tables: dict[str, DataFrame], path: str) -> None:
+    """Audit tables of a state as CSV with headers, a folder each, beside a manifest of their columns; the folder must not
+    exist. Nested columns are written as JSON text."""
+    for name, df in tables.items():
+        flat = [F.to_json(c).alias(c) if df.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(c) for c in df.columns]
+        df.select(*flat).write.option("header", True).csv(f"{path}/{name}")
+        df.sparkSession.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1).write.text(f"{path}/_schemas/{name}")
+
+
+def read_audit(spark, path: str, name: str) -> DataFrame:
+    """An audit table with the types it was written with."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_schemas/{name}").first()[0]))
+    rows = spark.read.option("header", True).csv(f"{path}/{name}")
+    return rows.select(*[F.from_json(f.name, f.dataType).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name).cast(f.dataType) for f in schema])

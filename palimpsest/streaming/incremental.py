@@ -4,36 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evidence import VERDICTS, Scan, bins, scan_bins
-from ..plans.scratch import saved
+from ..plans.scratch import scratch
+
+BUCKETS = 64
 
 
 class ChangeState:
-    """Counts of all evidence by key and bin, and the result of the scan, as written tables of the shared folder.
+    """Counts of all evidence by key and bin, and the scan's results, as tables of deltas in a folder of the shared store.
+
+    update() is meant for foreachBatch. A batch adds its own counts and the results of the keys it touches, dealt by key
+    into buckets; of the counts before it only the touched keys' buckets are read. What a folder holds is found again by
+    its name: after a restart the epochs it has are not added again, and one that was cut off is written anew."""
+
+    def __init__(self, keys: Sequence[str], ts: str, verdict: str, scan: Scan, folder: str | None = None) -> None:
+        self.keys, self.ts, self.verdict, self.scan, self.folder = list(keys), ts, verdict, scan, folder
+        self.spark: SparkSession | None = None
+        self._epoch: int | None = None
 
-    update() is meant for foreachBatch. Bins of new evidence are added to the counts; keys with new evidence are scanned
-    again from the counts, all others keep their result. An epoch that was seen is not added again."""
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(f"{self.folder}/{name}/epoch=*")
 
-    def __init__(self, keys: Sequence[str], ts: str, verdict: str, scan: Scan) -> None:
-        self.keys, self.ts, self.verdict, self.scan = list(keys), ts, verdict, scan
-        self.counts: DataFrame | None = None
-        self.result: DataFrame | None = None
-        self.epoch = -1
+    def _epochs(self, name: str) -> list[int]:
+        """The epochs whose tables are complete."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/epoch=*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        return [int(f.getPath().getParent().getName().partition("=")[2]) for f in found]
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).alias("bucket")
+
+    def _write(self, df: DataFrame, name: str, epoch: int) -> None:
+        df.select("*", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/epoch={epoch}")
 
     def update(self, batch: DataFrame, epoch: int) -> None:
-        if epoch <= self.epoch:
+        self.spark = batch.sparkSession
+        if self.folder is None:
+            self.folder = scratch(self.spark, "changes")
+        if self._epoch is None:
+            self._epoch = max(self._epochs("results"), default=-1)
+        if epoch <= self._epoch:
             return
-        fresh = saved(bins(batch, self.keys, self.ts, self.verdict, self.scan.resolution), "fresh")
-        dirty = fresh.select(*self.keys).distinct()
-        both = fresh if self.counts is None else self.counts.unionByName(fresh)
-        counts = saved(both.groupBy(*self.keys, "bin").agg(*[F.sum(v).alias(v) for v in VERDICTS]), "counts")
-        again = scan_bins(counts.join(dirty, self.keys, "left_semi"), self.keys, self.scan)
-        old = self.result.join(dirty, self.keys, "left_anti") if self.result is not None else None
-        self.result = saved(again if old is None else old.unionByName(again), "changes")
-        self.counts, self.epoch = counts, epoch
+        self._write(bins(batch, self.keys, self.ts, self.verdict, self.scan.resolution), "counts", epoch)
+        counts = self._table("counts").where(F.col("epoch") <= epoch)
+        dirty = counts.where(F.col("epoch") == epoch).select(*self.keys).distinct()
+        touched = [r[0] for r in dirty.select(self._bucket()).distinct().collect()]  # at most BUCKETS
+        whole = counts.where(F.col("bucket").isin(touched)).join(dirty, self.keys, "left_semi")
+        whole = whole.groupBy(*self.keys, "bin").agg(*[F.sum(v).alias(v) for v in VERDICTS])
+        self._write(scan_bins(whole, self.keys, self.scan), "results", epoch)
+        self._epoch = epoch
+
+    @property
+    def result(self) -> DataFrame:
+        """The newest result of every key."""
+        rows = self._table("results")
+        kept = [c for c in rows.columns if c not in ("epoch", "bucket")]
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*kept), "epoch").alias("r")).select("r.*")
 
 
 def every(n: int, act):
