@@ -137,7 +137,7 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, share: int
 def components(prints: DataFrame, radius: int = 2, *, bucket: int = BUCKET, share: int = SHARE) -> DataFrame:
     """doc_id, fp, component_id for rows of doc_id, fp: the smallest doc_id that links of at most radius bits reach."""
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    joined = connected_components(links(distinct, radius, bucket, share))
+    joined = connected_components(links(distinct, radius, bucket, share), small=0)
     roots = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id")
