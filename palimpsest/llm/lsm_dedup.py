@@ -1,26 +1,37 @@
 """Exact dedup by a log-structured merge index, in DataFrame operations only.
 
-Each task sorts its digests and flushes them as one run, a Parquet file whose Bloom filter and sorted row groups are
-its filters (level 0). Compaction merges all runs into one entry per digest, which keeps the smallest identifier and the
-count (level 1). Digests that more than one row has are hits; a bitmap of fixed size over them lets the second reading of
-the texts pass by most other rows, and the hits' bytes are compared: the least and the greatest text of each digest,
+Digests go into memtables: each task sorts its rows and flushes at most MEMTABLE of them as one run, a Parquet file whose
+Bloom filter and sorted row groups let a lookup skip it. A batch's runs are compacted into a tier, one entry per digest with
+the smallest identifier and the count, and a bitmap filter over its digests, FILTER_BITS a digest. A new batch is looked up in
+the older tiers: only digests that pass a tier's filter are joined with it, and a tier that none passes is not read. When
+fan tiers are within a factor of fan of each other they are compacted into one.
+
+A digest that more than one row has is a hit. Hits receive byte verification: a bitmap over them, sized by their number,
+lets the second reading of the texts pass by most other rows, and the least and the greatest text of each digest,
 pre-aggregated before the shuffle, must be the same bytes. Rows of digests for which they differ are grouped by bytes.
+Bitmaps are at most MOST_BITS (16 MB), a bound of what is broadcast; where hits need more, digests are joined instead.
+Digests that have a thousandth of all rows, fewer than a thousand, are broadcast to their rows, so none meets in one task.
 
 Defined results: a null text counts as empty. Null ids come after all others. Of rows that share both text and smallest
-id exactly one is kept. An empty table gives an empty result. Input columns other than the id and the text are not read.
+id exactly one is kept. An empty table gives an empty result. Repeated rows are rows of their own. A very long text is
+normalised and hashed whole. Input columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Bits of one bitmap row, as bitmap_construct_agg lays it out.
-BITMAP = 1 << 15
+#: Bits of one bitmap row, as bitmap_construct_agg lays it out; bits of a filter per key, and of a filter at most.
+BITMAP, FILTER_BITS, MOST_BITS = 1 << 15, 16, 1 << 27
+#: Rows of a run.
+MEMTABLE = 1_000_000
 #: The filters of a run: Parquet's own, on the key.
-RUN = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": "100000"}
+RUN = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": "100000", "maxRecordsPerFile": str(MEMTABLE)}
 
 
 def normalised(text: Column) -> Column:
@@ -53,33 +64,96 @@ def compact(runs: DataFrame) -> DataFrame:
     return saved(runs.groupBy("key").agg(_least().alias("keep"), F.count("*").alias("n")).sortWithinPartitions("key"), "level", **RUN)
 
 
-def hit_filter(level: DataFrame, filter_bits: int) -> DataFrame:
-    """A bitmap over the hits' keys, of at most 2 ** filter_bits bits whatever the number of rows."""
-    spots = level.where("n > 1").select(F.expr(f"pmod(xxhash64(key), {1 << filter_bits}L)").alias("spot"))
-    return spots.groupBy(F.expr(f"spot div {BITMAP}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"spot % {BITMAP}")).alias("bits"))
+def bits_for(keys: int) -> int:
+    """Bits of a filter over so many keys: a power of two."""
+    return min(MOST_BITS, max(BITMAP, 1 << (max(1, keys) * FILTER_BITS - 1).bit_length()))
 
 
-def candidates(texts: DataFrame, level: DataFrame, filter_bits: int) -> DataFrame:
-    """The rows of texts whose key may be a hit; the bitmap, at most 2 ** filter_bits / 8 bytes, is broadcast."""
-    spots = texts.withColumn("spot", F.expr(f"pmod(xxhash64(key), {1 << filter_bits}L)")).withColumn("bucket", F.expr(f"spot div {BITMAP}"))
-    bit = F.expr(f"shiftright(cast(conv(hex(substring(bits, cast(spot % {BITMAP} div 8 as int) + 1, 1)), 16, 10) as int), cast(spot % 8 as int)) & 1")
-    return spots.join(F.broadcast(hit_filter(level, filter_bits)), "bucket").where(bit == 1).select(*texts.columns)
+def bitmap(keys: DataFrame, bits: int) -> DataFrame:
+    """A filter over the keys, of bits bits: one row for each 2 ** 15 of them that has any set."""
+    spots = keys.select(F.expr(f"pmod(xxhash64(key), {bits}L)").alias("spot"))
+    return spots.groupBy(F.expr(f"spot div {BITMAP}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"spot % {BITMAP}")).alias("bits"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key_bytes: int = 32, filter_bits: int = 23) -> DataFrame:
+def passing(rows: DataFrame, filter_: DataFrame, bits: int) -> DataFrame:
+    """The rows whose key may be one of a filter's, which is broadcast: bits / 8 bytes."""
+    spots = rows.withColumn("spot", F.expr(f"pmod(xxhash64(key), {bits}L)")).withColumn("bucket", F.expr(f"spot div {BITMAP}"))
+    bit = F.expr(f"shiftright(cast(conv(hex(substring(bits, cast(spot % {BITMAP} div 8 as int) + 1, 1)), 16, 10) as int), cast(spot % 8 as int)) & 1")
+    return spots.join(F.broadcast(filter_), "bucket").where(bit == 1).select(*rows.columns)
+
+
+@dataclass
+class Tier:
+    """Compacted entries (key, keep, n), their number, and their filter."""
+
+    level: DataFrame
+    size: int
+    filter: DataFrame | None
+    bits: int
+
+
+class Index:
+    """Tiers of digests, the oldest first. reads counts the tiers that lookups have read."""
+
+    def __init__(self, fan: int = 4) -> None:
+        self.fan, self.tiers, self.reads = fan, [], 0
+
+    def _tier(self, level: DataFrame, size: int) -> Tier:
+        bits = bits_for(size)
+        full = size * FILTER_BITS > 8 * MOST_BITS  # such a filter would pass nearly all
+        return Tier(level, size, None if full else saved(bitmap(level, bits), "filter"), bits)
+
+    def add(self, runs: DataFrame) -> DataFrame:
+        """Compacts a batch's runs into a tier, and tiers into larger ones. Returns the batch's own level."""
+        level = compact(runs)
+        self.tiers.append(self._tier(level, level.count()))
+        while len(self.tiers) >= self.fan and self.tiers[-self.fan].size <= self.fan * max(1, self.tiers[-1].size):
+            old = self.tiers[-self.fan :]
+            union = old[0].level
+            for t in old[1:]:
+                union = union.unionByName(t.level)
+            whole = saved(union.groupBy("key").agg(F.min("keep").alias("keep"), F.sum("n").alias("n")).sortWithinPartitions("key"), "level", **RUN)
+            self.tiers[-self.fan :] = [self._tier(whole, whole.count())]
+        return level
+
+    def lookup(self, keys: DataFrame) -> DataFrame | None:
+        """key, keep, n of those of the distinct keys that the index has; None if no tier had to be read."""
+        found = None
+        for t in self.tiers:
+            asked = saved(keys.select("key") if t.filter is None else passing(keys.select("key"), t.filter, t.bits), "asked")
+            if asked.isEmpty():
+                continue
+            self.reads += 1
+            met = t.level.join(asked, "key")
+            found = met if found is None else found.unionByName(met)
+        return found and found.groupBy("key").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
+
+
+def candidates(texts: DataFrame, hits: DataFrame, n_hits: int) -> DataFrame:
+    """The rows of texts whose key may be a hit."""
+    bits = bits_for(n_hits)
+    if n_hits * FILTER_BITS > 8 * bits:
+        return texts.join(hits.select("key"), "key", "left_semi")
+    return passing(texts, bitmap(hits, bits), bits)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key_bytes: int = 32, share: int = 1000) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, digest (of the normalised text).
 
     key_bytes shortens the index's keys; results stay exact, as byte verification finds texts that share a key."""
     runs = flush(docs, id_col, text_col, key_bytes)
-    level = compact(runs)
+    level = Index().add(runs)
     text = normalised(F.col(text_col))
     texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("norm")).withColumn("digest", _digest(F.col("norm")))
     texts = texts.withColumn("key", _key(F.col("digest"), key_bytes))
-    ends = candidates(texts.select("key", "norm"), level, filter_bits).groupBy("key").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    hits = level.where("n > 1").select("key", "keep", "n")
+    n_rows, n_hits = level.agg(F.sum("n"), F.count_if(F.col("n") > 1)).first()
+    ends = candidates(texts.select("key", "norm"), hits, n_hits or 0).groupBy("key").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     clashes = saved(ends.where("low <> high").select("key"), "clashes")
     digest = "key" if key_bytes >= 32 else "digest"
-    hits = level.where("n > 1").select("key", "keep", "n")
-    rows = runs.join(hits, "key", "left")
+    hot = hits.where(F.col("n") * share > (n_rows or 0))  # fewer than share keys
+    few, many = runs.join(F.broadcast(hot), "key"), runs.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    rows = many.join(hits.where(F.col("n") * share <= (n_rows or 0)), "key", "left").unionByName(few)
     out = rows.select(
         "doc_id",
         F.coalesce("keep.doc_id", "doc_id").alias("keep_id"),

@@ -29,12 +29,12 @@ def brute_dedup(rows):
 CASES = [(5, "a  b"), (3, "a\tb"), (9, "a b "), (4, None), (7, ""), (8, " "), (1, "é x"), (2, "é  x"), (6, "long " * 50_000), (10, "long\n" * 50_000), (11, "a b"), (11, "a b"), (None, "a b"), (None, "only null"), (12, "a\x00b")]
 
 
-@pytest.mark.parametrize("key_bytes", [32, 1, 0])
-def test_dedup_equals_brute_force(spark, key_bytes):
+@pytest.mark.parametrize(("key_bytes", "share"), [(32, 1000), (32, 10), (1, 1000), (0, 2)])
+def test_dedup_equals_brute_force(spark, key_bytes, share):
     """Short keys make texts share one: byte verification must tell them apart."""
     r = random.Random(1)
     rows = CASES + [(100 + k, " ".join(r.choice("abc") for _ in range(r.randint(0, 3)))) for k in range(150)]
-    got = lsm_dedup.dedup(docs(spark, rows).repartition(3), key_bytes=key_bytes, filter_bits=16).collect()
+    got = lsm_dedup.dedup(docs(spark, rows).repartition(3), key_bytes=key_bytes, share=share).collect()
     assert sorted(((x.doc_id, x.keep_id, x.group_size, bytes(x.digest).hex()) for x in got), key=repr) == brute_dedup(rows)
     kept = [(x.digest, x.doc_id) for x in got if x.kept]
     assert len(kept) == len({d for d, _ in kept}) == len({x.digest for x in got})
@@ -52,6 +52,41 @@ def test_levels_merge(spark):
     assert sorted((x.keep.doc_id, x.n) for x in level) == [(0, 3), (1, 2), (2, 3)]
 
 
+def test_a_new_batch_reads_only_tiers_whose_filter_it_hits(spark):
+    batch = lambda ids, of: lsm_dedup.flush(docs(spark, [(i, f"{of} {i % 40}") for i in ids]))
+    index = lsm_dedup.Index(fan=3)
+    index.add(batch(range(100, 200), "a"))
+    index.add(batch(range(200, 300), "b"))
+    news = lsm_dedup.compact(batch(range(0, 20), "a"))
+    got = {bytes(x.key): (x.keep.doc_id, x.n) for x in index.lookup(news).collect()}
+    assert index.reads == 1 and len(got) == 20
+    sha = lambda t: hashlib.sha256(t.encode()).digest()
+    assert got[sha("a 3")] == (123, 2) and got[sha("a 19")] == (139, 2)  # 123 and 163; 139 and 179
+    assert index.lookup(lsm_dedup.compact(batch(range(5), "c"))) is None and index.reads == 1
+    index.add(batch(range(0, 20), "a"))  # three tiers become one
+    (tier,) = index.tiers
+    assert tier.size == 80
+    assert {bytes(x.key): (x.keep.doc_id, x.n) for x in tier.level.collect()}[sha("a 3")] == (3, 3)
+
+
+def test_filters_grow_with_what_they_hold(monkeypatch):
+    assert lsm_dedup.bits_for(0) == lsm_dedup.BITMAP and lsm_dedup.bits_for(100_000) == 1 << 21
+    assert lsm_dedup.bits_for(1 << 40) == lsm_dedup.MOST_BITS
+
+
+def test_many_hits_are_joined_instead(spark, monkeypatch):
+    monkeypatch.setattr(lsm_dedup, "MOST_BITS", 1 << 4)
+    monkeypatch.setattr(lsm_dedup, "BITMAP", 1 << 15)
+    rows = [(i, f"t{i % 50}") for i in range(200)]
+    got = lsm_dedup.dedup(docs(spark, rows)).collect()
+    assert sorted(((x.doc_id, x.keep_id, x.group_size, bytes(x.digest).hex()) for x in got), key=repr) == brute_dedup(rows)
+
+
+def test_dedup_has_no_python_in_its_plan(spark):
+    plan = lsm_dedup.dedup(docs(spark, CASES))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
 TEXTS = [
     "mail und.34@mail7.example.com. or EN.58@MAIL2.EXAMPLE.COM!! x@y",
     'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962", Password: hunter22Xy',
