@@ -4,13 +4,14 @@ A line's key is the line stripped of blanks and with A-Z lower-cased. A 128-bit
 is counted, pre-aggregated per batch and per task. Hashes found in enough documents are dealt to shards by hash; each
 shard builds a minimal perfect hash (levels of bit arrays in which a key keeps a bit that no other key of its level
 shares; a key's slot is the rank of its bit) whose slots index an array of fingerprints, the hash's second half, and an
-array of counts. Hashes below the threshold aren't indexed: their lines stay whatever their count, and a fingerprint of
-64 bits tells them apart. Documents then probe the arrays. An index of at most max_broadcast bytes, which is checked,
+array of counts of 4 bytes, which stop at the largest such number. Documents then probe the arrays, and lines whose count
+reaches the threshold go. Hashes counted fewer than index_from times, by default the threshold, aren't indexed: their lines
+stay whatever their count, and a fingerprint of 64 bits tells them apart. An index of at most max_broadcast bytes, which is checked,
 is broadcast; a larger one stays dealt over the cluster, and documents send it their hashes, one row per document and
 shard, salted so that no shard meets all of them in one task.
 
 Defined results: a null or empty text is one empty line; empty keys are never counted or dropped. A line repeated in a
-document counts once there. Repeated rows count one by one. An empty table gives an empty result. The columns n_lines and
+document counts once there. A very long text is split and probed whole. Repeated rows count one by one. An empty table gives an empty result. The columns n_lines and
 n_dropped replace input columns of these names.
 """
 
@@ -31,6 +32,8 @@ from .common import BLANKS, LOWER, free_name, saved
 
 #: Bits of a level per key; keys that a shard has on average at most.
 GAMMA, SHARD_KEYS = 2.0, 1 << 17
+#: Levels of a shard at most (a few dozen hold any shard of distinct keys), and the largest count that is told.
+LEVELS, MOST_COUNTED = 500, (1 << 32) - 1
 
 INDEX = "shard int, sizes array<long>, bits binary, fingerprints binary, counts binary"
 
@@ -66,8 +69,11 @@ def count_lines(docs: DataFrame, text_col: str = "text", min_chars: int = 1) ->
 
 
 def _spots(lo: np.ndarray, hi: np.ndarray, level: int, size: int) -> np.ndarray:
-    """A bit of the level for each key."""
-    x = lo.view(np.uint64) ^ (hi.view(np.uint64) >> np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(level * 0xD6E8FEB86659FD93 % (1 << 64))
+    """A bit of the level for each key; each level turns one half by another step, so that no two keys meet in all of them."""
+    turn = np.uint64(level % 63 + 1)
+    a = hi.view(np.uint64)
+    a = (a << turn) | (a >> (np.uint64(64) - turn))
+    x = lo.view(np.uint64) ^ a * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(level * 0xD6E8FEB86659FD93 % (1 << 64))
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
     return ((x ^ (x >> np.uint64(32))) % np.uint64(size)).astype(np.int64)
@@ -78,6 +84,8 @@ def build_shard(shard: int, hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> di
     sizes, bits, order = [], [], []
     left = np.arange(len(hi))
     while len(left):
+        if len(sizes) > LEVELS:
+            raise ValueError("keys of a shard are not distinct")
         size = max(64, int(GAMMA * len(left)))
         at = _spots(lo[left], hi[left], len(sizes), size)
         alone = np.bincount(at, minlength=size)[at] == 1
@@ -94,7 +102,7 @@ def build_shard(shard: int, hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> di
         "sizes": sizes,
         "bits": np.packbits(np.concatenate(bits) if bits else np.zeros(0, bool)).tobytes(),
         "fingerprints": lo[order].astype("<i8").tobytes(),
-        "counts": n[order].astype("<i8").tobytes(),
+        "counts": np.minimum(n[order], MOST_COUNTED).astype("<u4").tobytes(),
     }
 
 
@@ -106,7 +114,7 @@ class Shard:
         self.bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=sum(self.sizes)).astype(bool)
         self.rank = np.cumsum(self.bits, dtype=np.int64) - 1
         self.fingerprints = np.frombuffer(row["fingerprints"], "<i8")
-        self.counts = np.frombuffer(row["counts"], "<i8")
+        self.counts = np.frombuffer(row["counts"], "<u4")
 
     def probe(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """The count of each hash, 0 for those that aren't indexed."""
@@ -161,19 +169,19 @@ def _raw(column: pa.Array) -> list[bytes]:
 
 
 def drop_common_lines(
-    docs: DataFrame, text_col: str = "text", *, min_docs: int = 10, min_chars: int = 1, max_broadcast: int = 32 << 20, shard_keys: int = SHARD_KEYS
+    docs: DataFrame, text_col: str = "text", *, min_docs: int = 10, min_chars: int = 1, max_broadcast: int = 32 << 20, shard_keys: int = SHARD_KEYS, index_from: int | None = None
 ) -> DataFrame:
     """docs, its texts without lines whose keys at least min_docs documents have, with n_lines (before) and n_dropped."""
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")])
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = pa.schema([(f.name, pa.null()) for f in schema])
-    common = saved(count_lines(docs, text_col, min_chars).where(F.col("n") >= min_docs), "lines")
+    common = saved(count_lines(docs, text_col, min_chars).where(F.col("n") >= (min_docs if index_from is None else index_from)), "lines")
     shards = max(1, -(-common.count() // shard_keys))
     index = saved(build_index(common, shards), "index")
     size = index.agg(F.sum(F.length("bits") + F.length("fingerprints") + F.length("counts"))).first()[0] or 0
     if size > max_broadcast:
-        return _probe_dealt(docs, at, schema, names, index, shards, min_chars)
+        return _probe_dealt(docs, at, schema, names, index, shards, min_chars, min_docs)
     held = docs.sparkSession.sparkContext.broadcast([r.asDict() for r in index.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +193,7 @@ def drop_common_lines(
                 keys = [line_keys(t) for t in texts]
                 ends = np.cumsum([len(k) for k in keys])
                 flat = [k for own in keys for k in own]
-                hits = (parts.probe(_hashes(flat)) > 0) & np.array(_long_enough(flat, min_chars), bool)
+                hits = (parts.probe(_hashes(flat)) >= min_docs) & np.array(_long_enough(flat, min_chars), bool)
                 split = np.split(hits, ends[:-1])
                 yield _rebuilt(b, at, [_kept(t, np.flatnonzero(h)) if h.any() else t for t, h in zip(texts, split, strict=True)], [len(h) for h in split], [int(h.sum()) for h in split], names)
 
@@ -195,7 +203,7 @@ def drop_common_lines(
 PROBE = "shard int, salt int, kind int, row long, lines array<int>, hi array<long>, lo array<long>, sizes array<long>, bits binary, fingerprints binary, counts binary"
 
 
-def _probe_dealt(docs: DataFrame, at: int, schema: T.StructType, names: pa.Schema, index: DataFrame, shards: int, min_chars: int) -> DataFrame:
+def _probe_dealt(docs: DataFrame, at: int, schema: T.StructType, names: pa.Schema, index: DataFrame, shards: int, min_chars: int, min_docs: int) -> DataFrame:
     """Hashes go to the shards, packed per document and shard; line numbers come back."""
     row, of, gone_lines, spark = free_name(docs, "row"), free_name(docs, "of"), free_name(docs, "lines"), docs.sparkSession
     numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
@@ -221,7 +229,7 @@ def _probe_dealt(docs: DataFrame, at: int, schema: T.StructType, names: pa.Schem
                 if r["kind"] == 0:
                     shard, held = r["shard"], Shard(r)
                 elif r["shard"] == shard:
-                    hit = held.probe(np.array(r["hi"], np.int64), np.array(r["lo"], np.int64)) > 0
+                    hit = held.probe(np.array(r["hi"], np.int64), np.array(r["lo"], np.int64)) >= min_docs
                     if hit.any():
                         rows.append(r["row"])
                         lines.append(np.array(r["lines"], np.int32)[hit].tolist())
