@@ -4,9 +4,11 @@ A demand has three sides: tokens, segments (always one) and loss-bearing tokens;
 task packs the rows of its own partition in groups of bounded size, so nothing is shuffled or collected. Texts longer
 than a sequence are first cut into full ones; the heuristic places the rest; the emptiest sequences are then cut up
 to fill the others. What a group leaves unfilled is carried into the next, and at the end of the partition it is cut
-into lengths that are powers of two, which need no padding.
+into lengths that are powers of two, which need no padding. A group ends at so many pieces or at group_bytes of the ids of
+documents that have pieces left, so memory is that and one document.
 
-Defined results: a null text is empty, its ids are the closing id alone. Repeated rows are packed one by one. An empty
+Defined results: a null text is empty, its ids are the closing id alone. A very long text fills sequences of its own as
+it comes. Repeated rows are packed one by one. An empty
 table gives no pieces. Columns of the input other than those named are not read.
 """
 
@@ -160,21 +162,28 @@ def powers(pieces: list[Piece], limits: Limits) -> list[Sequence]:
     return out
 
 
-def pack(items: Iterable[tuple[int, int, int]], limits: Limits, group: int) -> Iterator[Sequence]:
-    """Packs (document, ids, first loss-bearing id), group pieces at a time."""
+def pack(items: Iterable[tuple[int, int, int]], limits: Limits, group: int, group_ids: int = 1 << 24) -> Iterator[Sequence]:
+    """Packs (document, ids, first loss-bearing id), group pieces at a time, or as many as belong to documents of group_ids ids: a
+    document is held until its last piece is placed."""
     held: list[Piece] = []
-    pending = 0
+    sizes: dict[int, int] = {}
+    pending = waiting = 0
 
     def close(last: bool) -> Iterator[Sequence]:
-        nonlocal held, pending
+        nonlocal held, pending, waiting
         full, rest = fill(by_dot_product(held, limits), limits)
         yield from full
-        if last or len(rest) > group // 2:
+        kept = {p.doc for p in rest}
+        if last or len(rest) > group // 2 or sum(sizes[d] for d in kept) > group_ids // 2:
             yield from powers(rest, limits)
-            rest = []
-        held, pending = rest, 0
+            rest, kept = [], set()
+        for d in [d for d in sizes if d not in kept]:
+            del sizes[d]
+        held, pending, waiting = rest, 0, sum(sizes.values())
 
     for doc, n, loss_from in items:
+        sizes[doc] = n
+        waiting += n
         p = Piece(doc, 0, n, loss_from)
         while p.size and (k := p.reach(limits.tokens, limits.loss)) < p.size:
             head, p = p.cut(k)
@@ -188,7 +197,7 @@ def pack(items: Iterable[tuple[int, int, int]], limits: Limits, group: int) -> I
         if p.size:
             held.append(p)
             pending += 1
-        if pending >= group:
+        if pending >= group or waiting >= group_ids:
             yield from close(False)
     yield from close(True)
 
@@ -225,7 +234,7 @@ def pack_documents(
 
         left: dict[int, int] = {}
         rows: list[tuple] = []
-        for s in pack(items(), limits, group):
+        for s in pack(items(), limits, group, group_bytes // 4):
             at = 0
             for p in s.pieces:
                 of = ids[p.doc]

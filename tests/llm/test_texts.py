@@ -68,6 +68,23 @@ def test_perfect_hash_is_minimal_and_rejects_strangers():
     assert not shard.probe(other[:, 0].copy(), other[:, 1].copy()).any()
 
 
+@pytest.mark.parametrize("max_broadcast", [32 << 20, 0])
+def test_counts_are_compared_when_probed(spark, max_broadcast):
+    """An index of all lines drops the same as one of those at the threshold."""
+    rows = [(i, "\n".join(["in all", f"in {i // 3}", f"own {i}", "", "in all"])) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [sorted(tuple(x) for x in line_dedup.drop_common_lines(df, min_docs=3, index_from=k, max_broadcast=max_broadcast, shard_keys=8).collect()) for k in (1, None)]
+    assert got[0] == got[1] == sorted((i, f"own {i}\n", 5, 3) for i in range(24))
+
+
+def test_a_perfect_hash_refuses_equal_keys():
+    k = np.array([5, 5], np.int64)
+    with pytest.raises(ValueError, match="distinct"):
+        line_dedup.build_shard(0, k, k.copy(), np.array([1, 1]))
+    close = np.array([[7, 1], [7, 2], [8, 1], [7 << 7, 1], [0, 0]], np.int64)
+    assert line_dedup.Shard(line_dedup.build_shard(0, close[:, 0].copy(), close[:, 1].copy(), np.arange(5) + 1)).probe(close[:, 0].copy(), close[:, 1].copy()).tolist() == [1, 2, 3, 4, 5]
+
+
 # piecewise hashes
 
 
@@ -301,12 +318,13 @@ def check_packing(pieces, ids, limits):
     return padding
 
 
+@pytest.mark.parametrize("group_ids", [1 << 24, 3000])
 @pytest.mark.parametrize("limits", [Limits(), Limits(64, 3, 20), Limits(16, 2, 16), Limits(32, 100, 5)])
-def test_packing_keeps_all_limits(limits):
+def test_packing_keeps_all_limits(limits, group_ids):
     r = random.Random(7)
     items = [(k, r.choice([1, 1, 2, 7, 40, 300, 5000]), r.choice([0, 0, 3, 200])) for k in range(700)]
     pieces = []
-    for s, seq in enumerate(vector_packing.pack(items, limits, 64)):
+    for s, seq in enumerate(vector_packing.pack(items, limits, 64, group_ids)):
         at = 0
         for p in seq.pieces:
             pieces.append((p.doc, p.start, p.size, s, at, p.loss))
@@ -336,3 +354,15 @@ def test_pack_instructions(spark):
     check_packing([(x.doc_id, x.start, x.length, x.sequence_id, x.offset, loss(x)) for x in got], {x.doc_id: x.doc_tokens for x in got}, limits)
     with pytest.raises(ValueError):
         Limits(1000)
+
+
+def test_repeated_rows_are_packed_one_by_one(spark):
+    df = spark.createDataFrame([(1, "same text"), (1, "same text"), (1, "same text"), (None, None)], "doc_id long, text string").coalesce(1)
+    got = vector_packing.pack_documents(df).collect()
+    n = {x.doc_tokens for x in got if x.doc_id == 1}.pop()
+    assert sum(x.length for x in got if x.doc_id == 1) == 3 * n and sum(x.length for x in got if x.doc_id is None) == 1
+    assert vector_packing.pack_documents(df.limit(0)).collect() == []
+
+
+def test_section_tokens_of_an_empty_table(spark):
+    assert token_spans.section_tokens(spark.createDataFrame([], "doc_id long, text string"), rule="majority").collect() == []
