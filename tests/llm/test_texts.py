@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import sentencepiece
 import xxhash
 from hypothesis import given, settings
@@ -366,3 +367,20 @@ def test_repeated_rows_are_packed_one_by_one(spark):
 
 def test_section_tokens_of_an_empty_table(spark):
     assert token_spans.section_tokens(spark.createDataFrame([], "doc_id long, text string"), rule="majority").collect() == []
+
+
+def test_one_table_of_chunks_equals_whole_texts(spark):
+    """Each distinct chunk is segmented once, whatever the number of its rows, and ids come back by position."""
+    r = random.Random(12)
+    words = ["the", "of", "é", "", "wörd", "x" * 90, "😀", "a\nb"]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randint(0, 12)))) for k in range(80)] + [(90, None), (90, None), (91, "with ▁ marker"), (92, "with ▁ marker"), (None, " lead  and trail  "), (93, "the " * 20_000)]
+    df = docs(spark, rows).repartition(5)
+    path = sp_chunks.default_path()
+    for share in (1000, 3):
+        got = sorted((tuple(x) for x in sp_chunks.by_table(df, share=share).collect()), key=repr)
+        assert got == sorted((tuple(x) for x in sp_chunks.round_trip(df).collect()), key=repr)
+    plain = df.select("text").withColumn("row", F.monotonically_increasing_id())
+    table = sp_chunks.chunk_table(sp_chunks.occurrences(plain, path), path).collect()
+    assert len(table) == len({(x.whole, x.chunk) for x in table})
+    assert {x.chunk: x.n for x in table if x.whole} == {"": 2 + sum(t == "" for _, t in rows), "with ▁ marker": 2}
+    assert sp_chunks.by_table(df.limit(0)).collect() == []
