@@ -41,7 +41,7 @@ def op6_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_chunks.round_trip(table(spark, sf_dir, "documents"))
+    return sp_chunks.by_table(table(spark, sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
