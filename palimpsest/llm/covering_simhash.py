@@ -30,9 +30,12 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .common import LOWER, free_name, saved
+from .lsm_dedup import BITMAP, FILTER_BITS, MOST_BITS, bitmap, bits_for, passing
 
 #: Fingerprints of one bucket that one task takes, and of all buckets dealt to it on average.
 BUCKET, SHARE = 50_000, 40_000
+#: Ids that are broadcast as they are, 8 bytes each.
+FEW = 1_000_000
 ALL = (1 << 64) - 1
 
 
@@ -150,9 +153,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return components(prints, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def without(docs: DataFrame, id_col: str, gone: DataFrame, *, most_bits: int = MOST_BITS, few: int = FEW) -> DataFrame:
+    """docs without the rows whose id is among gone's (column key: distinct, not null, written). Null ids stay.
+
+    A bitmap over the keys, of at most most_bits bits, tells most rows that stay. Ids that it takes for
+    gone by chance are found from the id column alone; up to few of them are broadcast as well, so no text moves. Where
+    there are more, only the rows that the bitmap marks are joined; where gone is too large for a bitmap, all rows are."""
+    size, of = gone.count(), free_name(docs, "gone")
+    exact = gone.select(F.col("key").alias(of))
+    key = F.col(f"`{id_col}`").cast(gone.schema["key"].dataType)
+    if size * FILTER_BITS > 8 * most_bits:
+        return docs.join(exact, key == F.col(of), "left_anti")
+    bits = min(most_bits, bits_for(size))
+    marks = saved(bitmap(gone, bits), "marks")
+    spared = saved(passing(docs.select(key.alias("key")).where("key is not null").distinct(), marks, bits).join(gone, "key", "left_anti"), "spared")
+    place, word, stays = (free_name(docs, c) for c in ("place", "word", "stays"))
+    spot = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = marks.select(F.col("bucket").alias(place), F.col("bits").alias(word))
+    marked = docs.join(F.broadcast(words), F.floor(spot / BITMAP) == F.col(place), "left")
+    byte = F.conv(F.hex(F.substring(F.col(word), (spot % BITMAP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    clear = F.col(word).isNull() | key.isNull() | (F.call_function("shiftright", byte, (spot % 8).cast("int")) % 2 == 0)
+    if spared.count() <= few:
+        by_chance = F.broadcast(spared.select(F.col("key").alias(stays)))
+        return marked.join(by_chance, key == F.col(stays), "left").where(clear | F.col(stays).isNotNull()).select(docs["*"])
+    return marked.where(clear).select(docs["*"]).unionByName(marked.where(~clear).select(docs["*"]).join(exact, key == F.col(of), "left_anti"))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
     """docs without those that are not their component's smallest id; of rows with equal ids all stay or go together."""
     near = near_duplicates(docs, id_col, text_col, radius=radius, width=width, seed=seed)
-    of = free_name(docs, "gone")
-    gone = near.where("component_id < doc_id").select(F.col("doc_id").alias(of)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(of), "left_anti")
+    gone = saved(near.where("component_id < doc_id").select(F.col("doc_id").alias("key")).distinct(), "gone")
+    return without(docs, id_col, gone)

@@ -188,6 +188,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == {i for i, x in got.items() if x.component_id == i}
 
 
+@pytest.mark.parametrize(("most_bits", "few"), [(1 << 27, 1000), (1 << 27, 0), (1 << 15, 1000), (64, 0)])
+def test_rows_without_the_gone(spark, most_bits, few):
+    """By the bitmap alone, with a join of the marked rows, with a crowded bitmap, and by a join of all; clashing columns, null and repeated ids."""
+    names = ["doc_id", "text", "key", "bits", "bucket", "place", "word", "stays", "gone", "spot"]
+    rows = [(k if k % 50 else None, f"t{k}", *[k] * 8) for k in range(9000)] + [(7, "again", *[0] * 8), (8, "again", *[0] * 8)]
+    table = spark.createDataFrame(rows, "doc_id int, text string, " + ", ".join(f"{c} long" for c in names[2:]))
+    for dropped in ([], [k for k in range(9000) if k % 3 == 1 or k % 50 == 0]):
+        gone = spark.createDataFrame([(k,) for k in dropped], "key long")
+        got = covering_simhash.without(table, "doc_id", gone, most_bits=most_bits, few=few)
+        assert got.columns == names
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(x) for x in rows if x[0] not in set(dropped))
+
+
+def test_no_text_moves_where_the_bitmap_decides(spark):
+    table = spark.createDataFrame([(k, f"t{k}") for k in range(100)], "doc_id long, text string")
+    plan = covering_simhash.without(table, "doc_id", spark.createDataFrame([(3,)], "key long"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
 @pytest.mark.parametrize("bucket", [50_000, 2])
 def test_components_of_chained_fingerprints(spark, bucket):
     """Chains, stars and far ones; small buckets take the finer tables."""
