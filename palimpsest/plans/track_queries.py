@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import belief
-from ..operators import association, gridjoin, mesh, objects, rays, tracks, trajectory, voxels
+from ..operators import association, gridjoin, linkage, mesh, objects, rays, tracks, trajectory, voxels
 from .inputs import HOUR, OBSERVATIONS, STAYS, micros, observations, points, stays, table
 from .presence_queries import DAY
 from .space_queries import _AB, _D2, _RAYS, _SEEN, XYZ, _cell, _rays
@@ -230,10 +230,21 @@ def segment_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.renumber(stays(spark, sf_dir).select("order_id", "first", F.coalesce("last", F.lit((1 << 63) - 1)).alias("last")), ["first", "last"], vid="order_id").select("order_id", F.col("target").cast("long").alias("place"))
 
 
+def complete_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.complete(points(spark, sf_dir), 0.12)
+
+
+def canonical_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten points in a row are one track; label nine is one thing."""
+    p = points(spark, sf_dir).withColumn("track", F.expr("vid div 10"))
+    centres = linkage.centres(p, 0.12, 4, singles=[9])
+    return linkage.identities(p, centres, 0.06, track="track")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        object_persistent_states, session_seed, verified_events, geometry_holder, merge_attributes, merge_attributes_larger, canonical_objects, merge_chain_ends, merge_status, identity_motion,
+        complete_linkage, canonical_tracks, object_persistent_states, session_seed, verified_events, geometry_holder, merge_attributes, merge_attributes_larger, canonical_objects, merge_chain_ends, merge_status, identity_motion,
         track_assign_greedy, identity_first, dynamic_nearest, optimal_assignment, track_motion_states, track_extraction, after_motion, valid_tracks, input_gate, buffer_referenced, free_voxels, ever_free_voxels,
         block_eviction, seeded_clusters, joined_clusters, physical_verdicts, ray_verify_window, segment_order,
     )
