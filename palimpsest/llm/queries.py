@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covering_simhash, language_id, line_dedup, lsm_dedup, piecewise_hash, pseudonyms, sp_chunks, token_spans, vector_packing, wrappers
+from . import chebyshev_whitening, covering_simhash, cross_tokens, language_id, line_dedup, lsm_dedup, orc_tokens, piecewise_hash, pseudonyms, sp_chunks, token_spans, vector_packing, wrappers
 from .common import OPEN_KEY
 
 
@@ -57,9 +57,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chebyshev_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc_tokens.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_fingerprints, op3_html_text, op4_language_id, op5_pseudonyms, op6_section_tokens, op7_sentencepiece, op8_exact_dedup, op9_simhash, op10_packing)
+    for f in (op1_line_dedup, op2_fingerprints, op3_html_text, op4_language_id, op5_pseudonyms, op6_section_tokens, op7_sentencepiece, op8_exact_dedup, op9_simhash, op10_packing, op11_whitening, op12_orc_tokens, op13_cross_tokens)
 }
 
 ORACLES: dict[str, str] = {
