@@ -1,17 +1,22 @@
 """Format-preserving pseudonyms for personal data, in DataFrame operations only.
 
 One pattern finds candidates; each is validated by kind, and what fails stays as it is: e-mail addresses, secrets that are
-assigned to a name (token, key, password), IPv4 (octets to 255) and IPv6 addresses (a digit and two to seven groups about
-"::", or eight groups), telephone numbers, payment card numbers (Luhn), bank account numbers (IBAN, modulo 97), social
-security numbers (issued ranges) and calendar dates of 1900 to 2099, in the layouts yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy and,
-where the first number is above 12, dd/mm/yyyy.
+assigned to a name (token, key, password; of eight characters, or of four with a digit and a letter), IPv4 (octets to 255) and
+IPv6 addresses (a digit and two to seven groups about "::", or eight groups), telephone numbers, payment card numbers (issuer
+ranges, their lengths, and Luhn), bank account numbers (IBAN, modulo 97), social security numbers (issued ranges, ddd-dd-dddd)
+and calendar dates of 1900 to 2099, in the layouts yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy and, where the first number is above 12,
+dd/mm/yyyy. Other spellings stay: blanks in social security numbers, telephone numbers without any separator, yyyy/mm/dd, "::1".
+
+A card is bare, in groups of four, or as 4-6-5 or 4-6-4, with one kind of separator. A longer row of groups of four is cut
+where cards begin, from the left; in one of more than TABLE groups, which is a table of numbers rather than cards, a card counts only
+beside another. Numbers that pass Luhn by chance in an issuer's range are taken for cards; there is no telling.
 
 A value is a row of symbols, each with the size of its own alphabet, and nothing but what varies is a symbol: a digit has
 10, a letter 26 (or what its script has, in the local part of an address), an octet 256; a date is its day number as two
 symbols of 17 and 4297; dd/mm/yyyy keeps to such days. Ten keyed Feistel rounds add to one half of the symbols, modulo their
 sizes, what SHA-512 makes of the key, the tweak, the round and the other half, in blocks of 16 symbols with a hash each. A value of
 one symbol is split into two factors first. The tweak is the kind, the sizes and what stays of the value: an address's
-domain, a number's country code. That permutes the values of a format, so the format holds, equal values stay equal in all
+domain, a number's country code, a card's issuer. That permutes the values of a format, so the format holds, equal values stay equal in all
 documents and different ones stay different; blanks and hyphens are no part of a number, which stays linked across its
 spellings. Check digits of cards and accounts are computed anew, so they stay valid.
 
@@ -40,17 +45,27 @@ LETTERS = ((0x61, 26), (0x41, 26), (0xDF, 24), (0xF8, 8), (0xC0, 23), (0xD8, 7),
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HEX = "[0-9A-Fa-f]{1,4}"
+#: The public issuer ranges of cards, by length; of 16 digits by the first four, with what an issuer is known by.
+_BARE = (
+    r"4\d{12}(?:\d{3}(?:\d{3})?)?|(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|3(?:0[0-5]\d|095|[689]\d\d)\d{10}"
+    r"|(?:6011|64[4-9]\d|65\d\d|35(?:2[89]|[3-8]\d)|62\d\d|220[0-4])\d{12,15}|(?:5018|5020|5038|5893|6304|6759|676[1-3])\d{9,15}"
+)
+_SIX = r"3[47]\d\d(?: \d{6} \d{5}|-\d{6}-\d{5})|3(?:0[0-5]\d|095|[689]\d\d)(?: \d{6} \d{4}|-\d{6}-\d{4})"
+_ISSUER = r"(?:4\d{3}|5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720|6011|64[4-9]\d|65\d\d|35(?:2[89]|[3-8]\d)|62\d\d|220[0-4]|5018|5020|5038|5893|6304|6759|676[1-3])"
+_NETWORK = r"^(?:4|5[1-5]|2\d{3}|3[47]|30[0-5]|3095|3[689]|6011|64[4-9]|65|62|35\d\d|5018|5020|5038|5893|6304|6759|676[1-3])"
+#: Four or more groups of four digits and one of up to three, none of which goes on as another number.
+_GROUPS = r"\d{{4}}(?:{sep}\d{{4}}(?!\d|[{stop}]\d)){{3,}}+(?:{sep}\d{{1,3}}(?!\d|[{stop}]\d))?"
 #: By kind, as found in a text and, between anchors, as a value.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}][\p{L}\p{N}\-]*+(?:\.[\p{L}\p{N}\-]++)+",
-    "secret": r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key|auth)[\"']?\s*+[:=]\s*+[\"']?[A-Za-z0-9_\-+/=]{8,}+(?:\.[A-Za-z0-9_\-+/=]++)*+",
+    "secret": r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key|auth)[\"']?\s*+[:=]\s*+[\"']?(?:[A-Za-z0-9_\-+/=]{8,}+|(?=[A-Za-z_\-+/=]*+\d)(?=[\d_\-+/=]*+[A-Za-z])[A-Za-z0-9_\-+/=]{4,7}+)(?:\.[A-Za-z0-9_\-+/=]++)*+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z]{4})?(?: (?=[A-Z]*\d)[A-Z0-9]{4}){2,7}(?: (?=[A-Z]*\d)[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip6": rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?:(?<![\d\w])\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|(?<!\d)\d{3}[.\-])\d{3}[ .\-]\d{4}(?!\d)|(?<![\d\w])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "date": r"(?<![\d.\-/])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d\-/])",
-    "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?!\d)",
+    "card": rf"(?<!\d)(?<!\d[.,])(?:(?:{_BARE}|{_SIX})(?!\d|[.,]\d)|(?={_ISSUER})(?:{_GROUPS.format(sep=' ', stop='.,/-')}|{_GROUPS.format(sep='-', stop='.,/')}))",
 }
 #: What a candidate of these kinds begins with; it is looked at first.
 STARTS = {r"(?=[A-Z])": ("iban",), r"(?=[0-9A-Fa-f]{0,4}:)": ("ip6",), r"(?=[\d+(])": ("ip", "phone", "ssn", "date", "card")}
@@ -63,10 +78,10 @@ def _any_of(*kinds: str) -> str:
 
 
 ANY = _any_of(*PATTERNS)
-#: Digit groups that one blank or hyphen joins, and the usual groupings of a card.
-RUN = r"(?<!\d)\d(?:[ \-]?\d){12,}+"
-LAYOUT = r"^(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{4,5}|\d{4}(?:[ \-]\d{4}){3}[ \-]\d{1,3})$"
-BUT_CARDS = _any_of(*(k for k in PATTERNS if k != "card"))
+#: A row of more groups of four than a card has; as many groups as a single card may stand in; a card's groups.
+LONG_ROW, TABLE, FOUR = r"^\d{4}([ \-])\d{4}\1\d{4}\1\d{4}\1\d", 12, 4
+#: A value that is a card by its layout: not a longer row of groups.
+LAYOUT = rf"^(?:{_BARE}|{_SIX}|{_ISSUER}(?:[ \-]\d{{4}}){{3}}(?:[ \-]\d{{1,3}})?)$"
 #: A text without any of these characters has no candidate.
 HINT = "[0-9@=:]"
 #: One character that varies, by kind.
@@ -129,7 +144,7 @@ def kind_of(value: Column) -> Column:
         .when(_is(value, "ip"), "ip")
         .when(_is(value, "ssn"), F.when((area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0), "ssn"))
         .when(_is(value, "date"), F.when(_date(value).isNotNull(), "date").when(_day_first(value).isNotNull(), "day"))
-        .when(_is(value, "card") & (_luhn(_digits(value), 1) % 10 == 0), "card")
+        .when(value.rlike(LAYOUT) & (_luhn(_digits(value), 1) % 10 == 0), "card")
         .when(_is(value, "phone"), "phone")
     )
 
@@ -149,7 +164,7 @@ def _parts(x: Column) -> Column:
     local = F.substring_index(value, "@", 1)
     code = F.regexp_extract(value, r"^\+\d{1,3}(?=\D)|^\+\d", 0)
     name = F.regexp_extract(value, r"^.*?[:=]\s*[\"']?", 0)
-    head = F.when(kind == "phone", code).when(kind == "secret", name).when(kind == "iban", F.substring(value, 1, 4)).otherwise("")
+    head = F.when(kind == "phone", code).when(kind == "secret", name).when(kind == "iban", F.substring(value, 1, 4)).when(kind == "card", F.regexp_extract(value, _NETWORK, 0)).otherwise("")
     tail = F.when(kind == "email", F.substring(value, F.length(local) + 1, F.length(value))).when(kind == "card", F.substring(value, -1, 1)).otherwise("")
     body = F.substring(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(tail))
     sixteen = (kind == "ip6") | ((kind == "secret") & body.rlike("^(?:[0-9a-f]{16,}|[0-9A-F]{16,})$"))
@@ -232,8 +247,8 @@ def feistel(symbols: Column, sizes: Column, tweak: Column, key: str, *, back: bo
 
 
 def tweak(x: Column) -> Column:
-    """What must differ for equal symbols to get other pseudonyms: kind, sizes, domain or country code."""
-    stays = F.when(x["kind"] == "email", F.lower(x["tail"])).when(x["kind"] == "phone", x["head"]).when(x["kind"] == "iban", F.substring(x["head"], 1, 2)).otherwise("")
+    """What must differ for equal symbols to get other pseudonyms: kind, sizes, domain, country code or issuer."""
+    stays = F.when(x["kind"] == "email", F.lower(x["tail"])).when(x["kind"].isin("phone", "card"), x["head"]).when(x["kind"] == "iban", F.substring(x["head"], 1, 2)).otherwise("")
     return F.concat_ws("|", x["kind"], stays, F.array_join(x["n"].cast("array<string>"), ","))
 
 
@@ -251,7 +266,7 @@ def _written(x: Column) -> Column:
 
     characters = F.zip_with(x["spelt"], last, character)
     plain = F.array_join(F.zip_with(F.split(x["body"], x["varies"], -1), characters, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
-    check = F.pmod(-_luhn(_digits(plain), 0), F.lit(10)).cast("string")
+    check = F.pmod(-_luhn(_digits(F.concat(x["head"], plain)), 0), F.lit(10)).cast("string")
     country = F.substring(x["head"], 1, 2)
     checks = F.lpad((98 - _mod97(plain, F.concat(country, F.lit("00")))).cast("string"), 2, "0")
     area = moved[0] + 1
@@ -268,7 +283,7 @@ def _written(x: Column) -> Column:
         .when(kind == "date", F.when(value.contains("-"), F.date_format(date, "yyyy-MM-dd")).when(value.contains("."), F.date_format(date, "dd.MM.yyyy")).otherwise(F.date_format(date, "MM/dd/yyyy")))
         .when(kind == "day", F.concat_ws("/", two(day), two(month), year.cast("string")))
         .when(kind == "ssn", F.concat_ws("-", F.lpad((area + (area >= 666).cast("int")).cast("string"), 3, "0"), two(moved[1] + 1), F.lpad((moved[2] + 1).cast("string"), 4, "0")))
-        .when(kind == "card", F.concat(plain, check))
+        .when(kind == "card", F.concat(x["head"], plain, check))
         .when(kind == "iban", F.concat(country, checks, plain))
         .otherwise(F.concat(x["head"], plain, x["tail"]))
     )
@@ -289,19 +304,22 @@ def pseudonyms(values: Column, key: str, *, back: bool = False) -> Column:
     return F.transform(named, lambda x: F.struct(shown(x["kind"]).alias("kind"), x["value"].alias("value"), x["written"].alias("written")))
 
 
-def _cards(text: Column) -> Column:
-    """The valid cards within a text's runs of digit groups, from one group's start to another's end; of a run, those in a
-    usual grouping if there are any, else all."""
+def _cut(row: Column) -> Column:
+    """A row of groups of four, cut into what is between cards, a card, and so on, from the left."""
+
+    def sound(groups: Column) -> Column:
+        card = lambda d: F.coalesce((F.length(d) == 16) & d.rlike(f"^{_ISSUER}") & (_luhn(d, 1) % 10 == 0), F.lit(False))
+        return F.transform(groups, lambda _, i: _with(F.concat(*[F.get(groups, i + k) for k in range(FOUR)]), card))
 
-    def spans(groups: Column) -> Column:
-        n = F.size(groups)
-        starts = F.sequence(F.lit(1), n)
-        every = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(19), n - i + 1)), lambda k: F.regexp_replace(F.array_join(F.slice(groups, i, k), ""), r"[ \-]$", ""))))
-        return F.filter(every, lambda v: F.length(v).between(13, 37) & F.length(_digits(v)).between(13, 19) & (_luhn(_digits(v), 1) % 10 == 0))
+    def marked(groups: Column, sound: Column) -> Column:
+        beside = lambda i: F.coalesce(F.get(sound, i - FOUR), F.lit(False)) | F.coalesce(F.get(sound, i + FOUR), F.lit(False))
+        begins = F.transform(sound, lambda s, i: s & ((F.size(sound) <= TABLE) | beside(i)))
+        return F.array_join(F.zip_with(groups, begins, lambda g, s: F.concat(F.when(s, "V").otherwise("."), g)), " ")
 
-    runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda r: F.regexp_extract_all(r, F.lit(r"\d+[ \-]?"), F.lit(0)))
-    usual = lambda v: F.filter(v, lambda c: c.rlike(LAYOUT))
-    return F.array_distinct(F.flatten(F.transform(F.transform(runs, spans), lambda v: F.when(F.size(usual(v)) > 0, usual(v)).otherwise(v))))
+    row_ = _with(F.split(row, "[ \\-]"), lambda g: _with(sound(g), lambda s: marked(g, s)))
+    # the pattern goes from the left and takes what does not overlap
+    set_off = F.translate(F.regexp_replace(row_, r"V(\d{4}) [V.](\d{4}) [V.](\d{4}) [V.](\d{4})", "|$1 $2 $3 $4|"), "V.", "")
+    return F.split(F.when(F.substring(row, 5, 1) == "-", F.translate(set_off, " ", "-")).otherwise(set_off), r"\|", -1)
 
 
 def _of(kind: str) -> Callable[[Column], Column]:
@@ -319,15 +337,18 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str | None = N
     outs = {f"pii_{k}" for k in KINDS}
     kept = [c for c in docs.columns if c.lower() not in outs]
     text = F.col(f"`{text_col}`")
-    cards = F.when(text.rlike(RUN), _cards(text))
-    held = docs.select(*[F.col(f"`{c}`") for c in kept], cards.alias("pii__cards"))
-    # a row's own cards come first, so that digits beside them do not hide them
-    pattern = F.when(F.size("pii__cards") > 0, F.concat(F.lit(r"(?<!\d)(?:"), F.array_join("pii__cards", "|"), F.lit(r")(?!\d)|" + BUT_CARDS))).otherwise(ANY)
-    held = held.select(*[F.col(f"`{c}`") for c in kept], pattern.alias("pii__pattern"))
-    found = held.select(*[F.col(f"`{c}`") for c in kept], "pii__pattern", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.col("pii__pattern"), F.lit(0))).alias("pii__values"))
-    changed = found.select(*[F.col(f"`{c}`") for c in kept], "pii__pattern", F.when(F.size("pii__values") > 0, pseudonyms(F.col("pii__values"), key, back=back)).alias("pii__values"))
+    names = [F.col(f"`{c}`") for c in kept]
+    values, parts = F.col("pii__values"), F.col("pii__parts")
+    candidate = text.rlike(HINT)
+    found = docs.select(*names, *[F.when(candidate, f).alias(c) for c, f in (("pii__values", F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), ("pii__parts", F.split(text, ANY, -1)))])
+    # a long row of groups becomes several values; what stands before a value is its part
+    rows = F.exists(values, lambda v: v.rlike(LONG_ROW))
+    cut = found.withColumn("pii__cut", F.when(rows, F.transform(values, lambda v: F.when(v.rlike(LONG_ROW), _cut(v)).otherwise(F.array(v)))))
+    before = F.flatten(F.zip_with("pii__cut", F.slice(parts, F.lit(1), F.size("pii__cut")), lambda c, p: F.transform(c, lambda _, i: F.when(i == 0, p).otherwise(""))))
+    found = cut.select(*names, F.when(rows, F.flatten("pii__cut")).otherwise(values).alias("pii__values"), F.when(rows, F.concat(before, F.array(F.element_at(parts, -1)))).otherwise(parts).alias("pii__parts"))
+    changed = found.select(*names, "pii__parts", F.when(F.size("pii__values") > 0, pseudonyms(F.col("pii__values"), key, back=back)).alias("pii__values"))
     new = F.col("pii__values")
-    joined = F.array_join(F.zip_with(F.split(text, F.col("pii__pattern"), -1), F.transform(new, lambda x: x["written"]), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    joined = F.array_join(F.zip_with("pii__parts", F.transform(new, lambda x: x["written"]), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
     texts = F.when(new.isNotNull(), joined).otherwise(text)
     tally = [F.when(new.isNull(), 0).otherwise(F.size(F.filter(new, _of(k)))).alias(f"pii_{k}") for k in KINDS]
     return changed.select(*[texts.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept], *tally)

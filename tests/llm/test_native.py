@@ -219,7 +219,7 @@ def test_values_equal_a_feistel_by_hand(spark):
     got = [r.text for r in run(spark, [h + b + t for _, h, b, t in BY_HAND], key="hand")]
     assert got == [pseudonym_by_hand(*x, "hand") for x in BY_HAND]
     cards = run(spark, ["4111111111111111"], key="hand")[0].text
-    assert cards[:-1] == "".join(map(str, feistel_by_hand([4] + [1] * 14, [10] * 15, "card||" + ",".join(["10"] * 15), "hand"))) and luhn(cards)
+    assert cards[:-1] == "4" + "".join(map(str, feistel_by_hand([1] * 14, [10] * 14, "card|4|" + ",".join(["10"] * 14), "hand"))) and luhn(cards)
     day = (19000 + 5).__index__()
     a, b = feistel_by_hand([day // 4297, day % 4297], [17, 4297], "date||17,4297", "hand")
     import datetime as dt
@@ -282,3 +282,63 @@ def test_days_first_are_permuted_among_themselves(spark):
 def test_a_missing_key_is_refused(spark):
     with pytest.raises(ValueError, match="key"):
         pseudonyms.pseudonymise(docs(spark, CASES))
+
+
+def test_tables_of_numbers_and_years_are_no_cards(spark):
+    import random
+
+    rng = random.Random(4)
+    two = "\n".join(" ".join(f"{rng.randrange(100):02d}" for _ in range(12)) for _ in range(2000))
+    years = " ".join(str(1900 + k % 130) for k in range(20_000))
+    decimals = " ".join(f"0.{rng.randrange(10**16):016d}" for _ in range(500))
+    got = run(spark, [two, years, decimals])
+    assert [r.text for r in got] == [two, years, decimals] and [r.pii_card for r in got] == [0, 0, 0]
+    four = " ".join(f"{rng.randrange(10_000):04d}" for _ in range(20_000))
+    row = run(spark, [four])[0]
+    assert 4 * row.pii_card < 20_000 / 100  # of the groups, by chance: two in an issuer's range that pass Luhn side by side
+    assert len(row.text) == len(four)
+
+
+def test_rows_of_cards_are_cut_where_these_begin(spark):
+    def check(d):
+        return next(d + str(k) for k in range(10) if luhn(d + str(k)))
+
+    plain = [check(f"4{k:03d}" + "73" * 5 + f"{k % 10}") for k in range(40)]
+    spelt = lambda c: " ".join(c[k : k + 4] for k in range(0, 16, 4))
+    texts = [" ".join(map(spelt, plain)), "2300 " + spelt(plain[0]) + " 2024-02-29", "1 " + spelt(plain[1]).replace(" ", "-") + "-77", "6200 1234 5678 9010 12", spelt(plain[2]) + " 555-1234"]
+    assert not luhn("2300" + plain[0][:12])
+    got = run(spark, texts)
+    assert [r.pii_card for r in got] == [40, 1, 1, int(luhn("620012345678901012")) + int(luhn("6200123456789010")), 1]
+    assert got[1].pii_date == 1 and got[1].text.startswith("2300 4") and "2024-02-29" not in got[1].text
+    for text, row in zip(texts, got, strict=True):
+        assert [c for c in row.text if not c.isdigit()] == [c for c in text if not c.isdigit()]
+        assert not any(spelt(c) in row.text or c in row.text for c in plain)
+    assert all(c[0] == "4" and luhn(c) for c in re.findall(r"\d{4} \d{4} \d{4} \d{4}", got[0].text))
+    assert [r.text for r in run(spark, [r.text for r in got], back=True)] == texts
+
+
+def test_long_texts_of_numbers_take_seconds(spark):
+    import random
+    import time
+
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.randrange(10**w):0{w}d}" for _ in range(5_000_000 // (w + 1))) for w in (2, 4, 16)]
+    run(spark, ["warm 4111111111111111"])
+    for text in texts:
+        t = time.time()
+        row = run(spark, [text])[0]
+        assert len(row.text) == len(text) and time.time() - t < 60
+
+
+def test_cards_in_the_given_documents_are_those_of_an_issuer(spark):
+    """No number but what a plain search finds is taken for a card."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bare = re.compile(r"(?<!\d)(?<!\d[.,])\d{13,19}(?!\d|[.,]\d)")
+    want = {r.doc_id: sum(luhn(c) and c[0] == "4" and len(c) in (13, 16, 19) for c in bare.findall(r.text or "")) for r in rows.collect()}
+    got = {r.doc_id: r.pii_card for r in pseudonyms.pseudonymise(rows, key="k").collect()}
+    assert got == want and sum(want.values()) > 10
+
+
+def test_short_secrets(spark):
+    got = run(spark, ["password: hunter2 end", "password: a1b", "token = yes", "auth: no7", "secret=abcdefg"])
+    assert [r.pii_secret for r in got] == [1, 0, 0, 0, 0] and "hunter2" not in got[0].text
