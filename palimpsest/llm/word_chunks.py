@@ -1,7 +1,9 @@
-"""Word-end BPE of whole texts, each distinct blank-separated word encoded once per worker.
+"""Word-end BPE of whole texts, each distinct run of letters, digit or run of other characters encoded once per worker.
 
-The vocabulary drops white space before it cuts words, and its normalisation neither joins nor looks across a blank, so the ids of a
-text are those of its words in order. Ids come from the tokenizers library. Strings of special tokens are ordinary text.
+The vocabulary lower-cases a text and cuts it into such runs, each of which it encodes by itself; the ids of a text are those of its runs
+in order. Texts of plain and of common accented Latin letters (PLAIN: no character of these is changed by composition, and each is
+lower-cased by itself) are cut here by the same rule; in others, each blank-separated word with other characters is
+left whole to the tokenizers library, which gives all ids. Strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ from . import bpe_chunks
 #: Words that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 500_000, 64
 WORD = re.compile("[^\x20\x09-\x0d]+")
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+PLAIN = re.compile(f"[\x00-\x7f{_LATIN}]*")
+#: The vocabulary's rule for what is encoded by itself, for lower-cased plain texts.
+RUN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\x20\x09-\x0d0-9{_LATIN}]+")
 
 _words: dict[str, _Words] = {}
 
@@ -46,4 +52,6 @@ class _Words(dict):
 def encode(path: str, text: str) -> bytes:
     """The text's ids, as whole() gives them."""
     known = _words.setdefault(path, _Words(path))
-    return b"".join(map(known.__getitem__, WORD.findall(text)))
+    if PLAIN.fullmatch(text):
+        return b"".join(map(known.__getitem__, RUN.findall(text.lower())))
+    return b"".join(known[w] if not PLAIN.fullmatch(w) else b"".join(map(known.__getitem__, RUN.findall(w.lower()))) for w in WORD.findall(text))

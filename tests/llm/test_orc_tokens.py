@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import orc_tokens, word_chunks
 from palimpsest.llm.bpe_chunks import tokenizer
 
-WORDS = ["the", "The", "it's", "don't", "1234", "naïve", "ΣΊΣΥΦΟΣ", "éte", "́x", "日本語", "<|endoftext|>", "a b", "x y", "\x1cz", "😀!?", "'ll", "İ", "ﬁ", ""]
+WORDS = ["the", "The", "it's", "don't", "1234", "naïve", "ΣΊΣΥΦΟΣ", "éte", "́x", "日本語", "<|endoftext|>", "a b", "x y", "\x1cz", "😀!?", "'ll", "İ", "ﬁ", "Ärger", "ŒUVRE", "ſt", "ı", "ŉ", "x²", "½", "a_b", "\x1f", "don't's", '."\'s', "\x85", "\xa0", "É", "ĲSsel", "×÷", "ªº", ""]
 
 
 def _library(text):
@@ -28,7 +28,7 @@ def _held(rows, docs):
 
 def test_words_encode_as_whole_texts():
     rng = random.Random(3)
-    for _ in range(300):
+    for _ in range(3000):
         text = "".join(rng.choice(WORDS) + rng.choice(["", " ", "\n", "  ", "\t", "\r\n"]) for _ in range(rng.randrange(30)))
         assert word_chunks.encode(word_chunks.default_path(), text) == word_chunks.whole(word_chunks.default_path(), text)
 
