@@ -87,8 +87,9 @@ def state_step(now: dict | None, kind: str, first: int, last: int, cells: Sequen
     """One event of an entity. An observation that shares a cell with the current fragment, or of a time at which that was
     known to be there, supports it; one with motion closes it and opens the next; another one is a candidate, unresolved.
     Support takes up the candidates born by then. A contradiction closes the current fragment and promotes the newest
-    candidate. Whatever the current fragment comes to share a cell with is absorbed. An interval counts once."""
-    now = now or {"n": -1, "current": False, "cells": set(), "birth": 0, "last": 0, "open": [], "known": set(), "moved": False}
+    candidate. Whatever the current fragment comes to share a cell with is absorbed. An interval counts once; as events come in order of
+    first, only the intervals of the newest first are remembered."""
+    now = now or {"n": -1, "current": False, "cells": set(), "birth": 0, "last": 0, "open": [], "known": (None, set()), "moved": False}
     out: list[tuple] = []
 
     def begin(cells: set, birth: int, last: int) -> None:
@@ -97,10 +98,12 @@ def state_step(now: dict | None, kind: str, first: int, last: int, cells: Sequen
     def touches(c: dict) -> bool:
         return not now["cells"].isdisjoint(c["cells"])
 
+    if now["known"][0] != first:
+        now["known"] = (first, set())
     if kind in (SEED, OBSERVED):
-        if (first, last) in now["known"]:
+        if last in now["known"][1]:
             return now, out
-        now["known"].add((first, last))
+        now["known"][1].add(last)
         here = set(cells or ())
         if not here:
             return now, out  # a trajectory without a surface
@@ -138,6 +141,12 @@ def state_step(now: dict | None, kind: str, first: int, last: int, cells: Sequen
     return now, out
 
 
+def state_rows(now: dict) -> list[tuple]:
+    """The states that are open: the current one and the candidates."""
+    out = [(now["n"], now["birth"], now["last"], None, len(now["cells"]), "current")] if now["current"] else []
+    return out + [(None, c["birth"], c["last"], None, len(c["cells"]), "unresolved") for c in now["open"]]
+
+
 def persistent_states(events: DataFrame, key: str) -> DataFrame:
     """key, fragment, birth, last_support, death, cells, status: the states of identified entities.
 
@@ -152,8 +161,7 @@ def persistent_states(events: DataFrame, key: str) -> DataFrame:
         return now, [(row[0], *r) for r in out]
 
     def end(now: dict) -> list[tuple]:
-        out = [(now["key"], now["n"], now["birth"], now["last"], None, len(now["cells"]), "current")] if now["current"] else []
-        return out + [(now["key"], None, c["birth"], c["last"], None, len(c["cells"]), "unresolved") for c in now["open"]]
+        return [(now["key"], *r) for r in state_rows(now)]
 
     kind = events.schema[key].dataType.simpleString()
     return ordered_fold(rows, [key], ["first", "kind", "order"], step, end, f"`{key}` {kind}, {STATES}")

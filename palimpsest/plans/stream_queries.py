@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..streaming import activity, incremental, object_state
-from .inputs import micros
+from ..operators.active_window import Rule
+from ..streaming import active_window, activity, incremental, object_state, persistent_states
+from ..streaming.epochs import EpochTable
+from .inputs import HOUR, micros
 from .presence_queries import ORACLES as BATCH
 from .presence_queries import RULE
 from .scratch import scratch
+from .track_queries import ORACLES as TRACKS
+from .track_queries import state_events
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -44,6 +48,33 @@ def stream_tracker_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("user_id", F.unix_micros("first").alias("first"), F.unix_micros("last_end").alias("last_end"), "n")
 
 
+def _run(df: DataFrame, mode: str) -> DataFrame:
+    """Everything that the stream emits until its input is read, with its epoch; the state is kept by RocksDB."""
+    spark = df.sparkSession
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        sink = EpochTable(scratch(spark, "epochs"))
+        df.writeStream.foreachBatch(sink.write).outputMode(mode).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    return sink.read(spark)
+
+
+def stream_active_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' tracks that have left a window of two hours, each emitted once by its timer."""
+    rows = _stream(spark, sf_dir, None).select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("ord"), F.col("value").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    out = _run(active_window.window_tracks(rows, Rule(2 * HOUR, None, 3, 50.0)), "append")
+    return out.select(F.col("key").alias("user_id"), "first", "last", "n", "confidence", F.round("far", 9).alias("far"), "dynamic")
+
+
+def stream_persistent_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of object_persistent_states, by triggers. All files come in one, as they are in no order of time."""
+    events = state_events(_stream(spark, sf_dir, None)).withColumnRenamed("entity", "key")
+    out = persistent_states.last_states(_run(persistent_states.persistent_states(events), "update"))
+    return out.withColumnRenamed("key", "entity")
+
+
 def stream_object_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -60,8 +91,14 @@ def stream_object_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select(F.col("key").alias("entity"), "fragment", "birth", "last_support", "death", "n", F.when(F.col("death").isNull(), "current").otherwise("closed").alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (stream_incremental_changes, stream_tracker_activity, stream_object_state)}
+QUERIES = {f.__name__: f for f in (stream_incremental_changes, stream_tracker_activity, stream_object_state, stream_active_window, stream_persistent_states)}
 ORACLES = {
+    "stream_persistent_states": TRACKS["object_persistent_states"],
+    # the watermark is the newest stamp in whole milliseconds
+    "stream_active_window": f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, value FROM events), g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > {2 * HOUR} AS gap FROM e),
+        i AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM g), f AS (SELECT *, first_value(value) OVER (PARTITION BY user_id, k ORDER BY t, event_id) AS v0 FROM i)
+        SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS n, least(count(*) / 6.0, 1.0)::DOUBLE AS confidence, round(max(abs(value - v0)), 9) AS far, max(abs(value - v0)) >= 50 AS dynamic
+        FROM f GROUP BY user_id, k HAVING max(t) < (SELECT max(t) // 1000 * 1000 FROM e) - {2 * HOUR}""",
     "stream_incremental_changes": BATCH["change_scan_forward"],
     "stream_object_state": BATCH["object_state_fold"],
     "stream_tracker_activity": f"SELECT * FROM ({BATCH['session_windows']}) WHERE last_end <= (SELECT epoch_us(max(ts)) FROM events)",

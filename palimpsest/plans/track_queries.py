@@ -19,10 +19,14 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state_events(table(spark, sf_dir, "events"))
+
+
+def state_events(events: DataFrame) -> DataFrame:
     """Views and purchases are sights of a surface, a cell by value; purchases come with motion. Clicks support what is held,
     errors contradict it."""
     kind = F.when(F.col("event_type").isin("view", "purchase"), objects.OBSERVED).when(F.col("event_type") == "click", objects.SUPPORTED).when(F.col("event_type") == "error", objects.CONTRADICTED)
-    e = _events(spark, sf_dir).withColumn("kind", kind).where("kind is not null")
+    e = events.select("event_id", F.col("user_id").alias("entity"), micros("ts").alias("t"), "event_type", "value").withColumn("kind", kind).where("kind is not null")
     return e.select("entity", "kind", F.col("t").alias("first"), F.col("t").alias("last"), F.col("event_id").alias("order"), F.array(F.floor(F.col("value") / GAIN)).alias("cells"), (F.col("event_type") == "purchase").alias("moved"))
 
 

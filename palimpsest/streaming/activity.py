@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str, *, late: str = "0 seconds") -> DataFrame:
     """key, first, last_end, n: an entity stays active until nothing is seen of it for the gap. Streams emit a session once
-    the watermark has passed it; later rows are dropped by it, so ordered() should run in front of it."""
+    the watermark has passed it; later rows are dropped by it; streaming.epochs refuses them instead."""
     rows = events.withWatermark(ts, late) if events.isStreaming else events
     return rows.groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("first"), F.col("session_window.end").alias("last_end"), "n")
 
@@ -17,11 +17,3 @@ def spaced(events: DataFrame, key: str, ts: str, seconds: float) -> DataFrame:
     """Batch form of the input gate: rows whose stamp is at least so much after the one before them."""
     before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
     return events.withColumn("_before", before).where(F.col("_before").isNull() | (F.col(ts).cast("double") - F.col("_before").cast("double") >= seconds)).drop("_before")
-
-
-def check_order(batch: DataFrame, ts: str, newest):
-    """The newest stamp of a micro-batch after those before it; an older one than newest is an error, not dropped."""
-    low, high = batch.agg(F.min(ts), F.max(ts)).first()
-    if low is not None and newest is not None and low < newest:
-        raise ValueError(f"{low} is older than {newest}")
-    return high if high is not None else newest

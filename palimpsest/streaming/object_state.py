@@ -1,4 +1,5 @@
-"""Current state of identified objects as a stateful stream: fragments, contradiction and support."""
+"""Fragments of identified objects as a stateful stream: where an object has moved, one ends and the next begins. Contradiction and support
+are in streaming.persistent_states."""
 
 from __future__ import annotations
 
