@@ -37,7 +37,7 @@ def tokenizer(path: str):
     return _state["tokenizer", path]
 
 
-def _byte_of() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """The public byte-level alphabet: printable Latin-1 characters are their own bytes, the others follow from U+0100."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(own)]
@@ -50,7 +50,7 @@ def encoder(path: str):
         import public_tokenizers
         import tiktoken
 
-        of = _byte_of()
+        of = byte_alphabet()
         special = {t.content for t in tokenizer(path).get_added_tokens_decoder().values()}
         ranks = {bytes(map(of.__getitem__, piece)): i for piece, i in tokenizer(path).get_vocab().items() if piece not in special}
         _state["encoder", path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
