@@ -34,42 +34,61 @@ ALIGNED = "digest binary, n long, n_a long, n_b long, n_groups long, n_links lon
 _state: dict = {}
 
 
-def _pieces_a(path: str) -> list[bytes]:
+def _sized(pieces: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    return pieces, np.array(list(map(len, pieces)), np.int64)
+
+
+def _pieces_a(path: str) -> tuple[list[bytes], np.ndarray]:
+    """Bytes of each entry, and how many these are."""
     if ("a", path) not in _state:
         enc = bpe_chunks.encoder(path)
-        _state["a", path] = [enc.decode_single_token_bytes(i) for i in range(enc.max_token_value + 1)]
+        _state["a", path] = _sized([enc.decode_single_token_bytes(i) for i in range(enc.max_token_value + 1)])
     return _state["a", path]
 
 
-def _pieces_b(path: str) -> list[bytes]:
+def _pieces_b(path: str) -> tuple[list[bytes], np.ndarray]:
     """Bytes of each piece: the marker is a space, a byte piece its byte."""
     if ("b", path) not in _state:
         sp = sp_chunks.processor(path)[0]
         names = [(i, sp.id_to_piece(i)) for i in range(sp.get_piece_size())]
-        _state["b", path] = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(sp_chunks.MARK, " ").encode() for i, p in names]
+        _state["b", path] = _sized([bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(sp_chunks.MARK, " ").encode() for i, p in names])
     return _state["b", path]
 
 
+def _numbers(n: int) -> list[bytes]:
+    """At 3 i, 3 i + 1 and 3 i + 2 the number i followed by a comma, a bar and a semicolon; n entries at least."""
+    known = _state.setdefault("numbers", [])
+    known += [b"%d%c" % (k // 3, b",|;"[k % 3]) for k in range(len(known), n)]
+    return known
+
+
 @dataclass(frozen=True)
 class Alignment:
-    """Ids and byte ends of both sides, the ends that they share, and for each link the index of its token on either side."""
+    """Ids and byte ends of both sides, how many ends of each side there are up to a byte offset, the ends that they share, and for each
+    link the index of its token on either side."""
 
     a: np.ndarray
     b: np.ndarray
     ends_a: np.ndarray
     ends_b: np.ndarray
+    upto_a: np.ndarray
+    upto_b: np.ndarray
     shared: np.ndarray
     link_a: np.ndarray
     link_b: np.ndarray
 
-    def groups(self) -> str:
+    def groups(self) -> bytes:
         """a1,a2|b1;a3|b2,b3: the ids between the ends that both share."""
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        i, j, out = 0, 0, []
-        for p, q in zip((np.searchsorted(self.ends_a, self.shared) + 1).tolist(), (np.searchsorted(self.ends_b, self.shared) + 1).tolist(), strict=True):
-            out.append(f"{a[i]}|{b[j]}" if p == i + 1 and q == j + 1 else f"{','.join(a[i:p])}|{','.join(b[j:q])}")
-            i, j = p, q
-        return ";".join(out)
+        # how many groups end before each token's end, and how many tokens of the other side stand before it
+        ends = np.zeros(len(self.upto_a), bool)
+        ends[self.shared] = True
+        groups = np.cumsum(ends)
+        group_a, group_b = groups[self.ends_a - 1], groups[self.ends_b - 1]
+        parts = np.empty(len(self.a) + len(self.b), np.int64)
+        # a number is told with what follows it: a comma, or what ends its side of the group
+        parts[np.arange(len(self.a)) + np.concatenate([[0], self.upto_b[self.shared]])[group_a]] = 3 * self.a + ends[self.ends_a]
+        parts[np.arange(len(self.b)) + self.upto_a[self.shared][group_b]] = 3 * self.b + 2 * ends[self.ends_b]
+        return b"".join(map(_numbers(int(parts.max()) + 1).__getitem__, parts.tolist()))[:-1]
 
 
 def align(path_a: str, path_b: str, text: str) -> Alignment | None:
@@ -79,12 +98,14 @@ def align(path_a: str, path_b: str, text: str) -> Alignment | None:
     want = (" " + text).encode()
     a = np.frombuffer(bpe_chunks.encode(path_a, " " + text), "<u4").astype(np.int64)
     b = np.frombuffer(sp_chunks.encode(path_b, text), "<u4")[1:-1].astype(np.int64)
-    of_a, of_b = ([table[i] for i in ids.tolist()] for table, ids in ((_pieces_a(path_a), a), (_pieces_b(path_b), b)))
-    if b"".join(of_a) != want or b"".join(of_b) != want:
+    (pieces_a, sizes_a), (pieces_b, sizes_b) = _pieces_a(path_a), _pieces_b(path_b)
+    if b"".join(map(pieces_a.__getitem__, a.tolist())) != want or b"".join(map(pieces_b.__getitem__, b.tolist())) != want:
         return None
-    ends_a, ends_b = (np.cumsum(np.fromiter(map(len, of), np.int64, len(of))) for of in (of_a, of_b))
-    cuts = np.union1d(ends_a, ends_b)
-    return Alignment(a, b, ends_a, ends_b, np.intersect1d(ends_a, ends_b, assume_unique=True), np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts))
+    ends_a, ends_b = np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b])
+    in_a, in_b = (np.zeros(len(want) + 1, bool) for _ in "ab")
+    in_a[ends_a], in_b[ends_b] = True, True
+    upto_a, upto_b, cuts = np.cumsum(in_a), np.cumsum(in_b), np.flatnonzero(in_a | in_b)
+    return Alignment(a, b, ends_a, ends_b, upto_a, upto_b, np.flatnonzero(in_a & in_b), upto_a[cuts - 1], upto_b[cuts - 1])
 
 
 def aligned_texts(docs: DataFrame, text_col: str = "text", *, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
@@ -102,7 +123,7 @@ def aligned_texts(docs: DataFrame, text_col: str = "text", *, path_a: str | None
                         rows.append((digest, n, 0, 0, 0, 0, "", [], [], []))
                         continue
                     keys, links = np.unique(found.a[found.link_a] << 32 | found.b[found.link_b], return_counts=True)
-                    sha = hashlib.sha256(found.groups().encode()).hexdigest()
+                    sha = hashlib.sha256(found.groups()).hexdigest()
                     rows.append((digest, n, len(found.a), len(found.b), len(found.shared), len(found.link_a), sha, keys >> 32, keys & 0xFFFFFFFF, links))
                 kinds = [pa.binary(), *[pa.int64()] * 5, pa.string(), *[pa.list_(pa.int32())] * 3]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in ALIGNED.split(", ")])
