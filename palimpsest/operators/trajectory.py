@@ -68,6 +68,44 @@ def resampled(rows: DataFrame, key: str, ts: str, coords: Sequence[str], spacing
     return dense.select(key, "place", *[(F.col(c) + (F.col(f"_{c}") - F.col(c)) * share).alias(c) for c in coords])
 
 
+def cut_corners(rows: DataFrame, key: str, order: Sequence[str], coords: Sequence[str], rounds: int = 2, *, closed: bool = False) -> DataFrame:
+    """key, place (from 0), coords: each path with its corners cut. A round puts two points on every segment, at a quarter and three quarters;
+    an open path keeps its ends. Rows without a place are left out; a path of one point has it at both ends."""
+    line = rows.select(key, *order, *coords).dropna(subset=list(coords))
+    at = line.select(key, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long").alias("place"), *[F.col(c).cast("double") for c in coords])
+    for _ in range(rounds):
+        path = Window.partitionBy(key).orderBy("place")
+        first = [F.first(c).over(path) for c in coords]
+        ahead = [F.coalesce(F.lead(c).over(path), f) if closed else F.lead(c).over(path) for c, f in zip(coords, first, strict=True)]
+        met = at.select(key, "place", *coords, *[a.alias(f"_{c}") for c, a in zip(coords, ahead, strict=True)])
+        between = lambda share: [(F.col(c) * (1 - share) + F.col(f"_{c}") * share).alias(c) for c in coords]
+        point = lambda place, at_: F.struct(place.alias("place"), *at_)
+        own = [F.col(c).alias(c) for c in coords]
+        shift, last = (0, None) if closed else (1, F.col(f"_{coords[0]}").isNull())
+        pair = [point(F.col("place") * 2 + shift, between(0.25)), point(F.col("place") * 2 + shift + 1, between(0.75))]
+        if closed:
+            parts = F.array(*pair)
+        else:
+            parts = F.array_compact(F.array(F.when(F.col("place") == 0, point(F.lit(0).cast("long"), own)), *[F.when(~last, p) for p in pair], F.when(last, point(F.col("place") * 2 + 1, own))))
+        at = met.select(key, F.explode(parts).alias("p")).select(key, "p.place", *[F.col(f"p.{c}").alias(c) for c in coords])
+    return at
+
+
+def tangent_yaw(rows: DataFrame, key: str, ts: str, x: str = "x", y: str = "y") -> DataFrame:
+    """rows with yaw, the direction from the point before to the one after; at an end, from or to it. 0 for a path of one point."""
+    order = Window.partitionBy(key).orderBy(ts)
+    d = [F.coalesce(F.lead(c).over(order), F.col(c)) - F.coalesce(F.lag(c).over(order), F.col(c)) for c in (y, x)]
+    return rows.withColumn("yaw", F.atan2(*d))
+
+
+def look_at(eye: Sequence[Column], target: Sequence[Column]) -> tuple[Column, Column]:
+    """yaw and pitch of the view from one place to another; null if they are the same."""
+    dx, dy, dz = (t - e for e, t in zip(eye, target, strict=True))
+    flat = F.sqrt(dx * dx + dy * dy)
+    apart = (flat > 0) | (dz != 0)
+    return F.when(apart, F.atan2(dy, dx)), F.when(apart, F.atan2(dz, flat))
+
+
 def densify(rows: DataFrame, key: str, ts: str, values: Sequence[str], step: int) -> DataFrame:
     """key, ts, values at every step from each stamp up to the next, linear in between; the last row as it is."""
     order = Window.partitionBy(key).orderBy(ts)

@@ -140,16 +140,17 @@ def effective_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def saved_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three snapshots written and asked for at five times: how many vertices and objects each time has."""
+    """Three snapshots, at a fifth, two fifths and four fifths of the ids, asked for at five times: how many vertices and objects each has."""
     store = StateStore(spark, scratch(spark, "state"))
     p = points(spark, sf_dir).withColumn("first_seen", F.col("vid"))
-    for k, stamp in enumerate((100, 200, 400)):
+    n = p.agg(F.max("vid")).first()[0] or 0
+    for k, stamp in enumerate((n // 5, n * 2 // 5, n * 4 // 5)):
         objects = p.where(F.col("vid") <= stamp).groupBy("label").agg(F.min("vid").alias("effective"), F.min("vid").alias("first"), *([F.max("vid").alias("last")] if k else []))
         store.append(stamp, p.where(F.col("vid") <= stamp).select("vid", "first_seen"), objects, 2 if k else 1)
     out = None
-    for t in (50, 150, 200, 300, 999):
-        n, m = store.mesh_at(t).agg(F.count("*").alias("vertices")), store.objects_at(t).agg(F.count("*").alias("objects"))
-        row = n.crossJoin(m).select(F.lit(t).alias("t"), F.lit(store.answering(t)).alias("stamp"), "vertices", "objects", F.lit(store.num_time_steps).alias("steps"))  # a row each
+    for t in (n // 10, n * 3 // 10, n * 2 // 5, n * 3 // 5, n * 2):
+        v, m = store.mesh_at(t).agg(F.count("*").alias("vertices")), store.objects_at(t).agg(F.count("*").alias("objects"))
+        row = v.crossJoin(m).select(F.lit(t).alias("t"), F.lit(store.answering(t)).alias("stamp"), "vertices", "objects", F.lit(store.num_time_steps).alias("steps"))  # a row each
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -301,8 +302,8 @@ ORACLES = {
     "trimmed_paths": f"WITH {STAYS} SELECT entity, count(*) FILTER (first <= {ORDER_DAY})::INT AS n, arg_max(order_id, (first, order_id)) FILTER (first <= {ORDER_DAY}) AS newest FROM s GROUP BY 1",
     "effective_objects": f"""WITH {STAYS}, l AS (SELECT l_orderkey AS k, min(epoch_us(l_shipdate)) AS m FROM lineitem GROUP BY 1) SELECT order_id FROM s LEFT JOIN l ON k = order_id
         WHERE coalesce(CASE WHEN entity % 2 = 0 THEN first + {5 * DAY} END, m, first) <= {ORDER_DAY} AND first <= {ORDER_DAY} AND (last IS NULL OR last > {ORDER_DAY})""",
-    "saved_state": f"""WITH {POINTS}, q AS (SELECT unnest([50, 150, 200, 300, 999]) AS t, unnest([100, 200, 200, 400, 400]) AS stamp)
-        SELECT t, stamp, (SELECT count(*) FROM p WHERE vid <= stamp AND vid <= t) AS vertices, (SELECT count(*) FROM (SELECT label, min(vid) AS f, max(vid) AS l FROM p WHERE vid <= stamp GROUP BY 1) WHERE f <= t AND (stamp = 100 OR l > t)) AS objects, 3 AS steps FROM q""",
+    "saved_state": f"""WITH {POINTS}, n AS (SELECT max(vid) AS n FROM p), q AS (SELECT unnest([n // 10, n * 3 // 10, n * 2 // 5, n * 3 // 5, n * 2]) AS t, unnest([n // 5, n * 2 // 5, n * 2 // 5, n * 4 // 5, n * 4 // 5]) AS stamp, n // 5 AS one FROM n)
+        SELECT t, stamp, (SELECT count(*) FROM p WHERE vid <= stamp AND vid <= t) AS vertices, (SELECT count(*) FROM (SELECT label, min(vid) AS f, max(vid) AS l FROM p WHERE vid <= stamp GROUP BY 1) WHERE f <= t AND (stamp = one OR l > t)) AS objects, 3 AS steps FROM q""",
     "ledger_faults": f"""WITH {_E}, l AS (SELECT entity::VARCHAR AS i, trunc(t / 60000000)::BIGINT AS s, event_id FROM e) SELECT 'repeated image' AS fault, count(*) AS n FROM (SELECT i FROM l GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'repeated stamp', count(*) FROM (SELECT s FROM l GROUP BY 1 HAVING count(*) > 1)
         UNION ALL SELECT 'not increasing', count(*) FROM (SELECT s, lag(s) OVER (ORDER BY event_id) AS b FROM l) WHERE s <= b""",
     "missing_inputs": "SELECT kind, count(*) AS n FROM (SELECT o_orderkey AS frame, unnest(['A', 'N', 'R', 'X']) AS kind FROM orders) ANTI JOIN (SELECT l_orderkey AS frame, l_returnflag AS kind FROM lineitem) USING (frame, kind) GROUP BY 1",

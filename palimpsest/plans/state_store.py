@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,17 +14,22 @@ VERSION = 2
 
 
 class StateStore:
-    """Snapshots under folder/version=<v>/stamp=<s>/table=<t>. Version 1 had no stamps of absence: its objects are open."""
+    """Snapshots under folder/version=<v>/stamp=<s>.<k>/table=<t>, k counting the writings of a stamp, of which the last holds. A
+    snapshot is written beside them and appears by one rename, with all its tables. Version 1 had no stamps of absence: its objects are open."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _stamps(self) -> dict[int, int]:
-        """Stamps and the versions they were written in; a directory a snapshot."""
+    def _stamps(self) -> dict[int, tuple[int, int]]:
+        """Stamps, with the number of their last writing and the version that is in; a directory a snapshot."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/version=*/stamp=*")
         found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
-        pairs = [(f.getPath().getName().partition("=")[2], f.getPath().getParent().getName().partition("=")[2]) for f in found]
-        return {int(s): int(v) for s, v in sorted(pairs, key=lambda p: int(p[1]))}
+        out: dict[int, tuple[int, int]] = {}
+        for f in found:
+            stamp, _, k = f.getPath().getName().partition("=")[2].partition(".")
+            version = int(f.getPath().getParent().getName().partition("=")[2])
+            out[int(stamp)] = max(out.get(int(stamp), (-1, 0)), (int(k or 0), version))
+        return out
 
     @property
     def stamps(self) -> list[int]:
@@ -44,8 +51,23 @@ class StateStore:
         """Adds a snapshot; an earlier one than the latest is an error, an equal one is written again."""
         if (latest := self.latest) is not None and stamp < latest:
             raise ValueError(f"snapshot {stamp} is older than {latest}")
+        k = self._stamps().get(stamp, (-1, 0))[0] + 1
+        path = lambda name: self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        staging, target = f"_staging-{uuid.uuid4().hex}", path(f"version={version}/stamp={stamp}.{k}")
         for name, df in (("vertices", vertices), ("objects", objects)):
-            df.write.mode("overwrite").parquet(f"{self.folder}/version={version}/stamp={stamp}/table={name}")
+            df.write.parquet(f"{self.folder}/{staging}/table={name}")
+        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(target.getParent())
+        if fs.exists(target) or not fs.rename(path(staging), target):
+            raise OSError(f"snapshot {stamp} could not be published")
+
+    def extend(self, later: StateStore) -> None:
+        """Appends another timeline, which must begin after this one ends; its snapshots are copied in order."""
+        latest, stamps = self.latest, later.stamps
+        if latest is not None and stamps and stamps[0] <= latest:
+            raise ValueError(f"the other timeline begins at {stamps[0]}, not after {latest}")
+        for stamp in stamps:
+            self.append(stamp, later._read(stamp, "vertices"), later._read(stamp, "objects"))
 
     def answering(self, t: int) -> int:
         """The first snapshot at or after t, which knows most, clamped to the timeline."""
@@ -55,14 +77,14 @@ class StateStore:
         return next((s for s in stamps if s >= t), stamps[-1])
 
     def _read(self, stamp: int, name: str) -> DataFrame:
-        version = self._stamps()[stamp]
-        df = self.spark.read.parquet(f"{self.folder}/version={version}/stamp={stamp}/table={name}")
+        k, version = self._stamps()[stamp]
+        df = self.spark.read.parquet(f"{self.folder}/version={version}/stamp={stamp}.{k}/table={name}")
         return df.withColumn("last", F.lit(None).cast("long")) if version < 2 and name == "objects" and "last" not in df.columns else df
 
     def mesh_at(self, t: int) -> DataFrame:
         return self._read(self.answering(t), "vertices").where(F.col("first_seen") <= t)
 
     def objects_at(self, t: int) -> DataFrame:
-        """Objects known by t and present then. What has no effective time of its own has the first stamp of a vertex."""
+        """Objects known by t and present then. What has no effective time of its own has its first stamp."""
         objects = self._read(self.answering(t), "objects")
         return objects.where((F.coalesce("effective", "first") <= t) & is_present(F.col("first"), F.col("last"), F.lit(t)))
