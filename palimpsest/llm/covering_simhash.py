@@ -115,16 +115,17 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, share: int
     placed = distinct.select("fp", _tables(first)).select("fp", "t.mask", "t.value")
     sizes = saved(placed.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     total = sizes.agg(F.sum("n"), F.max("n")).first()
-    tasks = max(1, -(-(total[0] or 0) // share))
     met = placed.join(sizes, ["mask", "value"])
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_forest(rows["fp"].to_numpy(np.int64), radius), columns=["u", "v"], dtype=np.int64)
 
-    def dealt(rows: DataFrame) -> DataFrame:
+    def dealt(rows: DataFrame, n: int) -> DataFrame:
+        """Buckets of n rows in all, some share of them a task."""
+        tasks = max(1, -(-n // share))
         return rows.groupBy(F.pmod(F.xxhash64("mask", "value"), F.lit(tasks)).alias("task")).applyInPandas(link, "u long, v long")
 
-    out = dealt(met.where(F.col("n") <= bucket).select("fp", "mask", "value"))
+    out = dealt(met.where(F.col("n") <= bucket).select("fp", "mask", "value"), total[0] or 0)
     if (total[1] or 0) > bucket:
         large = met.where(F.col("n") > bucket).select("fp", "mask")
         again = None
@@ -132,8 +133,9 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET, share: int
             finer = [m | x for x in masks([p for p in range(64) if not m >> p & 1], radius)]
             part = large.where(F.col("mask") == k).select("fp", _tables(finer)).select("fp", (F.col("t.mask") + 1000 * (k + 1)).alias("mask"), "t.value")
             again = part if again is None else again.unionByName(part)
-        counts = again.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
-        out = out.unionByName(dealt(again.join(counts, ["mask", "value"]).select("fp", "mask", "value")))
+        counts = saved(again.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1"), "finer-buckets")
+        n = counts.agg(F.sum("n")).first()[0] or 0  # up to as many times the rows as there are finer masks
+        out = out.unionByName(dealt(again.join(counts, ["mask", "value"]).select("fp", "mask", "value"), n))
     return out.distinct()
 
 
