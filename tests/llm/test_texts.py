@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from palimpsest.llm import bpe_chunks, covering_simhash, line_dedup, piecewise_hash, sp_chunks, token_spans, vector_packing
+from palimpsest.llm import bpe_chunks, covering_simhash, line_dedup, piecewise_hash, sp_chunks, token_spans, vector_packing, wrappers
 from palimpsest.llm.vector_packing import Limits
 
 ODD = " \n\t\r\x0b\x0c\x00\x1c\x85ab.1é漢 😀'sﬁ▁<>​"
@@ -403,3 +403,47 @@ def test_one_table_of_chunks_equals_whole_texts(spark):
     assert len(table) == len({(x.whole, x.chunk) for x in table})
     assert {x.chunk: x.n for x in table if x.whole} == {"": 2 + sum(t == "" for _, t in rows), "with ▁ marker": 2}
     assert sp_chunks.by_table(df.limit(0)).collect() == []
+
+
+def _lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def test_common_order_is_the_longest():
+    r = random.Random(12)
+    for _ in range(400):
+        a, b = ([r.choice("abcde"[: r.randint(1, 5)]) for _ in range(r.randrange(12))] for _ in "ab")
+        got = wrappers.common_order(a, b)
+        assert all(a[i] == b[j] for i, j in got) and len(got) == _lcs(a, b)
+        assert all(p < q and s < t for (p, s), (q, t) in zip(got, got[1:], strict=False))
+
+
+@pytest.mark.parametrize("kind", ["unlike", "shuffled", "few tags", "one more in front"])
+def test_wide_pages_align_in_linear_memory(kind):
+    import time
+    import tracemalloc
+
+    n, r = 50_000, random.Random(13)
+    a = [f"div x{k}q" if kind != "few tags" else r.choice(["p", "li", "div a"]) for k in range(n)]
+    b = {"unlike": lambda: [f"div y{k}q" for k in range(n)], "shuffled": lambda: r.sample(a, n), "few tags": lambda: [r.choice(["p", "li", "div b"]) for _ in range(n)], "one more in front": lambda: ["p", *a, "p"]}[kind]()
+    tracemalloc.start()
+    start = time.time()
+    nodes = lambda sigs: [[s, [], 0, 0, [], 0, 0, {}] for s in sigs]
+    out = wrappers.align(nodes(a), nodes(b))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.time() - start < 60 and peak < 400 << 20
+    merged = len(a) + len(b) - len(out)
+    assert merged == {"unlike": 0, "one more in front": n}.get(kind, merged) and (kind != "shuffled" or merged > 300)
+
+
+def test_names_inside_an_article_that_may_be_its_subject():
+    page = "<html><body><div class='sidebar'>side</div><article><h1>Title</h1>{}<p>last words</p></article></body></html>"
+    for kept in ("subscribe-model", "comments-on-method", "social history", "share-of-market", "notice period"):
+        assert wrappers.main_text(page.format(f"<div class='{kept}'>own text</div>"), None) == "Title own text last words", kept
+    for cut in ("ad-slot", "comments-section", "newsletter-box", "cookie-banner", "social", "social share buttons", "related-posts", "ad", "comment-list comments"):
+        assert wrappers.main_text(page.format(f"<div class='{cut}'>other text</div>"), None) == "Title last words", cut
