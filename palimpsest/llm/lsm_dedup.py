@@ -2,11 +2,13 @@
 
 Digests go into memtables: each task sorts its rows and flushes at most MEMTABLE of them as one run, a Parquet file whose
 Bloom filter and sorted row groups let a lookup skip it. A batch's runs are compacted into a tier, one entry per digest with
-the smallest identifier and the count, and a bitmap filter over its digests, FILTER_BITS a digest. A new batch is looked up in
+the smallest identifier and the count, and a bitmap filter over its digests, FILTER_BITS a digest. A table comes in batches of whole
+runs, BATCHES of them or as many as BATCH_ROWS rows each make, but no more than it has runs. A new batch is looked up in
 the older tiers: only digests that pass a tier's filter are joined with it, and a tier that none passes is not read. When
 fan tiers are within a factor of fan of each other they are compacted into one.
 
-A digest that more than one row has is a hit. Hits receive byte verification: a bitmap over them, sized by their number,
+A digest that a batch has twice, or that its lookup finds in an older tier, is a hit; in the end the tiers are asked for the hits' smallest
+identifiers and counts, and no other digest is touched again. Hits receive byte verification: a bitmap over them, sized by their number,
 lets the second reading of the texts pass by most other rows, and the least and the greatest text of each digest,
 pre-aggregated before the shuffle, must be the same bytes. Rows of digests for which they differ are grouped by bytes.
 Bitmaps are at most MOST_BITS (16 MB), a bound of what is broadcast; where hits need more, digests are joined instead.
@@ -28,8 +30,10 @@ from .common import saved
 
 #: Bits of one bitmap row, as bitmap_construct_agg lays it out; bits of a filter per key, and of a filter at most.
 BITMAP, FILTER_BITS, MOST_BITS = 1 << 15, 16, 1 << 27
-#: Rows of a run.
-MEMTABLE = 1_000_000
+#: Rows of a run; batches at least, and rows of one at most.
+MEMTABLE, BATCHES, BATCH_ROWS = 1_000_000, 4, 1 << 30
+#: Rows that one task can number: monotonically_increasing_id counts from the task's number times this.
+TASK = 1 << 33
 #: The filters of a run: Parquet's own, on the key.
 RUN = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": "100000", "maxRecordsPerFile": str(MEMTABLE)}
 
@@ -93,10 +97,10 @@ class Tier:
 
 
 class Index:
-    """Tiers of digests, the oldest first. reads counts the tiers that lookups have read."""
+    """Tiers of digests, the oldest first. reads counts the tiers that lookups have read, merges the compactions of tiers."""
 
     def __init__(self, fan: int = 4) -> None:
-        self.fan, self.tiers, self.reads = fan, [], 0
+        self.fan, self.tiers, self.reads, self.merges = fan, [], 0, 0
 
     def _tier(self, level: DataFrame, size: int) -> Tier:
         bits = bits_for(size)
@@ -105,7 +109,10 @@ class Index:
 
     def add(self, runs: DataFrame) -> DataFrame:
         """Compacts a batch's runs into a tier, and tiers into larger ones. Returns the batch's own level."""
-        level = compact(runs)
+        return self.insert(compact(runs))
+
+    def insert(self, level: DataFrame) -> DataFrame:
+        """Adds a compacted level as the newest tier."""
         self.tiers.append(self._tier(level, level.count()))
         while len(self.tiers) >= self.fan and self.tiers[-self.fan].size <= self.fan * max(1, self.tiers[-1].size):
             old = self.tiers[-self.fan :]
@@ -114,6 +121,7 @@ class Index:
                 union = union.unionByName(t.level)
             whole = saved(union.groupBy("key").agg(F.min("keep").alias("keep"), F.sum("n").alias("n")).sortWithinPartitions("key"), "level", **RUN)
             self.tiers[-self.fan :] = [self._tier(whole, whole.count())]
+            self.merges += 1
         return level
 
     def lookup(self, keys: DataFrame) -> DataFrame | None:
@@ -137,23 +145,46 @@ def candidates(texts: DataFrame, hits: DataFrame, n_hits: int) -> DataFrame:
     return passing(texts, bitmap(hits, bits), bits)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key_bytes: int = 32, share: int = 1000) -> DataFrame:
+def batches(runs: DataFrame, n_rows: int, newest: int) -> list[DataFrame]:
+    """The runs in batches: neighbouring tasks' rows, told by the rows' numbers, by which Parquet skips the others' files."""
+    tasks = newest // TASK + 1
+    n = min(tasks, max(BATCHES, -(-n_rows // BATCH_ROWS)))
+    cuts = [tasks * k // n * TASK for k in range(n + 1)]
+    return [runs.where((F.col("row") >= a) & (F.col("row") < b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def indexed(runs: DataFrame, index: Index) -> tuple[DataFrame, int, int]:
+    """Feeds the runs to the index batch by batch. Its hits (key, keep, n), and how many rows and hits there are."""
+    n_rows, newest = runs.agg(F.count("*"), F.max("row")).first()
+    found = runs.select("key").limit(0)
+    for batch in batches(runs, n_rows, newest or 0):
+        level = compact(batch)
+        met = index.lookup(level)
+        twice = level.where("n > 1").select("key")
+        found = found.unionByName(saved(twice if met is None else twice.unionByName(met.select("key")), "hits"))
+        index.insert(level)
+    keys = saved(found.distinct(), "hit-keys")
+    told = index.lookup(keys)
+    hits = saved(told if told is not None else index.tiers[-1].level.limit(0), "hits")
+    return hits, n_rows, hits.count()
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key_bytes: int = 32, share: int = 1000, index: Index | None = None) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, digest (of the normalised text).
 
-    key_bytes shortens the index's keys; results stay exact, as byte verification finds texts that share a key."""
+    key_bytes shortens the index's keys; results stay exact, as byte verification finds texts that share a key. index: an empty one, to be
+    filled."""
     runs = flush(docs, id_col, text_col, key_bytes)
-    level = Index().add(runs)
+    hits, n_rows, n_hits = indexed(runs, index or Index())
     text = normalised(F.col(text_col))
     texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("norm")).withColumn("digest", _digest(F.col("norm")))
     texts = texts.withColumn("key", _key(F.col("digest"), key_bytes))
-    hits = level.where("n > 1").select("key", "keep", "n")
-    n_rows, n_hits = level.agg(F.sum("n"), F.count_if(F.col("n") > 1)).first()
-    ends = candidates(texts.select("key", "norm"), hits, n_hits or 0).groupBy("key").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    ends = candidates(texts.select("key", "norm"), hits, n_hits).groupBy("key").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     clashes = saved(ends.where("low <> high").select("key"), "clashes")
     digest = "key" if key_bytes >= 32 else "digest"
-    hot = hits.where(F.col("n") * share > (n_rows or 0))  # fewer than share keys
+    hot = hits.where(F.col("n") * share > n_rows)  # fewer than share keys
     few, many = runs.join(F.broadcast(hot), "key"), runs.join(F.broadcast(hot.select("key")), "key", "left_anti")
-    rows = many.join(hits.where(F.col("n") * share <= (n_rows or 0)), "key", "left").unionByName(few)
+    rows = many.join(hits.where(F.col("n") * share <= n_rows), "key", "left").unionByName(few)
     out = rows.select(
         "doc_id",
         F.coalesce("keep.doc_id", "doc_id").alias("keep_id"),

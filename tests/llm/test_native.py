@@ -69,6 +69,28 @@ def test_a_new_batch_reads_only_tiers_whose_filter_it_hits(spark):
     assert {bytes(x.key): (x.keep.doc_id, x.n) for x in tier.level.collect()}[sha("a 3")] == (3, 3)
 
 
+def test_a_table_comes_in_batches_that_read_older_tiers(spark):
+    """The registered query's path: lookups in the tiers of the batches before, and a compaction of all four."""
+    rows = [(k, f"text {k % 70}" if k % 3 else f"own {k}") for k in range(400)]
+    index = lsm_dedup.Index()
+    got = lsm_dedup.dedup(docs(spark, rows).repartition(8), index=index).collect()
+    assert sorted(((x.doc_id, x.keep_id, x.group_size, bytes(x.digest).hex()) for x in got), key=repr) == brute_dedup(rows)
+    assert index.merges == 1 and len(index.tiers) == 1 and index.tiers[0].size == len({t for _, t in rows})
+    assert index.reads >= 1 + 2 + 3 + 1  # each batch reads all older tiers, and the hits the last one
+    none = lsm_dedup.Index()
+    lsm_dedup.dedup(docs(spark, [(k, f"own {k}") for k in range(100)]).repartition(4), index=none).collect()
+    assert none.reads <= 1  # but for what the filters let through by chance
+
+
+def test_batches_are_whole_runs_and_bounded(spark, monkeypatch):
+    runs = lsm_dedup.flush(docs(spark, [(k, f"t{k}") for k in range(60)]).repartition(6))
+    n, newest = runs.agg(F.count("*"), F.max("row")).first()
+    assert sorted(b.count() for b in lsm_dedup.batches(runs, n, newest)) and len(lsm_dedup.batches(runs, n, newest)) == 4
+    monkeypatch.setattr(lsm_dedup, "BATCH_ROWS", 12)
+    parts = [b.select("row").collect() for b in lsm_dedup.batches(runs, n, newest)]
+    assert len(parts) == 5 and sum(map(len, parts)) == 60 and len({r.row for p in parts for r in p}) == 60
+
+
 def test_filters_grow_with_what_they_hold(monkeypatch):
     assert lsm_dedup.bits_for(0) == lsm_dedup.BITMAP and lsm_dedup.bits_for(100_000) == 1 << 21
     assert lsm_dedup.bits_for(1 << 40) == lsm_dedup.MOST_BITS
