@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import frame_buffer as frames
 from ..operators.active_window import Rule
-from ..streaming import active_window, activity, incremental, object_state, persistent_states
+from ..streaming import active_window, activity, frame_buffer, incremental, object_state, persistent_states
 from ..streaming.epochs import EpochTable
 from .inputs import HOUR, micros
 from .presence_queries import ORACLES as BATCH
@@ -75,6 +76,17 @@ def stream_persistent_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("key", "entity")
 
 
+def stream_frame_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as sensors: views are frames, other events sights of a track of their kind; every second frame is stored, eight at most."""
+    e = _stream(spark, sf_dir, None).select(F.col("user_id").alias("key"), micros("ts").alias("ts"), "event_type")
+    kind = F.when(F.col("event_type") == "view", frames.FRAME).otherwise(frames.SIGHT)
+    sights = e.select("key", "ts", kind.alias("kind"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("track"))
+    # a track also sees the frame of its own stamp
+    seen = e.where("event_type <> 'view'").select("key", "ts", F.lit(frames.FRAME).alias("kind"), F.lit(None).cast("string").alias("track"))
+    out = frame_buffer.last_buffers(_run(frame_buffer.buffered(sights.unionByName(seen), frames.Rule(8, 2, 24 * HOUR)), "update"))
+    return out.withColumnRenamed("key", "user_id")
+
+
 def stream_object_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -91,7 +103,7 @@ def stream_object_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select(F.col("key").alias("entity"), "fragment", "birth", "last_support", "death", "n", F.when(F.col("death").isNull(), "current").otherwise("closed").alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (stream_incremental_changes, stream_tracker_activity, stream_object_state, stream_active_window, stream_persistent_states)}
+QUERIES = {f.__name__: f for f in (stream_incremental_changes, stream_tracker_activity, stream_object_state, stream_active_window, stream_persistent_states, stream_frame_buffer)}
 ORACLES = {
     "stream_persistent_states": TRACKS["object_persistent_states"],
     # the watermark is the newest stamp in whole milliseconds

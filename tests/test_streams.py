@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import active_window as batch_window
+from palimpsest.operators import frame_buffer as frames
 from palimpsest.operators import objects
 from palimpsest.operators.active_window import Rule
-from palimpsest.streaming import active_window, persistent_states
+from palimpsest.streaming import active_window, frame_buffer, persistent_states
 from palimpsest.streaming.epochs import EpochTable, LateRows
 
 SIGHTS = "key long, ts timestamp, ord long, x double, y double, z double"
@@ -157,3 +158,78 @@ def test_a_crash_before_the_rename_leaves_no_epoch(spark, tmp_path, monkeypatch)
     assert sink.epochs(spark) == [0] and sink.read(spark).count() == 1
     sink.write(spark.createDataFrame([(2,)], "t long"), 1)
     assert sink.read(spark).agg(F.sum("t")).first()[0] == 3
+
+
+ROWS = "key long, ts long, kind string, track string"
+
+
+def _buffer_rows(n, seed, start=0):
+    r = random.Random(seed)
+    out = []
+    for t in range(start, start + n):
+        for key in range(3):
+            out += [(key, t, frames.SIGHT, r.choice("abc")) for _ in range(r.choice([0, 0, 1, 2]))]
+            out += [(key, t, frames.FRAME, None)] if r.random() < 0.8 else []
+    return out
+
+
+def _buffers_by_hand(rows, rule):
+    out, most = [], 0
+    for key in sorted({r[0] for r in rows}):
+        buffer, k, sights = [], 0, []
+        for _, t, kind, track in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2], r[3] or "")):
+            if kind == frames.SIGHT:
+                sights.append((track, t))
+                continue
+            live = {x for x, _ in sights if max(u for y, u in sights if y == x) >= t - rule.window}
+            # a track that has left begins anew when it is seen again
+            sights = [s for s in sights if s[0] in live]
+            used = {u for _, u in sights}
+            out += [(key, f, t, "unreferenced") for f in buffer if f not in used]
+            buffer = [f for f in buffer if f in used]
+            if k and buffer:
+                out.append((key, buffer.pop(), t, "replaced"))
+            buffer.append(t)
+            if len(buffer) > rule.size:
+                out.append((key, buffer.pop(0), t, "oldest"))
+            k, most = (k + 1) % rule.every, max(most, len(buffer))
+        out += [(key, f, None, "held") for f in buffer]
+    return sorted(out, key=repr), most
+
+
+@pytest.mark.parametrize("rule", [frames.Rule(5, 1, 40), frames.Rule(4, 3, 6)])
+def test_buffers_in_batch_and_as_a_stream(spark, tmp_path, rule):
+    rows = _buffer_rows(120, 5)
+    want, most = _buffers_by_hand(rows, rule)
+    got = frames.buffered(spark.createDataFrame(rows, ROWS), "key", rule)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == want and most <= rule.size
+    assert {"unreferenced", "held"} <= {w[3] for w in want} and {w[3] for w in want} & {"oldest", "replaced"}
+    sink = EpochTable(str(tmp_path / "out"))
+    for low, high in ((0, 50), (50, 90), (90, 120)):
+        part = [r for r in rows if low <= r[1] < high]
+        random.Random(low).shuffle(part)
+        _write(spark, part, str(tmp_path / "in"), ROWS)
+        stream = frame_buffer.buffered(spark.readStream.schema(ROWS).parquet(str(tmp_path / "in")), rule)
+        stream.writeStream.foreachBatch(sink.write).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(200)
+    assert sorted((tuple(r) for r in frame_buffer.last_buffers(sink.read(spark)).collect()), key=repr) == want
+
+
+def test_buffer_state_is_bounded():
+    rule, now, r = frames.Rule(4, 2, 10), frames.start(), random.Random(1)
+    for t in range(5000):
+        frames.buffer_step(now, frames.SIGHT, t, f"track {t // 50 if r.random() < 0.5 else t}", rule)
+        frames.buffer_step(now, frames.FRAME, t, None, rule)
+        assert len(now["frames"]) <= 4 and len(now["tracks"]) <= 12 and all(len(seen) <= 4 for _, seen in now["tracks"].values())
+
+
+def test_buffer_state_expires(spark, tmp_path):
+    """A sensor that is silent for long begins anew; in between its state is gone."""
+    import time
+
+    sink, rule = EpochTable(str(tmp_path / "out")), frames.Rule(4, 1, 1000)
+    for t, wait in ((1, 0), (2, 3)):
+        time.sleep(wait)
+        _write(spark, [(1, t, frames.SIGHT, "a"), (1, t, frames.FRAME, None)], str(tmp_path / "in"), ROWS)
+        stream = frame_buffer.buffered(spark.readStream.schema(ROWS).parquet(str(tmp_path / "in")), rule, expire=1000)
+        stream.writeStream.foreachBatch(sink.write).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start().awaitTermination(200)
+    assert [r.frame for r in frame_buffer.last_buffers(sink.read(spark)).collect()] == [2]
