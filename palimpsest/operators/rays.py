@@ -35,6 +35,32 @@ def _cross2(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return x * x + y * y + z * z
 
 
+def point_cells(points: DataFrame, point_id: str, block: float, radial: float) -> DataFrame:
+    """point_id, cell: the cells in which rays that pass a point within the tolerance are sampled."""
+    near, at = math.hypot(radial, block / 8) + 1e-9, points.select(point_id, *POINT)
+    for c, n in zip(POINT, "ijk", strict=True):
+        at = at.withColumn(f"_{n}", F.explode(F.sequence(voxel(F.col(c) - near, block), voxel(F.col(c) + near, block))))
+    return at.select(point_id, pack_voxel(F.col("_i"), F.col("_j"), F.col("_k")).alias("cell"))
+
+
+def salts_of(cells: DataFrame) -> int:
+    """Over how many places the rays of a cell are dealt: next to a sensor a cell has all its rays."""
+    heavy = cells.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(1, -(-heavy // RAYS_A_CELL))
+
+
+def judged(met: DataFrame, radial: float, depth: float) -> DataFrame:
+    """Rows of a point and a ray whose distance is within the radial tolerance, with what the ray says of the point (verdict)."""
+    to_point = [F.col(p) - F.col(s) for p, s in zip(POINT, SOURCE, strict=True)]
+    to_target = [F.col(t) - F.col(s) for t, s in zip(TARGET, SOURCE, strict=True)]
+    distance = F.sqrt(sum((c * c for c in to_point), F.lit(0.0)))
+    aside = F.try_divide(F.sqrt(_cross2(to_point, to_target)), distance)
+    reach = F.try_divide(sum((a * b for a, b in zip(to_point, to_target, strict=True)), F.lit(0.0)), distance)
+    verdict = F.when(F.col("_d") - F.col("_r") > depth, "occluded").when(F.col("_r") - F.col("_d") > depth, "absent").otherwise("present")
+    measured = met.withColumns({"_d": distance, "_r": reach, "_a": aside}).where(F.col("_a") <= radial)
+    return measured.withColumn("verdict", verdict)
+
+
 def verify(points: DataFrame, rays: DataFrame, *, point_id: str, ray_id: str, ts: str = "ts", block: float, radial: float, depth: float, earliest: Column | None = None, latest: Column | None = None) -> DataFrame:
     """point_id, ray_id, ts, verdict for rays that pass a point within the radial tolerance: a ray that goes on behind the
     point by more than the depth tolerance shows its absence, one that ends at it its presence; one that ends before it
@@ -42,28 +68,16 @@ def verify(points: DataFrame, rays: DataFrame, *, point_id: str, ray_id: str, ts
 
     A ray's samples are at most a quarter block apart, so a point goes to all cells within the tolerance and half of that."""
     cells = ray_blocks(rays, ray_id, block, grow=depth)
-    heavy = cells.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    salts = max(1, -(-heavy // RAYS_A_CELL))  # next to a sensor a cell has all its rays
+    salts = salts_of(cells)
     cells = cells.withColumn("_salt", F.pmod(F.xxhash64(ray_id), F.lit(salts)))
-    near = math.hypot(radial, block / 8) + 1e-9
-    at = points.select(point_id, *POINT)
-    for c, n in zip(POINT, "ijk", strict=True):
-        at = at.withColumn(f"_{n}", F.explode(F.sequence(voxel(F.col(c) - near, block), voxel(F.col(c) + near, block))))
-    asked = at.select(point_id, pack_voxel(F.col("_i"), F.col("_j"), F.col("_k")).alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
+    asked = point_cells(points, point_id, block, radial).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
     pairs = asked.join(cells, ["cell", "_salt"]).select(point_id, ray_id).distinct()
     met = pairs.join(points, point_id).join(rays.select(ray_id, ts, *SOURCE, *TARGET), ray_id)
     if earliest is not None:
         met = met.where(F.col(ts) >= earliest)
     if latest is not None:
         met = met.where(F.col(ts) <= latest)
-    to_point = [F.col(p) - F.col(s) for p, s in zip(POINT, SOURCE, strict=True)]
-    to_target = [F.col(t) - F.col(s) for t, s in zip(TARGET, SOURCE, strict=True)]
-    distance = F.sqrt(sum((c * c for c in to_point), F.lit(0.0)))
-    aside = F.try_divide(F.sqrt(_cross2(to_point, to_target)), distance)
-    reach = F.try_divide(sum((a * b for a, b in zip(to_point, to_target, strict=True)), F.lit(0.0)), distance)
-    verdict = F.when(F.col("_d") - F.col("_r") > depth, "occluded").when(F.col("_r") - F.col("_d") > depth, "absent").otherwise("present")
-    measured = met.withColumns({"_d": distance, "_r": reach, "_a": aside}).where(F.col("_a") <= radial)
-    return measured.select(point_id, ray_id, ts, verdict.alias("verdict"))
+    return judged(met, radial, depth).select(point_id, ray_id, ts, "verdict")
 
 
 def physical_verdict(verdict: Column, own_id: Column, endpoint: Column, endpoint_id: Column) -> tuple[Column, Column]:

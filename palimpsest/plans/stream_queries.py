@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators import frame_buffer as frames
 from ..operators.active_window import Rule
-from ..streaming import active_window, activity, frame_buffer, incremental, object_state, persistent_states
+from ..operators.evidence import Scan
+from ..streaming import active_window, activity, frame_buffer, incremental, object_state, persistent_states, ray_index
 from ..streaming.epochs import EpochTable
-from .inputs import HOUR, micros
+from .inputs import HOUR, micros, points
 from .presence_queries import ORACLES as BATCH
 from .presence_queries import RULE
 from .scratch import scratch
+from .space_queries import _AB, _RAYS, _SEEN, _rays
 from .track_queries import ORACLES as TRACKS
 from .track_queries import state_events
 
@@ -103,8 +105,29 @@ def stream_object_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select(F.col("key").alias("entity"), "fragment", "birth", "last_support", "death", "n", F.when(F.col("death").isNull(), "current").otherwise("closed").alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (stream_incremental_changes, stream_tracker_activity, stream_object_state, stream_active_window, stream_persistent_states, stream_frame_buffer)}
+#: The scan of ray_changes_by_epochs, and its epochs.
+RAY_RULE, EPOCHS = Scan(50), 4
+
+
+def ray_changes_by_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence of ray_verify and what changed by it, as points and rays arrive by ranges of ids: each epoch looks up what its own rows
+    touch in the index of those before, and its evidence scans the points anew that it is about."""
+    index = ray_index.RayIndex(scratch(spark, "rays"), point_id="vid", ray_id="ray", block=0.1, radial=0.02, depth=0.03, fan=EPOCHS)
+    state = incremental.ChangeState(["vid"], "ts", "verdict", RAY_RULE, fan=EPOCHS)
+    low, high = points(spark, sf_dir).agg(F.min("vid"), F.max("vid")).first()
+    width = (0 if low is None else high - low) // EPOCHS + 1
+    for epoch in range(EPOCHS):
+        of = lambda df, c: df.where(F.floor((F.col(c) - F.lit(low)) / width) == epoch)  # noqa: B023, E731
+        state.update(index.update(spark, epoch, of(points(spark, sf_dir, 0), "vid"), of(_rays(spark, sf_dir), "ray")), epoch)
+    seen = index.evidence(spark).where("verdict <> 'occluded'").groupBy("vid").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("present", "absent")])
+    return seen.join(state.result, "vid")
+
+
+QUERIES = {f.__name__: f for f in (stream_incremental_changes, stream_tracker_activity, stream_object_state, stream_active_window, stream_persistent_states, stream_frame_buffer, ray_changes_by_epochs)}
 ORACLES = {
+    "ray_changes_by_epochs": f"""{_AB}, {_RAYS}, {_SEEN}, v AS (SELECT vid, ray // {RAY_RULE.resolution} AS bin, count(*) FILTER (abs(reach - d) <= 0.03) AS p, count(*) FILTER (reach - d > 0.03) AS n FROM h WHERE aside <= 0.02 AND d - reach <= 0.03 GROUP BY 1, 2),
+        s AS (SELECT *, min(bin) FILTER (n > p) OVER (PARTITION BY vid) AS stop FROM v)
+        SELECT vid, sum(p)::BIGINT AS present, sum(n)::BIGINT AS absent, any_value(stop) * {RAY_RULE.resolution} AS closest_absent, max(bin) FILTER (p > n AND (stop IS NULL OR bin < stop)) * {RAY_RULE.resolution} AS furthest_persistent FROM s GROUP BY vid""",
     "stream_persistent_states": TRACKS["object_persistent_states"],
     # the watermark is the newest stamp in whole milliseconds
     "stream_active_window": f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, value FROM events), g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > {2 * HOUR} AS gap FROM e),

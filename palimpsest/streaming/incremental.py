@@ -9,60 +9,57 @@ from pyspark.sql import functions as F
 
 from ..operators.evidence import VERDICTS, Scan, bins, scan_bins
 from ..plans.scratch import scratch
-
-BUCKETS = 64
+from .runs import Run, Runs, bucket, buckets_of
 
 
 class ChangeState:
-    """Counts of all evidence by key and bin, and the scan's results, as tables of deltas in a folder of the shared store.
+    """Counts of all evidence by key and bin, and the scan's results, as tables of epochs in a folder of the shared store.
 
     update() is meant for foreachBatch. A batch adds its own counts and the results of the keys it touches, dealt by key
-    into buckets; of the counts before it only the touched keys' buckets are read. What a folder holds is found again by
-    its name: after a restart the epochs it has are not added again, and one that was cut off is written anew."""
+    into buckets; of the counts before it only the touched keys' buckets are read. Counts and results of an epoch appear together. What a
+    folder holds is found again by its name: after a restart the epochs it has are not added again, and one that was cut off is
+    written anew. Every fan epochs become one (and so on), in which a key and bin has one row of counts and a key its newest result."""
 
-    def __init__(self, keys: Sequence[str], ts: str, verdict: str, scan: Scan, folder: str | None = None) -> None:
+    def __init__(self, keys: Sequence[str], ts: str, verdict: str, scan: Scan, folder: str | None = None, *, buckets: int = 64, fan: int = 8) -> None:
         self.keys, self.ts, self.verdict, self.scan, self.folder = list(keys), ts, verdict, scan, folder
+        self.buckets, self.fan = buckets, fan
         self.spark: SparkSession | None = None
-        self._epoch: int | None = None
+        self.runs: Runs | None = None
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.folder}/{name}").parquet(f"{self.folder}/{name}/epoch=*")
+    def _open(self, spark: SparkSession) -> None:
+        self.spark = spark
+        if self.folder is None:
+            self.folder = scratch(spark, "changes")
+        self.runs = self.runs or Runs(self.folder, self.fan)
 
-    def _epochs(self, name: str) -> list[int]:
-        """The epochs whose tables are complete."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/epoch=*/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
-        return [int(f.getPath().getParent().getName().partition("=")[2]) for f in found]
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        return df.select("*", bucket(self.keys, self.buckets))
 
-    def _bucket(self):
-        return F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).alias("bucket")
+    def _summed(self, counts: DataFrame) -> DataFrame:
+        return counts.groupBy(*self.keys, "bin", "bucket").agg(*[F.sum(v).alias(v) for v in VERDICTS])
 
-    def _write(self, df: DataFrame, name: str, epoch: int) -> None:
-        df.select("*", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/epoch={epoch}")
+    def _newest(self, results: DataFrame) -> DataFrame:
+        kept = [c for c in results.columns if c not in ("bucket", *self.keys)]
+        return results.groupBy(*self.keys, "bucket").agg(F.max_by(F.struct(*kept), "epoch").alias("_r")).select(*self.keys, "_r.*", "bucket")
 
     def update(self, batch: DataFrame, epoch: int) -> None:
-        self.spark = batch.sparkSession
-        if self.folder is None:
-            self.folder = scratch(self.spark, "changes")
-        if self._epoch is None:
-            self._epoch = max(self._epochs("results"), default=-1)
-        if epoch <= self._epoch:
+        self._open(batch.sparkSession)
+        if epoch <= self.runs.newest(self.spark):
             return
-        self._write(bins(batch, self.keys, self.ts, self.verdict, self.scan.resolution), "counts", epoch)
-        counts = self._table("counts").where(F.col("epoch") <= epoch)
-        dirty = counts.where(F.col("epoch") == epoch).select(*self.keys).distinct()
-        touched = [r[0] for r in dirty.select(self._bucket()).distinct().collect()]  # at most BUCKETS
-        whole = counts.where(F.col("bucket").isin(touched)).join(dirty, self.keys, "left_semi")
-        whole = whole.groupBy(*self.keys, "bin").agg(*[F.sum(v).alias(v) for v in VERDICTS])
-        self._write(scan_bins(whole, self.keys, self.scan), "results", epoch)
-        self._epoch = epoch
+        stage = self.runs.stage(self.spark, Run(epoch, epoch, 1))
+        new = stage.write("counts", self._dealt(bins(batch, self.keys, self.ts, self.verdict, self.scan.resolution)))
+        old = self.runs.read(self.spark, "counts", buckets_of(new, self.buckets))
+        # bucket is a key of the join as well, so that the hash of the keys is compared first
+        whole = new if old is None else new.unionByName(old.join(new.select(*self.keys, "bucket").distinct(), [*self.keys, "bucket"], "left_semi"))
+        found = scan_bins(self._summed(whole), self.keys, self.scan).withColumn("epoch", F.lit(epoch).cast("long"))
+        stage.write("results", self._dealt(found))
+        stage.commit()
+        self.runs.compact(self.spark, {"counts": self._summed, "results": self._newest})
 
     @property
     def result(self) -> DataFrame:
         """The newest result of every key."""
-        rows = self._table("results")
-        kept = [c for c in rows.columns if c not in ("epoch", "bucket")]
-        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*kept), "epoch").alias("r")).select("r.*")
+        return self._newest(self.runs.read(self.spark, "results")).drop("epoch", "bucket")
 
 
 def every(n: int, act):
