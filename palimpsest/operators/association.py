@@ -57,23 +57,9 @@ def first_match(candidates: DataFrame, cluster: str, track: str, passes: Column)
 def greedy_pairs(costs: DataFrame, left: str, right: str, cost: str, *, group: Sequence[str] = ()) -> DataFrame:
     """A one-to-one matching: by ascending cost (then ids) each pair is taken if both its ends are free.
 
-    In rounds, every pair that is the best one of both its ends is taken at once and its ends' other pairs go; that yields
-    the sequential result without bringing a group together. group is kept apart by being part of the ends' keys."""
-    from ..plans.scratch import saved
-
-    left_key, right_key = [*group, left], [*group, right]
-    rank = F.struct(F.col(cost).alias("c"), F.col(left).alias("l"), F.col(right).alias("r"))
-    open_ = saved(costs.select(*group, left, right, cost), "pairs")
-    taken = None
-    while not open_.isEmpty():
-        best_left = open_.groupBy(*left_key).agg(F.min(rank).alias("_bl"))
-        best_right = open_.groupBy(*right_key).agg(F.min(rank).alias("_br"))
-        ranked = open_.join(best_left, left_key).join(best_right, right_key)
-        won = saved(ranked.where((F.col("_bl") == F.col("_br")) & (F.col("_bl") == rank)).select(*group, left, right, cost), "won")
-        taken = won if taken is None else taken.unionByName(won)
-        rest = open_.join(won.select(*left_key), left_key, "left_anti").join(won.select(*right_key), right_key, "left_anti")
-        open_ = saved(rest, "pairs")
-    return open_ if taken is None else taken
+    Every pair that is the best one of both its ends is taken and its ends' other pairs go; that yields the sequential result without
+    sorting all pairs. group is kept apart by being part of the ends' keys."""
+    return rounds_of_pairs(costs, left, right, [F.col(cost).asc(), F.col(right).asc()], [F.col(cost).asc(), F.col(left).asc()], group=group, keep=[cost])
 
 
 def greedy_nearest(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, right_id: str, label: str, coords: Sequence[str] = XYZ) -> DataFrame:
@@ -82,28 +68,91 @@ def greedy_nearest(left: DataFrame, right: DataFrame, radius: float, *, left_id:
     return greedy_pairs(near, left_id, f"right_{right_id}", "d2", group=[label])
 
 
+#: Candidates of a group that one task settles; larger groups go in rounds.
+SMALL = 50_000
+
+
+def _by_rank(end: np.ndarray, rank: np.ndarray) -> tuple[list[int], list[int]]:
+    """Rows by end and rank, and where each end's rows begin."""
+    order = np.lexsort((rank, end))
+    return order.tolist(), [*np.searchsorted(end[order], np.arange(end.max() + 1)).tolist(), len(end)]
+
+
+def _settled(l: np.ndarray, r: np.ndarray, l_rank: np.ndarray, r_rank: np.ndarray) -> list[int]:  # noqa: E741
+    """The rows taken of candidates between ends 0, 1, ...: from an end that is open to the one it wants most, from there to the one that
+    that wants most, until two want each other. Ends that are passed wait for it, so each is passed once a pair that is taken."""
+    (of_l, at_l), (of_r, at_r) = _by_rank(l, l_rank), _by_rank(r, r_rank)
+    end_l, end_r, left, right = at_l[1:], at_r[1:], l.tolist(), r.tolist()
+    open_l, open_r, taken = [True] * len(end_l), [True] * len(end_r), []
+    for first in range(len(end_l)):
+        chain = [first] if open_l[first] else []
+        while chain:
+            a = chain[-1]
+            while at_l[a] < end_l[a] and not open_r[right[of_l[at_l[a]]]]:
+                at_l[a] += 1
+            if at_l[a] == end_l[a]:
+                open_l[chain.pop()] = False
+                continue
+            row = of_l[at_l[a]]
+            b = right[row]
+            while not open_l[left[of_r[at_r[b]]]]:
+                at_r[b] += 1
+            wanted = left[of_r[at_r[b]]]
+            if wanted == a:
+                taken.append(row)
+                open_l[chain.pop()] = open_r[b] = False
+            elif len(chain) > len(end_l):
+                raise ValueError("the orders contradict each other: no pair is first on both sides")
+            else:
+                chain.append(wanted)
+    return taken
+
+
 def rounds_of_pairs(candidates: DataFrame, left: str, right: str, left_order: Sequence[Column], right_order: Sequence[Column], *, group: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """group, left, right, keep: a one-to-one matching in which a pair is taken if it is the first of its left end's open
     candidates by left_order and of its right end's by right_order, and its ends' other pairs go, until none is open. If
-    right_order is that of the left ends, this is what these get who choose one after the other."""
+    right_order is that of the left ends, this is what these get who choose one after the other. A row with a null end or group is no candidate.
+
+    Groups of at most SMALL candidates are settled in tasks, each of which has about so many rows of whole groups. Larger ones go in
+    rounds, of which each takes all pairs that are first on both sides at once."""
     from ..plans.scratch import saved
 
+    ends = [*group, left, right]
     at = [Window.partitionBy(*group, c).orderBy(*o) for c, o in ((left, left_order), (right, right_order))]
-    open_ = saved(candidates.select(*group, left, right, *keep), "pairs")
+    ranks = {"_l": F.row_number().over(at[0]), "_r": F.row_number().over(at[1])}
+    rows = saved(candidates.select(*ends, *keep).dropna(subset=ends), "pairs")
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
+    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    if not total:
+        return rows
+    open_, small = None, rows
+    if largest > SMALL:
+        open_, small = rows, None
+        if group:
+            big = saved(sizes.where(F.col("_n") > SMALL).select(*group), "groups")  # at most a row for each SMALL candidates
+            open_, small = saved(rows.join(big, list(group), "left_semi"), "pairs"), rows.join(big, list(group), "left_anti")
     taken = None
-    while not open_.isEmpty():
-        ranked = open_.withColumns({"_l": F.row_number().over(at[0]), "_r": F.row_number().over(at[1])})
-        won = saved(ranked.where("_l = 1 and _r = 1").drop("_l", "_r"), "won")
+    if small is not None:
+        columns, keys = small.columns, [[*group, left], [*group, right]]
+
+        def settle(part: pd.DataFrame) -> pd.DataFrame:
+            l, r = (part.groupby(k, sort=False).ngroup().to_numpy() for k in keys)  # noqa: E741
+            return part.iloc[_settled(l, r, part["_l"].to_numpy(), part["_r"].to_numpy())][columns]
+
+        dealt = F.pmod(F.xxhash64(*group), F.lit(-(-total // max(SMALL, 1)))) if group else F.lit(0)
+        taken = small.withColumns(ranks).groupBy(dealt.alias("_part")).applyInPandas(settle, small.schema)
+    while open_ is not None and not open_.isEmpty():
+        won = saved(open_.withColumns(ranks).where("_l = 1 and _r = 1").drop("_l", "_r"), "won")
         if won.isEmpty():
             raise ValueError("the orders contradict each other: no pair is first on both sides")
         taken = won if taken is None else taken.unionByName(won)
         open_ = saved(open_.join(won.select(*group, left), [*group, left], "left_anti").join(won.select(*group, right), [*group, right], "left_anti"), "pairs")
-    return open_ if taken is None else taken
+    return taken
 
 
 def ordered_greedy(candidates: DataFrame, frame: str, track: str, cluster: str, score: str, *, least: float) -> DataFrame:
     """frame, track, cluster, score: within a frame, tracks in order take their best cluster that is still free and scores
-    strictly more; the smaller cluster on a tie. In rounds, so that no frame comes to one task."""
+    strictly more; the smaller cluster on a tie. Large frames go in rounds, so that none comes to one task."""
     rows = candidates.select(frame, track, cluster, score).where(F.col(score) > least)
     return rounds_of_pairs(rows, track, cluster, [F.col(score).desc(), F.col(cluster).asc()], [F.col(track).asc()], group=[frame], keep=[score])
 

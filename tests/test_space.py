@@ -193,3 +193,35 @@ def test_move_decisions(spark):
     assert np.allclose(p, [1 / (1 + math.exp(-x)) for x in (-2 + 6 + 1, -2 - 2 - 1, -2 + 4 + 1, -2)])
     with pytest.raises(ValueError):
         belief.moved("guess", F.lit(0), F.lit(0), F.lit(0))
+
+
+@pytest.mark.parametrize("small", [0, 30, 100_000])
+def test_matchings_by_tasks_and_by_rounds(spark, monkeypatch, small):
+    """Frames on either side of the bound, chains in which one pair settles the next, null ends and groups."""
+    monkeypatch.setattr(association, "SMALL", small)
+    r = random.Random(13)
+    data = [(g, a, b, round(r.uniform(0, 1), 1)) for g in range(6) for a in range(7) for b in range(7) if r.random() < (0.2 if g % 2 else 0.9)]
+    data += [(9, k, k + d, float(k + d)) for k in range(6) for d in (0, 1)]
+    want_near, want_ordered = set(), set()
+    for g in {x[0] for x in data}:
+        used_a, used_b = set(), set()
+        for c, a, b in sorted((c, a, b) for h, a, b, c in data if h == g):
+            if a not in used_a and b not in used_b:
+                used_a.add(a)
+                used_b.add(b)
+                want_near.add((g, a, b, c))
+        free = {b for h, _, b, _ in data if h == g}
+        for a in sorted({a for h, a, _, _ in data if h == g}):
+            if best := min(((-c, b) for h, x, b, c in data if (h, x) == (g, a) and b in free and c > 0.2), default=None):
+                free.discard(best[1])
+                want_ordered.add((g, a, best[1], -best[0]))
+    df = spark.createDataFrame([*data, (None, 1, 1, 0.5), (1, None, 1, 0.0), (1, 1, None, 0.9)], "g long, a long, b long, c double")
+    assert {tuple(x) for x in association.greedy_pairs(df, "a", "b", "c", group=["g"]).collect()} == want_near
+    assert {tuple(x) for x in association.ordered_greedy(df, "g", "a", "b", "c", least=0.2).collect()} == want_ordered
+    none = association.greedy_pairs(df.limit(0), "a", "b", "c", group=["g"])
+    assert none.columns == ["g", "a", "b", "c"] and none.collect() == []
+    one = df.where("g = 9").drop("g")
+    assert {(9, *x) for x in association.greedy_pairs(one, "a", "b", "c").collect()} == {x for x in want_near if x[0] == 9}
+    circle = spark.createDataFrame([(1, 1, 0, 1), (1, 2, 1, 0), (2, 2, 0, 1), (2, 1, 1, 0)], "a long, b long, p long, q long")
+    with pytest.raises(Exception, match="contradict"):
+        association.rounds_of_pairs(circle, "a", "b", [F.col("p").asc()], [F.col("q").asc()], keep=["p", "q"]).collect()
