@@ -72,6 +72,30 @@ def test_ply_and_intrinsics(spark, tmp_path):
     assert ply.read_intrinsics(spark, str(tmp_path / "i.txt")).first()["values"] == {"Res_x": 960.0, "f_x": 481.5}
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_binary_clouds_of_any_number_of_partitions(spark, tmp_path, parts):
+    from palimpsest.sources import ply
+
+    path, r = str(tmp_path / "cloud.ply"), random.Random(parts)
+    rows = [(3 * k, r.random(), -r.random(), None if k == 5 else float(k), k % 7) for k in range(500)]
+    cloud = spark.createDataFrame(r.sample(rows, len(rows)), "vid long, x double, y double, z double, c int").withColumn("x", F.col("x").cast("float")).repartition(parts)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        assert ply.write_binary(cloud, path, columns=["x", "y", "z", "c"]) == 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [p.name for p in tmp_path.iterdir()] == ["cloud.ply"]
+    raw = ply.vertices((tmp_path / "cloud.ply").read_bytes())
+    assert raw["c"].tolist() == [k % 7 for k in range(500)]
+    got = sorted((x.vid, x.y, x.z) for x in ply.read_points(spark, path).collect())
+    assert [(a, b) for a, b, _ in got] == [(k, v[2]) for k, v in enumerate(rows)] and got[5][2] != got[5][2] and got[6][2] == 6.0
+    with pytest.raises(FileExistsError):
+        ply.write_binary(cloud, path)
+    assert ply.write_binary(cloud.limit(0), path + "2") == 0 and len(ply.vertices((tmp_path / "cloud.ply2").read_bytes())["x"]) == 0
+    with pytest.raises(Exception, match="is null"):
+        ply.write_binary(cloud.withColumn("c", F.lit(None).cast("int")), path + "3", columns=["x", "c"])
+
+
 def test_manifest_does_not_depend_on_order(spark):
     df = spark.range(100).select("id", (F.col("id") * 7 % 13).alias("v"))
     a, b = (sinks.manifest(x, ["v"]).first() for x in (df, df.orderBy(F.rand(3)).repartition(7)))
