@@ -20,7 +20,7 @@ class ChangeState:
     folder holds is found again by its name: after a restart the epochs it has are not added again, and one that was cut off is
     written anew. Every fan epochs become one (and so on), in which a key and bin has one row of counts and a key its newest result."""
 
-    def __init__(self, keys: Sequence[str], ts: str, verdict: str, scan: Scan, folder: str | None = None, *, buckets: int = 64, fan: int = 8) -> None:
+    def __init__(self, keys: Sequence[str], ts: str, verdict: str, scan: Scan, folder: str | None = None, *, buckets: int = 32, fan: int = 8) -> None:
         self.keys, self.ts, self.verdict, self.scan, self.folder = list(keys), ts, verdict, scan, folder
         self.buckets, self.fan = buckets, fan
         self.spark: SparkSession | None = None

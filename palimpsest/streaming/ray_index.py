@@ -23,7 +23,7 @@ class RayIndex:
     Points have columns point_id, x, y, z, rays ray_id, ts and their ends; ids are never given twice. A point or ray with a null coordinate meets
     nothing. When points have moved, evidence from before is void: begin a new folder with the moved points and all rays."""
 
-    def __init__(self, folder: str, *, point_id: str, ray_id: str, ts: str = "ts", block: float, radial: float, depth: float, buckets: int = 64, fan: int = 8) -> None:
+    def __init__(self, folder: str, *, point_id: str, ray_id: str, ts: str = "ts", block: float, radial: float, depth: float, buckets: int = 32, fan: int = 8) -> None:
         self.point_id, self.ray_id, self.ts = point_id, ray_id, ts
         self.block, self.radial, self.depth, self.buckets = block, radial, depth, buckets
         self.runs = Runs(folder, fan)

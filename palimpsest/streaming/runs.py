@@ -37,6 +37,7 @@ class Runs:
         if fan < 2:
             raise ValueError("fan is at least 2")
         self.folder, self.fan = folder.rstrip("/"), fan
+        self._open: dict[tuple[str, str], DataFrame] = {}  # runs do not change, so their files are listed once
 
     def _fs(self, spark: SparkSession, name: str):
         p = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -62,12 +63,17 @@ class Runs:
     def read(self, spark: SparkSession, table: str, buckets: Collection[int] | None = None, *, since: int = -1) -> DataFrame | None:
         """The table's rows, of some buckets only: the files of others are not opened, nor those of runs that end before epoch since. None
         if there is no such run."""
-        parts = [_read(spark, f"{self.folder}/{r.name}", table) for r in self.live(spark) if r.high >= since]
+        parts = [self._of(spark, r, table) for r in self.live(spark) if r.high >= since]
         if not parts:
             return None
         rows = reduce(DataFrame.unionByName, parts)
         return rows if buckets is None else rows.where(F.col("bucket").isin(*buckets) if buckets else F.lit(False))
 
+    def _of(self, spark: SparkSession, run: Run, table: str) -> DataFrame:
+        if (run.name, table) not in self._open:
+            self._open[run.name, table] = _read(spark, f"{self.folder}/{run.name}", table)
+        return self._open[run.name, table]
+
     def stage(self, spark: SparkSession, run: Run) -> Stage:
         return Stage(self, spark, run)
 
@@ -81,7 +87,7 @@ class Runs:
             self._delete_merged(spark)
             stage = self.stage(spark, Run(last[0].low, last[-1].high, sum(r.n for r in last)))
             for table, act in merge.items():
-                stage.write(table, act(reduce(DataFrame.unionByName, [_read(spark, f"{self.folder}/{r.name}", table) for r in last])))
+                stage.write(table, act(reduce(DataFrame.unionByName, [self._of(spark, r, table) for r in last])))
             stage.commit()
             done += 1
 
@@ -95,6 +101,7 @@ class Runs:
         for run in set(self._found(spark)) - set(self.live(spark)):
             fs, path = self._fs(spark, run.name)
             fs.delete(path, True)
+            self._open = {of: rows for of, rows in self._open.items() if of[0] != run.name}
 
 
 class Stage:
