@@ -123,8 +123,10 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_of_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each customer, the newest order at a day and whether it was open then."""
-    newest = timetravel.history_at(stays(spark, sf_dir), F.lit(ORDER_DAY), ["entity"], "first")
-    return newest.groupBy("entity", "first").agg(F.max("order_id").alias("order_id"), F.bool_or(presence.is_present(F.col("first"), F.col("last"), F.lit(ORDER_DAY))).alias("open"))
+    open_ = presence.is_present(F.col("first"), F.col("last"), F.lit(ORDER_DAY))
+    # orders of one stamp are one row before the newest is taken
+    stamps = stays(spark, sf_dir).groupBy("entity", "first").agg(F.max("order_id").alias("order_id"), F.bool_or(open_).alias("open"))
+    return timetravel.history_at(stamps, F.lit(ORDER_DAY), ["entity"], "first")
 
 
 def snapshot_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
