@@ -61,6 +61,12 @@ def without_absent(vertices: DataFrame, inside: DataFrame, boxes: DataFrame, *,
 DECISIONS = ("absent", "unobserved", "new_current", "support_filter", "supported_prior", "current_only", "persistent_union")
 
 
+def exact_mean(value: str) -> Column:
+    """The mean of a group to the last digit of its values (18 after the point), whatever order they come in: a sum of doubles may miss a
+    limit that the mean is on."""
+    return F.sum(F.col(value).cast("decimal(28,18)")).cast("double") / F.count(value)
+
+
 def logical_state(change: Column, decision: Column, known: Column, summarised: Column) -> Column:
     """The state that a belief's decision amounts to, by the kind of change that truly happened."""
     removed = F.when(~summarised & decision.contains("absent"), "Absent").when(~summarised & decision.contains("unobserved"), "Unobserved").otherwise("Leaked")

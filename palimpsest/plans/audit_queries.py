@@ -106,7 +106,7 @@ def session_mesh_init(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as audited objects, joined by key with what is believed of them and what is summarised."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.element_at(F.array(*map(F.lit, ("removed", "new", "moved"))), (F.col("s_nationkey") % 3 + 1).cast("int")).alias("change"), F.col("s_acctbal").alias("balance"))
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count("*").alias("n"), F.avg("l_discount").alias("d"))
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count("*").alias("n"), reconcile.exact_mean("l_discount").alias("d"))
     words = F.array(*map(F.lit, reconcile.DECISIONS))
     belief = li.select("key", F.concat(F.element_at(words, (F.col("r") % len(reconcile.DECISIONS) + 1).cast("int")), F.lit("_rule")).alias("decision"), "n", "d")
     summary = li.where("n % 5 < 3").select("key", F.lit(True).alias("summarised"))

@@ -22,3 +22,11 @@ def test_orders_of_one_stamp_are_one_snapshot(spark, tmp_path):
         spark.createDataFrame(order, names).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
         (row,) = presence_queries.as_of_snapshot(spark, str(tmp_path)).collect()
         assert (row["entity"], row["order_id"], row["open"]) == (7, 900_009, True)
+
+
+def test_a_mean_on_the_limit_does_not_depend_on_the_order(spark):
+    values = [0.07, 0.03, 0.06, 0.04, 0.01, 0.09] * 100
+    got = {spark.createDataFrame([(float(v),) for v in vs], "d double").coalesce(1).agg(reconcile.exact_mean("d")).first()[0] for vs in (values, sorted(values), sorted(values, reverse=True))}
+    assert got == {0.05}
+    doubles = {reduce(add, vs) / 600 for vs in (values, sorted(values), sorted(values, reverse=True))}
+    assert doubles != {0.05}  # what a sum of doubles makes of it
