@@ -213,6 +213,7 @@ def optimal(costs: DataFrame, group: str, left: str, right: str, cost: str, *, m
 
 
 def merge_targets(merges: DataFrame, from_col: str = "from_node", to_col: str = "to_node", valid: str = "is_valid", order: str | None = None) -> DataFrame:
-    """from, to: of each node's proposals the first one, if it is valid; later valid ones don't count."""
-    rank = Window.partitionBy(from_col).orderBy(order or to_col)
+    """from, to: of each node's proposals the first one, if it is valid; later valid ones don't count. Of equal ones the smaller
+    to is first, and of these the one that is not valid."""
+    rank = Window.partitionBy(from_col).orderBy(order or to_col, to_col, F.col(valid).cast("boolean"))
     return merges.withColumn("_n", F.row_number().over(rank)).where((F.col("_n") == 1) & F.col(valid).cast("boolean")).select(from_col, to_col)

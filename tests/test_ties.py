@@ -30,3 +30,10 @@ def test_a_mean_on_the_limit_does_not_depend_on_the_order(spark):
     assert got == {0.05}
     doubles = {reduce(add, vs) / 600 for vs in (values, sorted(values), sorted(values, reverse=True))}
     assert doubles != {0.05}  # what a sum of doubles makes of it
+
+
+def test_merges_of_one_number_go_by_their_target(spark):
+    rows = [(1, 9, True, 5), (1, 4, True, 5), (1, 2, True, 6), (2, 3, True, 5), (2, 3, False, 5)]
+    for order in (rows, rows[::-1]):
+        got = association.merge_targets(spark.createDataFrame(order, "from_node long, to_node long, is_valid boolean, n long").coalesce(1), order="n")
+        assert [tuple(r) for r in got.collect()] == [(1, 4)]
