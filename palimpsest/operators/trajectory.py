@@ -58,9 +58,11 @@ def smoothed(rows: DataFrame, key: str, ts: str, angle: str, reach: int, sigma:
 
 
 def resampled(rows: DataFrame, key: str, ts: str, coords: Sequence[str], spacing: float) -> DataFrame:
-    """key, place, coords: points every spacing along each path, from its first one, linear in between."""
+    """key, place, coords: points every spacing along each path, from its first one, linear in between; none at its very end.
+    Lengths are sums of steps of nine decimals, which are exact: a sum of doubles may miss a place that a path ends at."""
     order = Window.partitionBy(key).orderBy(ts)
-    at = arc_length(rows, key, ts, coords)
+    exact = F.sum(F.col("step").try_cast("decimal(28,9)")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
+    at = arc_length(rows, key, ts, coords).withColumn("length", F.when(F.col("length") < float("inf"), exact))
     ahead = at.select(key, "length", *coords, F.lead("length").over(order).alias("_l"), *[F.lead(c).over(order).alias(f"_{c}") for c in coords])
     first, last = F.ceil(F.col("length") / spacing), F.ceil(F.col("_l") / spacing) - 1
     dense = ahead.where("_l > length").withColumn("place", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))))

@@ -37,3 +37,11 @@ def test_merges_of_one_number_go_by_their_target(spark):
     for order in (rows, rows[::-1]):
         got = association.merge_targets(spark.createDataFrame(order, "from_node long, to_node long, is_valid boolean, n long").coalesce(1), order="n")
         assert [tuple(r) for r in got.collect()] == [(1, 4)]
+
+
+def test_a_path_has_no_place_at_its_end(spark):
+    steps = [(0.7, 10, 7), (0.1, 10, 1)]  # as sums of doubles a little more and a little less
+    rows = [(k, t, step * (t % 2)) for k, (step, n, _) in enumerate(steps) for t in range(n + 1)]
+    assert reduce(add, [0.7] * 10) > 7
+    got = trajectory.resampled(spark.createDataFrame(rows, "entity long, t long, x double"), "entity", "t", ["x"], 1.0)
+    assert {r["entity"]: r["n"] for r in got.groupBy("entity").agg(F.max("place").alias("n")).collect()} == {0: 6, 1: 0}
