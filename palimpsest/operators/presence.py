@@ -50,9 +50,10 @@ def last_changes_before(intervals: DataFrame, keys: Sequence[str], t: Column, fi
     return out.withColumn("has_appeared", F.col("last_appeared").isNotNull()).withColumn("has_disappeared", F.col("last_disappeared").isNotNull())
 
 
-def clip_to_next(df: DataFrame, keys: Sequence[str], first: str = "first", last: str = "last") -> DataFrame:
-    """Each segment ends where the next one of its key begins at the latest, and none outlives the newest one's end."""
-    order = Window.partitionBy(*keys).orderBy(first, last)
+def clip_to_next(df: DataFrame, keys: Sequence[str], first: str = "first", last: str = "last", *, ties: Sequence[str] = ()) -> DataFrame:
+    """Each segment ends where the next one of its key begins at the latest, and none outlives the newest one's end. Segments
+    of equal ends go by the columns in ties."""
+    order = Window.partitionBy(*keys).orderBy(first, last, *ties)
     newest = F.last(F.coalesce(F.col(last), F.lit(OPEN_LAST))).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     bound = F.least(F.coalesce(F.col(last), F.lit(OPEN_LAST)), F.coalesce(F.lead(first).over(order), F.lit(OPEN_LAST)), newest)
     return df.withColumn("clipped", F.when(bound < OPEN_LAST, bound))

@@ -33,7 +33,7 @@ def appeared_disappeared_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def presence_clip_next_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presence.clip_to_next(stays(spark, sf_dir).select("entity", "order_id", "first", "last"), ["entity"]).select("entity", "order_id", "first", "last", "clipped")
+    return presence.clip_to_next(stays(spark, sf_dir).select("entity", "order_id", "first", "last"), ["entity"], ties=["order_id"]).select("entity", "order_id", "first", "last", "clipped")
 
 
 def evidence_bins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,10 @@ def test_a_path_has_no_place_at_its_end(spark):
     assert reduce(add, [0.7] * 10) > 7
     got = trajectory.resampled(spark.createDataFrame(rows, "entity long, t long, x double"), "entity", "t", ["x"], 1.0)
     assert {r["entity"]: r["n"] for r in got.groupBy("entity").agg(F.max("place").alias("n")).collect()} == {0: 6, 1: 0}
+
+
+def test_equal_segments_go_by_their_ids(spark):
+    rows = [(1, k, 10, 90) for k in (8, 3, 5)] + [(1, 9, 40, 70)]
+    for order in (rows, rows[::-1]):
+        got = presence.clip_to_next(spark.createDataFrame(order, "entity long, order_id long, first long, last long").coalesce(1), ["entity"], ties=["order_id"])
+        assert {r["order_id"]: r["clipped"] for r in got.collect()} == {3: 10, 5: 10, 8: 40, 9: 70}
