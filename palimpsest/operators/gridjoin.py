@@ -74,7 +74,11 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, r
 
 def within(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, right_id: str, coords: Sequence[str] = XYZ, anti: bool = False) -> DataFrame:
     """The rows of left that have (anti: don't have) a row of right within the radius."""
-    ids = pairs(left, right, radius, left_id=left_id, right_id=right_id, coords=coords).select(left_id).distinct()
+    a = left.select(left_id, *coords).withColumn("cell", cell(coords, radius))
+    b = spread(right.select(*[F.col(c).alias(f"_{c}") for c in coords]), [f"_{c}" for c in coords], radius)
+    d2 = squared_distance([F.col(c) for c in coords], [F.col(f"_{c}") for c in coords])
+    # a row's search ends at the first one that is near
+    ids = a.join(b, (a["cell"] == b["cell"]) & (d2 <= radius * radius), "left_semi").select(left_id)
     return left.join(ids, left_id, "left_anti" if anti else "left_semi")
 
 
