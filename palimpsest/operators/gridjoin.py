@@ -5,7 +5,9 @@ the cell size meet. Distances are compared as squares; limits are closed."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,17 +17,21 @@ from ..functions.geometry import pack_voxel, squared_distance, voxel
 XYZ = ("x", "y", "z")
 
 
-def _around() -> Column:
-    return F.explode(F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip((i, j, k), ("i", "j", "k"), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
+def _around(n: int = 3) -> Column:
+    return F.explode(F.array(*[F.struct(*[F.lit(d).alias(a) for d, a in zip(step, "ijk", strict=False)]) for step in product((-1, 0, 1), repeat=n)]))
+
+
+def _packed(axes: Sequence[Column]) -> Column:
+    return pack_voxel(*axes, *[F.lit(0).cast("long")] * (3 - len(axes)))
 
 
 def cell(coords: Sequence[str], size: float) -> Column:
-    return pack_voxel(*[voxel(F.col(c), size) for c in coords])
+    return _packed([voxel(F.col(c), size) for c in coords])
 
 
 def spread(df: DataFrame, coords: Sequence[str], size: float) -> DataFrame:
-    """df once for each of the 27 cells around its points, in column cell."""
-    return df.withColumn("_d", _around()).withColumn("cell", pack_voxel(*[voxel(F.col(c), size) + F.col(f"_d.{d}") for c, d in zip(coords, "ijk", strict=True)])).drop("_d")
+    """df once for each of the 27 cells around its points (of two coordinates 9, of one 3), in column cell."""
+    return df.withColumn("_d", _around(len(coords))).withColumn("cell", _packed([voxel(F.col(c), size) + F.col(f"_d.{d}") for c, d in zip(coords, "ijk", strict=False)])).drop("_d")
 
 
 def pairs(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, right_id: str, coords: Sequence[str] = XYZ, equal: Sequence[str] = (), differ: str | None = None) -> DataFrame:
@@ -41,8 +47,21 @@ def pairs(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, rig
     return met.withColumn("d2", d2).where(F.col("d2") <= radius * radius).select(left_id, *equal, f"right_{right_id}", *more, *[f"_{c}" for c in more], "d2")
 
 
-#: Right-hand points of one cell beyond which nearest ones are looked for in finer cells first.
-DENSE = 256
+#: Right-hand points of one cell beyond which nearest ones are looked for in finer cells first; points of one list.
+DENSE, LISTED = 256, 8192
+
+
+def _nearest_of_lists(own: DataFrame, places: DataFrame, radius: float, lists: int, *, left_id: str, right_id: str, coords: Sequence[str], equal: Sequence[str]) -> DataFrame:
+    """left_id, best (d2, id) of the rows of own with a place within the radius. The places around a cell are lists there, so that a row
+    looks through them and makes no pairs; cells without rows have none."""
+    keys = ["cell", *equal]
+    a = own.withColumn("cell", cell(coords, radius))
+    b = spread(places.select(F.col(right_id).alias("id"), *equal, *coords), coords, radius).join(a.select(*keys).distinct(), keys, "left_semi")
+    listed = b.groupBy(*keys, F.pmod(F.xxhash64("id"), F.lit(lists)).alias("_list")).agg(F.collect_list(F.struct("id", *coords)).alias("_near"))
+    d2 = lambda p: squared_distance([F.col(c) for c in coords], [p[c] for c in coords])
+    best = F.array_min(F.filter(F.transform("_near", lambda p: F.struct(d2(p).alias("d2"), p["id"].alias("id"))), lambda p: p["d2"] <= radius * radius))
+    met = a.join(listed, keys).select(left_id, best.alias("best")).where("best is not null")
+    return met.groupBy(left_id).agg(F.min("best").alias("best"))
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, right_id: str, coords: Sequence[str] = XYZ, equal: Sequence[str] = (), dense: int = DENSE) -> DataFrame:
@@ -53,15 +72,15 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, *, left_id: str, r
     to = f"right_{right_id}"
     places = right.groupBy(*equal, *coords).agg(F.min(right_id).alias(right_id))
     most = places.groupBy(*equal, cell(coords, radius)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    radii = [radius]
+    radii, crowds = [radius], [most]
     while most > dense and len(radii) < 7:
-        radii.insert(0, radii[0] / 2)
         most /= 4  # surfaces, not volumes, are crowded
+        radii.insert(0, radii[0] / 2)
+        crowds.insert(0, most)
     own = left.select(left_id, *equal, *coords).where(" and ".join(f"`{c}` is not null" for c in coords))
     out = None
-    for r in radii:
-        near = pairs(own, places, r, left_id=left_id, right_id=right_id, coords=coords, equal=equal)
-        best = near.groupBy(left_id).agg(F.min(F.struct("d2", F.col(to).alias("id"))).alias("best"))
+    for r, crowd in zip(radii, crowds, strict=True):
+        best = _nearest_of_lists(own, places, r, max(1, math.ceil(crowd * 3 ** len(coords) / LISTED)), left_id=left_id, right_id=right_id, coords=coords, equal=equal)
         found = best.select(left_id, F.col("best.id").alias(to), F.sqrt("best.d2").alias("distance"))
         if len(radii) > 1:
             from ..plans.scratch import saved

@@ -228,9 +228,9 @@ def low_support_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trajectory_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At each hour, each low value's nearest high one within reach."""
-    o = observations(spark, sf_dir).withColumn("h", F.expr(f"t div {HOUR}L")).withColumns({"x": F.col("value") / 100, "y": F.lit(0.0), "z": F.lit(0.0)})
-    a, b = o.where("entity % 2 = 0").select(F.col("event_id").alias("vid"), "h", *XYZ), o.where("entity % 2 = 1").select(F.col("event_id").alias("vid"), "h", *XYZ)
-    got = association.by_centroid(a, b, 0.1, left_id="vid", right_id="vid", equal=["h"])
+    o = observations(spark, sf_dir).withColumn("h", F.expr(f"t div {HOUR}L")).withColumn("x", F.col("value") / 100)
+    a, b = o.where("entity % 2 = 0").select(F.col("event_id").alias("vid"), "h", "x"), o.where("entity % 2 = 1").select(F.col("event_id").alias("vid"), "h", "x")
+    got = association.by_centroid(a, b, 0.1, left_id="vid", right_id="vid", equal=["h"], coords=["x"])
     return got.select("vid", "right_vid", F.round("distance", 6).alias("distance"))
 
 

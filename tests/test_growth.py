@@ -39,3 +39,22 @@ def test_within_ends_a_search_at_the_first_neighbour(spark):
         got = gridjoin.within(p, p.where("vid < 50"), 0.1, left_id="vid", right_id="vid", anti=anti)
         assert {r["vid"] for r in got.collect()} == want
         assert "Join Inner" not in _plan(got)
+
+
+def test_the_nearest_is_found_in_lists_and_on_one_axis(spark):
+    r = random.Random(8)
+    at = [(k, k % 3, round(r.random() * 4, 2)) for k in range(400)]
+    p = spark.createDataFrame(at, "vid long, h long, x double")
+    a, b = p.where("vid % 2 = 0"), p.where("vid % 2 = 1")
+    want = {}
+    for v, h, x in at[::2]:
+        near = [(abs(x - y), w) for w, g, y in at[1::2] if g == h and (x - y) * (x - y) <= 0.05 * 0.05]
+        if near:
+            want[v] = min(near)[1]
+    for listed, dense in ((8192, 256), (2, 256), (8192, 2)):  # lists that are cut, and finer cells first
+        whole, gridjoin.LISTED = gridjoin.LISTED, listed
+        try:
+            got = gridjoin.nearest(a, b, 0.05, left_id="vid", right_id="vid", coords=["x"], equal=["h"], dense=dense)
+            assert {x["vid"]: x["right_vid"] for x in got.collect()} == want
+        finally:
+            gridjoin.LISTED = whole
