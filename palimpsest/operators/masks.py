@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import plane_key
-from .gridjoin import XYZ, pairs
+from ..functions.geometry import plane_key, squared_distance
+from .gridjoin import LISTED, XYZ, cell, spread
 
 
 def finite(c: Column) -> Column:
@@ -71,13 +71,22 @@ def transfer(source: DataFrame, target: DataFrame, *, pixel: Sequence[str], dept
 def nearest_poses(sparse: DataFrame, dense: DataFrame, reach: float, *, sparse_id: str, dense_id: str, forward: Sequence[str], run: str, turn: float = 0.25, coords: Sequence[str] = XYZ) -> DataFrame:
     """run, sparse_id, dense_id, score, monotone: the run's dense pose of least distance plus turn times the angle between the
     views, of those within reach; monotone: later than that of the run's sparse pose before."""
-    near = pairs(sparse, dense, reach, left_id=sparse_id, right_id=dense_id, coords=coords, equal=[run])
-    a = sparse.select(sparse_id, *[F.col(c).alias(f"a_{c}") for c in forward])
-    b = dense.select(F.col(dense_id).alias(f"right_{dense_id}"), *[F.col(c).alias(f"b_{c}") for c in forward])
-    dot = sum((F.col(f"a_{c}") * F.col(f"b_{c}") for c in forward), F.lit(0.0))
-    score = F.sqrt("d2") + turn * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
-    met = near.join(a, sparse_id).join(b, f"right_{dense_id}")
-    best = met.groupBy(run, sparse_id).agg(F.min(F.struct(score.alias("s"), F.col(f"right_{dense_id}").alias("d"))).alias("_b"))
+    keys = ["cell", run]
+    a = sparse.select(sparse_id, run, *coords, *forward).withColumn("cell", cell(coords, reach))
+    at = dense.select(F.col(dense_id).alias("d"), run, *coords, *forward)
+    crowd = at.groupBy(run, cell(coords, reach)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    lists = max(1, -(-crowd * 3 ** len(coords) // LISTED))
+    # the dense poses around a cell are lists there: a sparse one looks through them, pairs are not shuffled
+    listed = spread(at, coords, reach).groupBy(*keys, F.pmod(F.xxhash64("d"), F.lit(lists)).alias("_list")).agg(F.collect_list(F.struct("d", *coords, *forward)).alias("_near"))
+
+    def scored(p: Column) -> Column:
+        d2 = squared_distance([F.col(c) for c in coords], [p[c] for c in coords])
+        dot = sum((F.col(c) * p[c] for c in forward), F.lit(0.0))
+        score = F.sqrt(d2) + turn * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
+        return F.when(d2 <= reach * reach, F.struct(score.alias("s"), p["d"].alias("d")))
+
+    first = F.array_min(F.transform("_near", scored))  # null entries do not count
+    best = a.join(listed, keys).select(run, sparse_id, first.alias("_b")).where("_b is not null").groupBy(run, sparse_id).agg(F.min("_b").alias("_b"))
     out = best.select(run, sparse_id, F.col("_b.d").alias(f"right_{dense_id}"), F.col("_b.s").alias("score"))
     before = F.lag(f"right_{dense_id}").over(Window.partitionBy(run).orderBy(sparse_id))
     return out.withColumn("monotone", F.coalesce(F.col(f"right_{dense_id}") > before, F.lit(True)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 
-from palimpsest.operators import gridjoin, rays
+from palimpsest.operators import gridjoin, masks, rays
 
 
 def _plan(df) -> str:
@@ -58,3 +58,17 @@ def test_the_nearest_is_found_in_lists_and_on_one_axis(spark):
             assert {x["vid"]: x["right_vid"] for x in got.collect()} == want
         finally:
             gridjoin.LISTED = whole
+
+
+def test_poses_are_matched_without_shuffled_pairs(spark):
+    r = random.Random(3)
+    at = [(k, k % 2, *[r.random() for _ in "xyz"], 1.0 - k % 3, float(k % 3), 0.0) for k in range(60)]
+    p = spark.createDataFrame(at, "vid long, run long, x double, y double, z double, fx double, fy double, fz double")
+    got = masks.nearest_poses(p.where("vid % 4 < 2"), p.where("vid % 4 > 1"), 0.5, sparse_id="vid", dense_id="vid", forward=["fx", "fy", "fz"], run="run")
+    want = {}
+    for a in (a for a in at if a[0] % 4 < 2):
+        near = [(math.dist(a[2:5], b[2:5]) + 0.25 * math.acos(max(-1, min(1, sum(x * y for x, y in zip(a[5:], b[5:], strict=True))))), b[0]) for b in at if b[0] % 4 > 1 and b[1] == a[1] and math.dist(a[2:5], b[2:5]) <= 0.5]
+        if near:
+            want[a[0]] = min(near)[1]
+    assert {x["vid"]: x["right_vid"] for x in got.collect()} == want
+    assert _plan(got).count("Join ") == 1
