@@ -115,21 +115,27 @@ def rounds_of_pairs(candidates: DataFrame, left: str, right: str, left_order: Se
 
     Groups of at most SMALL candidates are settled in tasks, each of which has about so many rows of whole groups. Larger ones go in
     rounds, of which each takes all pairs that are first on both sides at once."""
-    from ..plans.scratch import saved
+    from ..plans.scratch import dealt_by_rows, saved
 
     ends = [*group, left, right]
-    at = [Window.partitionBy(*group, c).orderBy(*o) for c, o in ((left, left_order), (right, right_order))]
-    ranks = {"_l": F.row_number().over(at[0]), "_r": F.row_number().over(at[1])}
+
+    def ranks(*more: str) -> dict[str, Column]:
+        at = [Window.partitionBy(*more, *group, c).orderBy(*o) for c, o in ((left, left_order), (right, right_order))]
+        return {"_l": F.row_number().over(at[0]), "_r": F.row_number().over(at[1])}
+
     rows = saved(candidates.select(*ends, *keep).dropna(subset=ends), "pairs")
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
-    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    total = rows.count()
     if not total:
         return rows
+    # only where many rows lie can a large group be: counts of all groups would grow with these
+    dealt = (lambda most: F.pmod(F.xxhash64(*group), F.lit(-(-total // max(most, 1))))) if group else (lambda _: F.lit(0))
+    crowded = saved(rows.groupBy(dealt(SMALL // 10).alias("_bin")).agg(F.count("*").alias("_n")).where(F.col("_n") > SMALL).select("_bin"), "bins")
     open_, small = None, rows
-    if largest > SMALL:
+    if not crowded.isEmpty():
         open_, small = rows, None
         if group:
-            big = saved(sizes.where(F.col("_n") > SMALL).select(*group), "groups")  # at most a row for each SMALL candidates
+            near = rows.withColumn("_bin", dealt(SMALL // 10)).join(crowded, "_bin", "left_semi")
+            big = saved(near.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > SMALL).select(*group), "groups")  # at most a row for each SMALL candidates
             open_, small = saved(rows.join(big, list(group), "left_semi"), "pairs"), rows.join(big, list(group), "left_anti")
     taken = None
     if small is not None:
@@ -139,10 +145,10 @@ def rounds_of_pairs(candidates: DataFrame, left: str, right: str, left_order: Se
             l, r = (part.groupby(k, sort=False).ngroup().to_numpy() for k in keys)  # noqa: E741
             return part.iloc[_settled(l, r, part["_l"].to_numpy(), part["_r"].to_numpy())][columns]
 
-        dealt = F.pmod(F.xxhash64(*group), F.lit(-(-total // max(SMALL, 1)))) if group else F.lit(0)
-        taken = small.withColumns(ranks).groupBy(dealt.alias("_part")).applyInPandas(settle, small.schema)
+        parted = dealt_by_rows(small.withColumn("_part", dealt(SMALL)), total, "_part")  # once: ranks and parts are taken where rows lie
+        taken = parted.withColumns(ranks("_part")).groupBy("_part").applyInPandas(settle, small.schema)
     while open_ is not None and not open_.isEmpty():
-        won = saved(open_.withColumns(ranks).where("_l = 1 and _r = 1").drop("_l", "_r"), "won")
+        won = saved(open_.withColumns(ranks()).where("_l = 1 and _r = 1").drop("_l", "_r"), "won")
         if won.isEmpty():
             raise ValueError("the orders contradict each other: no pair is first on both sides")
         taken = won if taken is None else taken.unionByName(won)

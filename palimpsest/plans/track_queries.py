@@ -9,6 +9,7 @@ from ..functions import belief
 from ..operators import association, gridjoin, linkage, mesh, objects, rays, tracks, trajectory, voxels
 from .inputs import HOUR, OBSERVATIONS, STAYS, micros, observations, points, stays, table
 from .presence_queries import DAY
+from .scratch import dealt_by_rows
 from .space_queries import _AB, _D2, _RAYS, _SEEN, XYZ, _cell, _rays
 
 GAIN = 40.0
@@ -97,7 +98,8 @@ def merge_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In a frame (an order), each line is a cluster and a motion cluster; they overlap by their quantities."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("long").alias("cluster"), "l_quantity")
+    lines = table(spark, sf_dir, "lineitem")
+    li = dealt_by_rows(lines.select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("long").alias("cluster"), "l_quantity"), lines.count(), "frame")
     other = li.select("frame", F.col("cluster").alias("motion"), F.col("l_quantity").alias("q"))
     return li.join(other, "frame").where("cluster <> motion").groupBy("frame", "cluster", "motion").agg(F.max(F.round(1 - F.abs(F.col("l_quantity") - F.col("q")) / 50, 6)).alias("score"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import random
 
-from palimpsest.operators import gridjoin, masks, rays
+from palimpsest.operators import association, gridjoin, masks, rays
+from palimpsest.plans import scratch, track_queries
 
 
 def _plan(df) -> str:
@@ -72,3 +73,27 @@ def test_poses_are_matched_without_shuffled_pairs(spark):
             want[a[0]] = min(near)[1]
     assert {x["vid"]: x["right_vid"] for x in got.collect()} == want
     assert _plan(got).count("Join ") == 1
+
+
+def test_matchings_deal_rows_by_number_and_once(spark, monkeypatch, tmp_path):
+    r = random.Random(21)
+    rows = [(f, n, float(r.randint(1, 50))) for f in range(60) for n in range(1, 6)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(scratch.dealt_by_rows, "__kwdefaults__", {"most": 50})
+    pairs = track_queries._overlaps(spark, str(tmp_path))
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 2  # lines and lines, not their pairs
+    assert pairs.rdd.getNumPartitions() == 6
+    want = {}
+    for f in range(60):
+        q = {n: x for g, n, x in rows if g == f}
+        free = set(q)
+        for a in sorted(q):
+            near = [(-round(1 - abs(q[a] - q[b]) / 50, 6), b) for b in free if b != a and round(1 - abs(q[a] - q[b]) / 50, 6) > 0.5]
+            if near:
+                want[f, a] = min(near)[1]
+                free.remove(min(near)[1])
+    monkeypatch.setattr(association, "SMALL", 100)
+    got = track_queries.track_assign_greedy(spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1  # both ranks and the parts
+    assert {(x.frame, x.cluster): x.motion for x in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
