@@ -97,3 +97,33 @@ def test_matchings_deal_rows_by_number_and_once(spark, monkeypatch, tmp_path):
     assert got._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1  # both ranks and the parts
     assert {(x.frame, x.cluster): x.motion for x in got.collect()} == want
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+
+
+def test_a_large_part_is_matched_whole(spark):
+    r = random.Random(31)
+    steps = [round(r.uniform(0.1, 1.0), 4) for _ in range(2400)]  # a path over 1,200 left and 1,201 right ends
+    rows = [(1, (k + 1) // 2 if k % 2 == 0 else k // 2, (k + 1) // 2, c) for k, c in enumerate(steps)]
+    assert len({(a, b) for _, a, b, _ in rows}) == 2400
+    without, with_ = 0.0, 0.0  # the most that is saved on the path so far, the last step not taken or taken
+    for c in steps:
+        without, with_ = max(without, with_), without + 0.8 - c
+    got = association.optimal(spark.createDataFrame(rows, "g long, a long, b long, c double"), "g", "a", "b", "c", missing=0.8).collect()
+    assert len({x.a for x in got}) == len({x.b for x in got}) == len(got)
+    assert math.isclose(sum(0.8 - x.c for x in got), max(without, with_), abs_tol=1e-9)
+
+
+def test_a_matching_of_the_cheapest_rows_is_widened_until_it_is_the_cheapest(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(association, "FIRST_ROWS", 1)
+    r = np.random.default_rng(32)
+    table = np.round(r.random((2, 25, 20)) + 2.0 * r.random((2, 25, 1)), 3)
+    rows = [(g, a, b, float(table[g, a, b])) for g in range(2) for a in range(25) for b in range(20)]
+    got = association.optimal(spark.createDataFrame(rows, "g long, a long, b long, c double"), "g", "a", "b", "c", missing=1.5).collect()
+    for g in range(2):
+        square = np.full((45, 45), 0.75)
+        square[:25, :20], square[25:, 20:] = table[g], 0.0
+        want = sum(table[g, i, j] - 1.5 for i, j in association.hungarian(square) if i < 25 and j < 20)
+        own = [x for x in got if x.g == g]
+        assert len({x.a for x in own}) == len({x.b for x in own}) == len(own)
+        assert math.isclose(sum(x.c - 1.5 for x in own), want, abs_tol=1e-9)
