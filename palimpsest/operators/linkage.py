@@ -17,25 +17,25 @@ def complete(points: DataFrame, radius: float, *, vid: str = "vid", label: str =
     Points of one place are one from the start. In rounds, all clusters that are nearest to each other are joined at once,
     which leads to the same clusters as one pair after the other; pairs beyond the radius are never made. A joined cluster
     is as far as the farther of its two parts, and apart if either was. Equal distances go by the smaller ids. A point with a null
-    coordinate or label has no cluster."""
-    from ..plans.scratch import saved
+    coordinate or label has no cluster. Each round deals its pairs by their number, so that tasks hold as many however many there are."""
+    from ..plans.scratch import dealt_by_rows, saved
 
     whole = points.select(vid, label, *coords).dropna()
     places = saved(whole.groupBy(label, *coords).agg(F.min(vid).alias("_p")), "places")
     open_ = saved(pairs(places, places, radius, left_id="_p", right_id="_p", coords=coords, equal=[label]).where("_p < right__p").select(F.col("_p").alias("u"), F.col("right__p").alias("v"), F.sqrt("d2").alias("d")), "pairs")
     joined = saved(places.select("_p", F.col("_p").alias("cluster")), "joined")
     rank = F.struct("d", "u", "v")
-    while not open_.isEmpty():
-        ends = open_.select(F.explode(F.array("u", "v")).alias("e"), rank.alias("r")).groupBy("e").agg(F.min("r").alias("best"))
+    while left := open_.count():
+        ends = dealt_by_rows(open_.select(F.explode(F.array("u", "v")).alias("e"), rank.alias("r")), 2 * left, "e").groupBy("e").agg(F.min("r").alias("best"))
         chosen = ends.groupBy("best").agg(F.count("*").alias("n")).where("n = 2")  # the best pair of both its ends
         moves = saved(chosen.select(F.col("best.v").alias("_from"), F.col("best.u").alias("_to")), "moves")
         parts = moves.select(F.col("_to").alias("_of"))
         now = open_
         for e in ("u", "v"):
-            now = now.join(moves, F.col(e) == F.col("_from"), "left").withColumn(e, F.coalesce("_to", e)).drop("_from", "_to")
+            now = dealt_by_rows(now, left, e).join(moves, F.col(e) == F.col("_from"), "left").withColumn(e, F.coalesce("_to", e)).drop("_from", "_to")
             now = now.join(parts, F.col(e) == F.col("_of"), "left").withColumn(f"_n{e}", F.when(F.col("_of").isNotNull(), 2).otherwise(1)).drop("_of")
         ordered = now.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "d", (F.col("_nu") * F.col("_nv")).alias("_all"))
-        met = ordered.groupBy("u", "v").agg(F.max("d").alias("d"), F.count("*").alias("_n"), F.max("_all").alias("_all"))
+        met = dealt_by_rows(ordered, left, "u", "v").groupBy("u", "v").agg(F.max("d").alias("d"), F.count("*").alias("_n"), F.max("_all").alias("_all"))
         open_ = saved(met.where("_n = _all").select("u", "v", "d"), "pairs")
         joined = saved(joined.join(moves, F.col("cluster") == F.col("_from"), "left").select("_p", F.coalesce("_to", "cluster").alias("cluster")), "joined")
     named = places.join(joined, "_p").select(label, *coords, "cluster")

@@ -35,6 +35,22 @@ def test_complete_equals_one_after_the_other(spark, rows):
     assert got == {r[0]: min(m[0] for m in g) for g in one_after_the_other(rows, 0.5) for r in g}
 
 
+def test_rounds_deal_pairs_by_their_number(spark, rows, monkeypatch):
+    from palimpsest.plans import scratch
+
+    dealt, whole = [], scratch.dealt_by_rows
+
+    def few(df, n, *keys):
+        out = whole(df, n, *keys, most=40)
+        dealt.append((df.count() <= n, keys, out.rdd.getNumPartitions() == max(1, -(-n // 40))))
+        return out
+
+    monkeypatch.setattr(scratch, "dealt_by_rows", few)
+    got = {r.vid: r.cluster for r in linkage.complete(spark.createDataFrame(rows, SCHEMA), 0.5).collect()}
+    assert got == {r[0]: min(m[0] for m in g) for g in one_after_the_other(rows, 0.5) for r in g}
+    assert {k for _, k, _ in dealt} == {("e",), ("u",), ("v",), ("u", "v")} and all(a and b for a, _, b in dealt)
+
+
 def test_centres_and_identities(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     want = []
