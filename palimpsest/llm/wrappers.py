@@ -3,17 +3,19 @@
 A page's tokens are balanced into elements (inline markup is transparent). Its expression is the sequence of its
 elements' tags with class names, in which tandem repeats become repeated groups. Two expressions of one host are aligned in
 order: equal tags match and are merged inside, an element that only one side has becomes optional, one that either side
-repeats becomes repeated. A text is a constant or a slot: each text node keeps which of its distinct pages have which text.
-Pages are distinct by their own main text, so copies of an article count once; of a node's distinct pages, those with the SAMPLE
-smallest keys are compared, a sample that all tasks agree on without meeting. Pages are folded into their host's
-expression inside each task, then the tasks' expressions are folded in two steps, so that a host with a third of all pages
-never meets in one task page by page.
+repeats becomes repeated. Pages are folded into their host's expression inside each task, then the tasks' expressions are
+folded in two steps, so that a host with a third of all pages never meets in one task page by page.
+
+A text is a constant or a slot. In how many pages of a host a place (the path of tags) has a text, any text, or an element is counted over all
+pages, by grouping. Pages are distinct by their own main text, so copies of an article count once: the one with the least
+list of places counts. (An expression that is folded by itself, without these counts, keeps the SAMPLE smallest keys of its pages.)
 
 A host's expression decides, once LEAST distinct pages are known:
 
 * The main region is the article or main element with most of the slot text, else the innermost container that holds nine
   tenths of it. Constants and the text of links are no slot text.
-* A text that nine tenths of the distinct pages have at the same place is template and goes, inside the region too. An
+* A text that nine tenths of the distinct pages have at the same place (outside article and main, of those with a text there) is
+  template and goes, inside the region too. A place is constant if of the texts that its pages have, nine tenths are template. An
   article's own headings stay, and so does everything if more than half of a page's region would go, as in near copies.
 * Outside article and main, an element that is mostly links over the host's pages, and on the page, is a menu and goes.
 * An element with half of the host's slot text stays, whatever its class names say.
@@ -353,6 +355,48 @@ class Rule:
         return json.dumps([self.path, self.named, sorted(self.drop), sorted(self.menus), sorted(self.keep)])
 
 
+class Facts:
+    """Exact counts of a host's distinct pages: their number, template texts (hashes of place and text), constant places, and
+    elements' places in at least LEAST pages."""
+
+    def __init__(self, pages: int, common: list[int], constant: list[int], often: list[int]) -> None:
+        self.pages, self.common, self.constant, self.often = pages, [f"{x + (1 << 63):016x}" for x in common], frozenset(constant), frozenset(often)
+
+
+def _place(path: str, inside: bool) -> int:
+    """A place as a long, which is odd within article or main."""
+    return (xxhash.xxh64_intdigest(path.encode("utf-8", "replace")) >> 1) & ~1 | inside
+
+
+#: What a place has: an element, any text, a text, a text of a heading in article or main.
+ELEMENT, TEXT, OWN_TEXT, HEADING = range(4)
+
+
+def places_of(own: list) -> list[tuple[int, int, int]]:
+    """What a page has at which place, each once: (place, hash of the place with a text or 0, kind)."""
+    found: set[tuple[int, int, int]] = set()
+    stack = [(own, "", False)]
+    while stack:
+        node, at, inside = stack.pop()
+        at, inside = _step(at, node[SIG]), inside or name_of(node[SIG]) in MAIN
+        kind = HEADING if inside and name_of(node[SIG]) in HEADINGS else OWN_TEXT
+        for k in node[KIDS]:
+            if k[SIG] == "#":
+                here = _place(at, inside)
+                found.add((here, 0, TEXT))
+                found.update((here, int(_template(at, t), 16) - (1 << 63), kind) for t in k[TEXTS])
+            else:
+                if not k[SIG].startswith("("):
+                    found.add((_place(_step(at, k[SIG]), inside), 0, ELEMENT))
+                stack.append((k, at, inside))
+    return sorted(found)
+
+
+def bare(node: list) -> list:
+    """The expression without keys and texts, which are counted apart."""
+    return [node[SIG], [bare(k) for k in node[KIDS]], *node[MANY:SEEN], [], *node[CHARS:TEXTS], {}]
+
+
 def _step(path: str, sig: str) -> str:
     return path if sig.startswith("(") else f"{path}>{sig}"
 
@@ -361,22 +405,27 @@ def _template(path: str, text_hash: str) -> str:
     return _hash(f"{path} {text_hash}")
 
 
-def rule_of(wrapper: list, names: bool = True) -> Rule:
+def rule_of(wrapper: list, names: bool = True, facts: Facts | None = None) -> Rule:
+    """facts: counts over all pages, with which the expression's own keys are not regarded."""
     pages = set(wrapper[SEEN])
-    enough = len(pages) >= LEAST
+    enough = (facts.pages if facts else len(pages)) >= LEAST
     holds, weight, chars, linked = {}, {}, {}, {}
 
     def common(keys: list[str], of: set) -> bool:
         return len(of.intersection(keys)) >= max(LEAST, SHARE * len(of))
 
-    def measure(node: list, inside: bool, keep: frozenset | set) -> None:
+    def measure(node: list, inside: bool, keep: frozenset | set, path: str = "") -> None:
+        at_parent, path = path, _step(path, node[SIG])
         inside = inside or name_of(node[SIG]) in MAIN
         for k in node[KIDS]:
-            measure(k, inside, keep)
+            measure(k, inside, keep, path)
         at = id(node)
         holds[at] = any(name_of(k[SIG]) in MAIN or holds[id(k)] for k in node[KIDS])
         if node[SIG] == "#":
-            template = enough and node[TEXTS] and all(common(t, set(node[SEEN])) for t in node[TEXTS].values())
+            if facts:
+                template = enough and _place(at_parent, inside) in facts.constant
+            else:
+                template = enough and node[TEXTS] and all(common(t, set(node[SEEN])) for t in node[TEXTS].values())
             weight[at], chars[at], linked[at] = (0 if template else node[CHARS] - node[LINKS]), node[CHARS], node[LINKS]
         else:
             weight[at], chars[at], linked[at] = (sum(d[id(k)] for k in node[KIDS]) for d in (weight, chars, linked))
@@ -405,14 +454,16 @@ def rule_of(wrapper: list, names: bool = True) -> Rule:
             for k in node[KIDS]:
                 if k[SIG] == "#":
                     of = pages if inside else set(k[SEEN])
-                    if not (inside and name_of(node[SIG]) in HEADINGS):
+                    if not facts and not (inside and name_of(node[SIG]) in HEADINGS):
                         drop.extend(_template(at, t) for t, keys in k[TEXTS].items() if common(keys, of))
                 else:
-                    if not inside and chars[id(k)] and linked[id(k)] >= LINKED * chars[id(k)] and len(k[SEEN]) >= LEAST and name_of(k[SIG]) not in MAIN:
+                    often = _place(_step(at, k[SIG]), inside) in facts.often if facts else len(k[SEEN]) >= LEAST
+                    if not inside and chars[id(k)] and linked[id(k)] >= LINKED * chars[id(k)] and often and name_of(k[SIG]) not in MAIN:
                         menus.append(_step(at, k[SIG]))
                     collect(k, at, inside)
 
         collect(wrapper, "", False)
+        drop += facts.common if facts else []
     return Rule(path, named, drop, menus, sorted(keep))
 
 
@@ -523,32 +574,71 @@ def _folded(rows: pd.DataFrame) -> list:
 def infer(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """host, rule (JSON) for pages with a column host, learned from all pages."""
 
+    names = ["host", "wrapper", "page", "places", "texts", "kinds"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+    def batch(*columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=names)
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"host": pa.array(list(held), pa.string()), "wrapper": pa.array([json.dumps(w) for w in held.values()], pa.string())})
+            none = [None] * len(held)
+            out = batch(list(held), [json.dumps(w) for w in held.values()], none, none, none, none)
             held.clear()
             return out
 
         for b in batches:
+            out = []
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 root = parse(page or "")
                 own = keyed(root)
+                if own[SEEN]:  # a page without text is no distinct one
+                    out.append((host, None, int(own[SEEN][0], 16) - (1 << 63), *map(list, zip(*places_of(own), strict=True))))
+                own = bare(own)
                 held[host] = merge(held[host], own) if host in held else own
                 if len(held) >= MOST_HOSTS:
                     yield flush()
+            if out:
+                yield batch(*zip(*out, strict=True))
         yield flush()
 
-    def part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def fold_part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(_folded(rows))]})
 
-    def last(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "rule": [rule_of(_folded(rows)).written()]})
-
-    first = pages.select("host", html_col).mapInArrow(learn, "host string, wrapper string")
-    some = first.groupBy("host", F.pmod(F.spark_partition_id(), F.lit(64)).alias("share")).applyInPandas(part, "host string, wrapper string")
-    return some.groupBy("host").applyInPandas(last, "host string, rule string")
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rules = [rule_of(json.loads(w), facts=Facts(n or 0, *(x or [] for x in lists))).written() for w, n, *lists in zip(*[c.to_pylist() for c in b.columns[1:]], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rules, pa.string())], names=["host", "rule"])
+
+    read = saved(pages.select("host", html_col).mapInArrow(learn, "host string, wrapper string, page long, places array<long>, texts array<long>, kinds array<int>"), "folded")
+    parts = read.where("wrapper is not null").select("host", "wrapper")
+    some = parts.groupBy("host", F.pmod(F.spark_partition_id(), F.lit(64)).alias("share")).applyInPandas(fold_part, "host string, wrapper string")
+    folded = some.groupBy("host").applyInPandas(fold_part, "host string, wrapper string")
+    return folded.join(facts_of(read.where("page is not null")), "host", "left").select("host", "wrapper", "pages", "common", "constant", "often").mapInArrow(decide, "host string, rule string")
+
+
+def facts_of(read: DataFrame) -> DataFrame:
+    """host, pages, common, constant, often (Facts) of rows host, page (key), places, texts, kinds: exact counts of distinct pages."""
+    one = read.groupBy("host", "page").agg(F.min(F.struct("places", "texts", "kinds")).alias("p"))
+    one = one.select("host", "p.*")
+    pages = one.groupBy("host").agg(F.count("*").alias("pages"))
+    flat = one.select("host", F.explode(F.arrays_zip("places", "texts", "kinds")).alias("x")).select("host", F.col("x.places").alias("place"), F.col("x.texts").alias("text"), F.col("x.kinds").alias("kind"))
+    n = flat.groupBy("host", "place", "text", "kind").agg(F.count("*").alias("n"))
+    # texts of fewer pages than decide are one row of a place
+    rare = (F.col("kind") >= OWN_TEXT) & (F.col("n") < LEAST)
+    n = n.select("host", "place", F.when(rare, 0).otherwise(F.col("text")).alias("text"), "kind", F.when(rare, 0).otherwise(F.col("n")).alias("most"), "n")
+    n = saved(n.groupBy("host", "place", "text", "kind").agg(F.max("most").alias("most"), F.sum("n").alias("n")), "counts")
+    any_ = n.where(F.col("kind") == TEXT).select("host", "place", F.col("n").alias("any"))
+    met = n.where(F.col("kind") >= OWN_TEXT).join(any_, ["host", "place"]).join(pages, "host")
+    common = lambda of: F.col("most") >= F.greatest(F.lit(float(LEAST)), F.lit(SHARE) * of)
+    inside = F.col("place") % 2 == 1
+    texts = met.where((F.col("kind") == OWN_TEXT) & common(F.when(inside, F.col("pages")).otherwise(F.col("any")))).groupBy("host").agg(F.collect_list("text").alias("common"))
+    shares = met.groupBy("host", "place").agg(F.sum(F.when(common(F.col("any")), F.col("n")).otherwise(0)).alias("_c"), F.sum("n").alias("_n"))
+    constant = shares.where(F.col("_c") >= F.lit(SHARE) * F.col("_n")).groupBy("host").agg(F.collect_list("place").alias("constant"))
+    often = n.where((F.col("kind") == ELEMENT) & (F.col("n") >= LEAST) & ~inside).groupBy("host").agg(F.collect_list("place").alias("often"))
+    return pages.join(texts, "host", "left").join(constant, "host", "left").join(often, "host", "left")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, max_broadcast: int = 8 << 20) -> DataFrame:

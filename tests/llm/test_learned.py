@@ -226,3 +226,24 @@ def test_everything_else_works_without_the_subpackage(tmp_path):
     used = [p for p in (root / "palimpsest").rglob("*.py") if "llm" not in p.parts and re.search(r"\bllm\b", p.read_text())]
     assert not used
     assert lsm_dedup and pseudonyms and pytest
+
+
+def test_template_texts_are_counted_over_all_pages(spark):
+    """A text on 95 of 100 pages is template and one on 85 is not, wherever the pages that lack them have their keys."""
+    head, rare = "Write to us about this.", "Read more of it below."
+
+    def made(k, with_head, with_rare):
+        return f"<html><body><article><h1>Title {k}</h1><p>Story {k} with words of its own and some more words to come.</p>{f'<div>{head}</div>' if with_head else ''}{f'<section>{rare}</section>' if with_rare else ''}</article></body></html>"
+
+    def by_key(*has):
+        return sorted(range(100), key=lambda k: wrappers.keyed(wrappers.parse(made(k, *has)))[wrappers.SEEN][0])
+
+    bare = set(by_key(False, True)[:5])  # of the smallest keys of all
+    less = set([k for k in by_key(True, False) if k not in bare][-15:])  # and of the largest
+    rows = [(k, "https://h.example.com/", made(k, k not in bare, k not in less)) for k in range(100)]
+    rows += [(100 + k, "https://h.example.com/", rows[0][2]) for k in range(50)]  # copies count once
+    got = {x.page_id: x.text for x in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    for k in range(100):
+        want = f"Title {k} Story {k} with words of its own and some more words to come." + ("" if k in less else f" {rare}")
+        assert got[k] == want
+    assert all(got[100 + k] == got[0] for k in range(50))
