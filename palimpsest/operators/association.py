@@ -111,6 +111,45 @@ def _settled(l: np.ndarray, r: np.ndarray, l_rank: np.ndarray, r_rank: np.ndarra
     return taken
 
 
+def nearest_in_order(ids: np.ndarray, at: np.ndarray, other: np.ndarray, places: np.ndarray, reach: float, *, strict: bool = False) -> list[tuple[int, int, float]]:
+    """Rows of both sides and their squared distance: by ascending id, each takes the nearest other one within reach (strict: below it) that
+    is free, the smaller one on a tie. Those that are near along the first axis are looked through; the taken ones go as they grow many."""
+    limit = reach * reach
+    kept = np.flatnonzero(np.isfinite(places).all(axis=1))
+    kept = kept[np.argsort(places[kept, 0], kind="stable")]
+    rank = np.unique(other, return_inverse=True)[1][kept]
+    line = np.argsort(ids, kind="stable")
+    line = line[np.isfinite(at[line]).all(axis=1)]
+    places, gone, taken, n = places[kept], np.zeros(len(kept)), [], 0
+    begin = 0
+    while begin < len(line) and len(kept):
+        near = [np.searchsorted(places[:, 0], at[line[begin:], 0] + side * reach * (1 + 1e-9), how) for side, how in ((-1, "left"), (1, "right"))]
+        first, k = begin, begin
+        while k < len(line) and 2 * n <= len(kept):
+            best, k0 = None, k
+            while k < len(line) and ids[line[k]] == ids[line[k0]]:  # an id may lie at several places
+                low, high = near[0][k - first], near[1][k - first]
+                if low < high:
+                    d2 = gone[low:high].copy()
+                    away = places[low:high] - at[line[k]]
+                    # summed as columns are, for the same last digit
+                    d2 += sum((away[:, c] * away[:, c] for c in range(1, away.shape[1])), away[:, 0] * away[:, 0])
+                    d = d2.min()
+                    if d < limit or (d == limit and not strict):
+                        j = min((low + np.flatnonzero(d2 == d)).tolist(), key=rank.__getitem__)
+                        best = min(best or (np.inf,), (d, rank[j], line[k], j))
+                k += 1
+            if best:
+                taken.append((int(best[2]), int(kept[best[3]]), float(best[0])))
+                same = np.flatnonzero(rank == best[1])
+                gone[same] = np.inf
+                n += len(same)
+        begin = k
+        free = gone == 0
+        kept, rank, places, gone, n = kept[free], rank[free], places[free], gone[free], 0
+    return taken
+
+
 def rounds_of_pairs(candidates: DataFrame, left: str, right: str, left_order: Sequence[Column], right_order: Sequence[Column], *, group: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """group, left, right, keep: a one-to-one matching in which a pair is taken if it is the first of its left end's open
     candidates by left_order and of its right end's by right_order, and its ends' other pairs go, until none is open. If

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .association import rounds_of_pairs
+from ..plans.scratch import PARTS, ROWS_OF_A_TASK, saved
+from .association import nearest_in_order, rounds_of_pairs
 from .gridjoin import XYZ, pairs
 
 
@@ -24,13 +28,42 @@ def motion_of(overlaps: DataFrame, frame: str, cluster: str, motion: str, score:
     return rounds_of_pairs(open_, cluster, motion, [F.col(score).desc(), F.col(motion).desc()], [F.col(cluster).asc()], group=[frame], keep=[score])
 
 
-def nearest_tracks(tracks: DataFrame, clusters: DataFrame, reach: float, *, track: str, cluster: str, frame: Sequence[str] = (), strict: bool = False, coords: Sequence[str] = XYZ) -> DataFrame:
-    """frame, track, cluster, d2: tracks in order take the nearest cluster within reach that is free (strict: below it)."""
-    near = pairs(tracks, clusters, reach, left_id=track, right_id=cluster, coords=coords, equal=frame)
-    near = near.where(F.col("d2") < reach * reach) if strict else near
-    named = near.withColumnRenamed(f"right_{cluster}", cluster) if track != cluster else near
+def nearest_tracks(tracks: DataFrame, clusters: DataFrame, reach: float, *, track: str, cluster: str, frame: Sequence[str] = (), strict: bool = False, coords: Sequence[str] = XYZ, most: int = ROWS_OF_A_TASK) -> DataFrame:
+    """frame, track, cluster, d2: tracks in order take the nearest cluster within reach that is free (strict: below it).
+
+    Frames of at most most tracks and clusters are settled in tasks, from the places and without pairs: a track looks through the clusters
+    that are near along the first axis. Larger ones are matched in rounds, over all their pairs within reach."""
     other = cluster if track != cluster else f"right_{cluster}"
-    return rounds_of_pairs(named, track, other, [F.col("d2").asc(), F.col(other).asc()], [F.col(track).asc()], group=list(frame), keep=["d2"])
+    a = tracks.select(*frame, track, *coords).dropna(subset=[*frame, track])
+    b = clusters.select(*frame, F.col(cluster).alias(other), *coords).dropna(subset=[*frame, other])
+    sizes = a.select(*frame, F.lit(1).alias("_n")).unionByName(b.select(*frame, F.lit(1).alias("_n"))).groupBy(*frame).agg(F.count("*").alias("_n"))
+    rows, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    small, matched = [a, b], None
+    if (largest or 0) > most:
+        big = saved(sizes.where(F.col("_n") > most), "frames").select(*frame)
+        kept = lambda df, how: df.join(big, list(frame), how) if frame else df if how == "left_semi" else df.limit(0)
+        near = pairs(kept(a, "left_semi"), kept(b, "left_semi"), reach, left_id=track, right_id=other, coords=coords, equal=frame)
+        near = near.where(F.col("d2") < reach * reach) if strict else near
+        matched = rounds_of_pairs(near.withColumnRenamed(f"right_{other}", other), track, other, [F.col("d2").asc(), F.col(other).asc()], [F.col(track).asc()], group=list(frame), keep=["d2"])
+        small = [kept(df, "left_anti") for df in small]
+    parts = max(PARTS, -(-(rows or 0) // most))
+
+    def settle(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        groups = (lambda df: df.groupby(list(frame), sort=False).indices) if frame else (lambda df: {(): np.arange(len(df))})
+        of_right, taken = groups(right), []
+        at_l, at_r = (df[list(coords)].to_numpy(float) for df in (left, right))
+        for key, l in groups(left).items():  # noqa: E741
+            if len(r := of_right.get(key, ())):
+                taken += [(l[i], r[j], d2) for i, j, d2 in nearest_in_order(left[track].to_numpy()[l], at_l[l], right[other].to_numpy()[r], at_r[r], reach, strict=strict)]
+        i, j, d2 = zip(*taken, strict=True) if taken else ((), (), ())
+        out = left.iloc[list(i)][[*frame, track]].reset_index(drop=True)
+        return out.assign(**{other: right[other].iloc[list(j)].to_numpy(), "d2": np.array(d2, float)})
+
+    part = F.pmod(F.xxhash64(*frame), F.lit(parts)) if frame else F.lit(0)
+    left, right = (df.withColumn("_part", part).repartition(parts, "_part").groupBy("_part") for df in small)
+    fields = [*a.select(*frame, track).schema.fields, b.schema[other], T.StructField("d2", T.DoubleType())]
+    settled = left.cogroup(right).applyInPandas(settle, T.StructType(fields))
+    return settled if matched is None else settled.unionByName(matched)
 
 
 def motion_states(observations: DataFrame, track: str, ts: str, moving: Column, settle: int) -> DataFrame:

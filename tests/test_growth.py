@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 
-from palimpsest.operators import association, gridjoin, masks, rays
+from palimpsest.operators import association, gridjoin, masks, rays, tracks
 from palimpsest.plans import scratch, track_queries
 
 
@@ -127,3 +127,26 @@ def test_a_matching_of_the_cheapest_rows_is_widened_until_it_is_the_cheapest(spa
         own = [x for x in got if x.g == g]
         assert len({x.a for x in own}) == len({x.b for x in own}) == len(own)
         assert math.isclose(sum(x.c - 1.5 for x in own), want, abs_tol=1e-9)
+
+
+def test_tracks_take_their_nearest_from_places_and_make_no_pairs(spark):
+    r = random.Random(21)
+    at = [(k, k % 3, *[round(r.random() * 2, 1) for _ in "xyz"]) for k in range(240)]  # many equal distances
+    a = spark.createDataFrame([*at[::2], (900, None, 0.0, 0.0, 0.0), (901, 1, None, 0.0, 0.0), (0, 0, 1.0, 1.0, 1.0)], "vid long, f int, x double, y double, z double")
+    b = spark.createDataFrame(at[1::2], "vid long, f int, x double, y double, z double").withColumnRenamed("vid", "cluster")
+    for strict in (False, True):
+        free, want = {v: row for v, *row in at[1::2]}, set()
+        for v in range(0, 240, 2):
+            mine = [row for row in (at[v], *([(0, 0, 1.0, 1.0, 1.0)] if v == 0 else [])) if row[0] == v]
+            near = [((x - p) ** 2 + (y - q) ** 2 + (z - s) ** 2, w) for _, f, x, y, z in mine for w, (g, p, q, s) in free.items() if f == g]
+            near = [n for n in near if n[0] < 0.6 * 0.6 or (n[0] == 0.6 * 0.6 and not strict)]
+            if near:
+                want.add((at[v][1], v, min(near)[1]))
+                free.pop(min(near)[1])
+        for most in (250_000, 60):  # settled in tasks, and in rounds
+            got = tracks.nearest_tracks(a, b, 0.6, track="vid", cluster="cluster", frame=["f"], strict=strict, most=most)
+            assert {(x["f"], x["vid"], x["cluster"]) for x in got.collect()} == want
+            assert most == 60 or "Join" not in _plan(got)
+    assert tracks.nearest_tracks(a.limit(0), b, 0.6, track="vid", cluster="cluster", frame=["f"]).collect() == []
+    (one,) = tracks.nearest_tracks(a.where("vid = 2"), b.where("cluster = 5"), 9.0, track="vid", cluster="cluster").collect()
+    assert (one["vid"], one["cluster"]) == (2, 5)
