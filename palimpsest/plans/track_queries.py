@@ -9,7 +9,7 @@ from ..functions import belief
 from ..operators import association, gridjoin, linkage, mesh, objects, rays, tracks, trajectory, voxels
 from .inputs import HOUR, OBSERVATIONS, STAYS, micros, observations, points, stays, table
 from .presence_queries import DAY
-from .scratch import dealt_by_rows
+from .scratch import ROWS_OF_A_TASK, dealt_by_rows
 from .space_queries import _AB, _D2, _RAYS, _SEEN, XYZ, _cell, _rays
 
 GAIN = 40.0
@@ -236,13 +236,13 @@ def segment_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complete_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.complete(points(spark, sf_dir), 0.12)
+    return linkage.complete(points(spark, sf_dir), 0.12, whole_labels=ROWS_OF_A_TASK)
 
 
 def canonical_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten points in a row are one track; label nine is one thing."""
     p = points(spark, sf_dir).withColumn("track", F.expr("vid div 10"))
-    centres = linkage.centres(p, 0.12, 4, singles=[9])
+    centres = linkage.centres(p, 0.12, 4, singles=[9], whole_labels=ROWS_OF_A_TASK)
     return linkage.identities(p, centres, 0.06, track="track")
 
 

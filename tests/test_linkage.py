@@ -1,6 +1,7 @@
 import random
 from statistics import median
 
+import numpy as np
 import pytest
 
 from palimpsest.operators import linkage
@@ -83,3 +84,23 @@ def test_nothing_and_nulls(spark):
     assert [tuple(r) for r in linkage.complete(df, 0.5).collect()] == [(1, 0, 1)]
     got = {r.vid: (r.canonical, r.how) for r in linkage.identities(df, linkage.centres(df, 0.5, 2), 0.3, track="track").collect()}
     assert got == {1: (1, "near"), 2: (1, "near"), 3: (None, "none")}
+
+
+def test_whole_labels_equal_one_after_the_other_and_make_no_pairs(spark, rows, monkeypatch):
+    want = {r[0]: min(m[0] for m in g) for g in one_after_the_other(rows, 0.5) for r in g}
+    monkeypatch.setattr(linkage, "pairs", None)  # of no use to labels that are settled whole
+    df = spark.createDataFrame([*rows, (90, None, 0.0, 0.0, 0.0, 1), (91, 1, None, 0.0, 0.0, 1)], SCHEMA)
+    assert {r.vid: r.cluster for r in linkage.complete(df, 0.5, whole_labels=100).collect()} == want
+    monkeypatch.undo()
+    assert {r.vid: r.cluster for r in linkage.complete(df, 0.5, whole_labels=20).collect()} == want  # some of them in rounds
+    assert linkage.complete(df.limit(0), 0.5, whole_labels=20).collect() == []
+
+
+@pytest.mark.parametrize("held", [0, 7, 2000])
+def test_linked_equals_one_after_the_other_at_ties(held, monkeypatch):
+    monkeypatch.setattr(linkage, "MATRIX", held)
+    r = random.Random(held)
+    for radius in (0.1, 0.31, 0.7):
+        places = sorted({tuple(round(r.gauss(0, 0.3), 1) for _ in "xyz") for _ in range(70)}, key=lambda _: r.random())
+        want = one_after_the_other([(k, 0, *p) for k, p in enumerate(places)], radius)
+        assert linkage.linked(np.array(places), radius).tolist() == [next(min(m[0] for m in g) for g in want if any(m[0] == k for m in g)) for k in range(len(places))]
