@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import plane_key, squared_distance
-from .gridjoin import LISTED, XYZ, cell, spread
+from ..plans.scratch import PARTS, saved
+from .gridjoin import DENSE, LISTED, XYZ, cell, spread
 
 
 def finite(c: Column) -> Column:
@@ -70,24 +74,68 @@ def transfer(source: DataFrame, target: DataFrame, *, pixel: Sequence[str], dept
 
 def nearest_poses(sparse: DataFrame, dense: DataFrame, reach: float, *, sparse_id: str, dense_id: str, forward: Sequence[str], run: str, turn: float = 0.25, coords: Sequence[str] = XYZ) -> DataFrame:
     """run, sparse_id, dense_id, score, monotone: the run's dense pose of least distance plus turn times the angle between the
-    views, of those within reach; monotone: later than that of the run's sparse pose before."""
+    views, of those within reach; monotone: later than that of the run's sparse pose before. Where poses are crowded, which is measured, shorter
+    reaches are tried first."""
     keys = ["cell", run]
-    a = sparse.select(sparse_id, run, *coords, *forward).withColumn("cell", cell(coords, reach))
+    own = sparse.select(sparse_id, run, *coords, *forward)
     at = dense.select(F.col(dense_id).alias("d"), run, *coords, *forward)
     crowd = at.groupBy(run, cell(coords, reach)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    lists = max(1, -(-crowd * 3 ** len(coords) // LISTED))
-    # the dense poses around a cell are lists there: a sparse one looks through them, pairs are not shuffled
-    listed = spread(at, coords, reach).groupBy(*keys, F.pmod(F.xxhash64("d"), F.lit(lists)).alias("_list")).agg(F.collect_list(F.struct("d", *coords, *forward)).alias("_near"))
-
-    def scored(p: Column) -> Column:
-        d2 = squared_distance([F.col(c) for c in coords], [p[c] for c in coords])
-        dot = sum((F.col(c) * p[c] for c in forward), F.lit(0.0))
-        score = F.sqrt(d2) + turn * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
-        return F.when(d2 <= reach * reach, F.struct(score.alias("s"), p["d"].alias("d")))
-
-    first = F.array_min(F.transform("_near", scored))  # null entries do not count
-    best = a.join(listed, keys).select(run, sparse_id, first.alias("_b")).where("_b is not null").groupBy(run, sparse_id).agg(F.min("_b").alias("_b"))
-    out = best.select(run, sparse_id, F.col("_b.d").alias(f"right_{dense_id}"), F.col("_b.s").alias("score"))
+    reaches = [(reach, crowd)]
+    while turn >= 0 and reaches[0][1] > DENSE and len(reaches) < 7:
+        reaches.insert(0, (reaches[0][0] / 2, reaches[0][1] // 4))
+
+    def scored(r: float) -> Callable[[Column], Column]:
+        def of(p: Column) -> Column:
+            d2 = squared_distance([F.col(c) for c in coords], [p[c] for c in coords])
+            dot = sum((F.col(c) * p[c] for c in forward), F.lit(0.0))
+            score = F.sqrt(d2) + turn * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
+            return F.when(d2 <= r * r, F.struct(score.alias("s"), p["d"].alias("d")))
+
+        return of
+
+    def looked_through(left: DataFrame, near: DataFrame, r: float) -> DataFrame:
+        """The same of crowded poses, a cell and list in a block of numbers."""
+        fields = T.StructType([*sparse.select(run, sparse_id).schema.fields, T.StructField("s", T.DoubleType()), T.StructField("d", dense.schema[dense_id].dataType)])
+
+        def least(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if a.empty or b.empty:
+                return a[[run, sparse_id]].iloc[:0].assign(s=0.0, d=0)
+            b = b.sort_values("d")  # the first of equal scores is the smaller one
+            (p, f), (q, g) = ([df[list(c)].to_numpy(float) for c in (coords, forward)] for df in (a, b))
+            s, k = np.full(len(a), np.inf), np.zeros(len(a), int)
+            step = max(1, 500_000 // len(b))
+            for i in range(0, len(a), step):
+                own = slice(i, i + step)
+                d2 = sum(((p[own, c, None] - q[:, c]) ** 2 for c in range(1, p.shape[1])), (p[own, 0, None] - q[:, 0]) ** 2)
+                dot = sum(f[own, c, None] * g[:, c] for c in range(f.shape[1]))
+                score = np.where(d2 <= r * r, np.sqrt(d2) + turn * np.arccos(np.fmax(-1.0, np.fmin(1.0, dot))), np.inf)
+                k[own] = score.argmin(axis=1)
+                s[own] = np.take_along_axis(score, k[own, None], axis=1)[:, 0]
+            found = np.isfinite(s)
+            return a.loc[found, [run, sparse_id]].assign(s=s[found], d=b["d"].to_numpy()[k[found]])
+
+        # columns of their own: both may come from one table
+        dealt = [df.dropna(subset=keys).toDF(*df.columns).repartition(PARTS, *keys, "_list").groupBy(*keys, "_list") for df in (left, near)]
+        return dealt[0].cogroup(dealt[1]).applyInPandas(least, fields).select(run, sparse_id, F.struct("s", "d").alias("_b"))
+
+    out = None
+    for r, most in reaches:
+        a = own.withColumn("cell", cell(coords, r))
+        lists = max(1, -(-most * 3 ** len(coords) // LISTED))
+        # the dense poses around a cell are lists there: a sparse one looks through them, pairs are not shuffled
+        near = spread(at, coords, r).withColumn("_list", F.pmod(F.xxhash64("d"), F.lit(lists)))
+        if len(reaches) > 1:
+            met = looked_through(a.withColumn("_list", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lists - 1).cast("long")))), near.join(a.select(*keys).distinct(), keys, "left_semi"), r)
+        else:
+            listed = near.groupBy(*keys, "_list").agg(F.collect_list(F.struct("d", *coords, *forward)).alias("_near"))
+            met = a.join(listed, keys).select(run, sparse_id, F.array_min(F.transform("_near", scored(r))).alias("_b")).where("_b is not null")  # null entries do not count
+        best = met.groupBy(run, sparse_id).agg(F.min("_b").alias("_b"))
+        found = best.select(run, sparse_id, F.col("_b.d").alias(f"right_{dense_id}"), F.col("_b.s").alias("score"))
+        if r < reach:
+            # whatever is farther scores more than its distance, so a score within this reach is the least
+            found = saved(found.where(F.col("score") < r), "poses")
+            own = own.join(found.select(run, sparse_id), [run, sparse_id], "left_anti")
+        out = found if out is None else out.unionByName(found)
     before = F.lag(f"right_{dense_id}").over(Window.partitionBy(run).orderBy(sparse_id))
     return out.withColumn("monotone", F.coalesce(F.col(f"right_{dense_id}") > before, F.lit(True)))
 

@@ -60,7 +60,8 @@ def nearest_tracks(tracks: DataFrame, clusters: DataFrame, reach: float, *, trac
         return out.assign(**{other: right[other].iloc[list(j)].to_numpy(), "d2": np.array(d2, float)})
 
     part = F.pmod(F.xxhash64(*frame), F.lit(parts)) if frame else F.lit(0)
-    left, right = (df.withColumn("_part", part).repartition(parts, "_part").groupBy("_part") for df in small)
+    # columns of their own: both may come from one table
+    left, right = (df.toDF(*df.columns).withColumn("_part", part).repartition(parts, "_part").groupBy("_part") for df in small)
     fields = [*a.select(*frame, track).schema.fields, b.schema[other], T.StructField("d2", T.DoubleType())]
     settled = left.cogroup(right).applyInPandas(settle, T.StructType(fields))
     return settled if matched is None else settled.unionByName(matched)

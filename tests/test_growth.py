@@ -150,3 +150,31 @@ def test_tracks_take_their_nearest_from_places_and_make_no_pairs(spark):
     assert tracks.nearest_tracks(a.limit(0), b, 0.6, track="vid", cluster="cluster", frame=["f"]).collect() == []
     (one,) = tracks.nearest_tracks(a.where("vid = 2"), b.where("cluster = 5"), 9.0, track="vid", cluster="cluster").collect()
     assert (one["vid"], one["cluster"]) == (2, 5)
+
+
+def test_crowded_poses_are_found_by_shorter_reaches_first(spark, monkeypatch):
+    r = random.Random(13)
+    turned = lambda: (lambda v: [c / math.sqrt(sum(x * x for x in v)) for c in v])([r.gauss(0, 1) for _ in "xyz"])
+    at = [(k, k % 2, *[round(r.gauss(0, 0.2), 2) for _ in "xyz"], *turned()) for k in range(400)]
+    p = spark.createDataFrame(at, "vid long, run long, x double, y double, z double, fx double, fy double, fz double")
+    a, b, want = at[:200], at[200:], {}
+    for vid, run, *v in a:
+        near = []
+        for w, other, *u in b:
+            d2 = sum((s - t) * (s - t) for s, t in zip(v[:3], u[:3], strict=True))
+            if other == run and d2 <= 0.5 * 0.5:
+                near.append((math.sqrt(d2) + 0.25 * math.acos(max(-1.0, min(1.0, sum(s * t for s, t in zip(v[3:], u[3:], strict=True))))), w))
+        if near:
+            want[vid] = min(near)[1]
+    tried, listed = [], masks.spread
+    monkeypatch.setattr(masks, "spread", lambda df, c, reach: tried.append(reach) or listed(df, c, reach))
+    monkeypatch.setattr(masks, "DENSE", 1)
+    got = masks.nearest_poses(p.where("vid < 200"), p.where("vid >= 200"), 0.5, sparse_id="vid", dense_id="vid", forward=["fx", "fy", "fz"], run="run")
+    assert {x["vid"]: x["right_vid"] for x in got.collect()} == want
+    assert len(tried) > 2 and tried[-1] == 0.5 and tried == sorted(tried)
+
+
+def test_tracks_and_clusters_may_be_of_one_table(spark):
+    p = spark.createDataFrame([(k, 0.1 * k, 0.0, 0.0) for k in range(4)], "vid long, x double, y double, z double")
+    got = tracks.nearest_tracks(p, p.where("vid > 1"), 5.0, track="vid", cluster="vid")
+    assert {(r["vid"], r["right_vid"]) for r in got.collect()} == {(0, 2), (1, 3)}
