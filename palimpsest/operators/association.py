@@ -31,9 +31,11 @@ def by_centroid(left: DataFrame, right: DataFrame, radius: float, *, left_id: st
     return left.select(left_id).join(nearest(left, right, radius, left_id=left_id, right_id=right_id, coords=coords, equal=equal), left_id, "left")
 
 
-def by_box_iou(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, size: float, least: float = 0.0, equal: Sequence[str] = ()) -> DataFrame:
+def by_box_iou(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, size: float, least: float = 0.0, equal: Sequence[str] = (), keep: Sequence[str] = (), where: Column | None = None, deals: int = 1) -> DataFrame:
     """left_id, right_<right_id>, iou for boxes (x0..z1) that overlap by at least so much; boxes meet in the grid cells of the
-    first corner of their intersection, so that each pair meets once."""
+    first corner of their intersection, so that each pair meets once. keep are columns of both sides (right_<column> of the right one), of
+    which where is asked as pairs meet. The right boxes of a crowded cell are dealt over so many places, where the left ones all come."""
+    from ..plans.scratch import PARTS
     from ..functions.geometry import pack_voxel, voxel
 
     low, high = [[f"{c}{k}" for c in "xyz"] for k in (0, 1)]
@@ -43,9 +45,16 @@ def by_box_iou(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str
             df = df.withColumn(f"_{c}", F.explode(F.sequence(voxel(F.col(a), size), voxel(F.col(b), size))))
         return df.withColumn("cell", pack_voxel(F.col("_i"), F.col("_j"), F.col("_k")))
 
-    a = dealt(left.select(left_id, *equal, *low, *high))
-    b = dealt(right.select(right_id, *equal, *low, *high)).select(F.col(right_id).alias(f"right_{right_id}"), *equal, *[F.col(c).alias(f"r_{c}") for c in (*low, *high)], "cell")
-    met = a.join(b, ["cell", *equal])
+    a = dealt(left.select(left_id, *equal, *keep, *low, *high))
+    b = dealt(right.select(right_id, *equal, *keep, *low, *high))
+    b = b.select(F.col(right_id).alias(f"right_{right_id}"), *equal, *[F.col(c).alias(f"right_{c}") for c in keep], *[F.col(c).alias(f"r_{c}") for c in (*low, *high)], "cell")
+    keys = ["cell", *equal]
+    if deals > 1:
+        keys.append("_deal")
+        a = a.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long")))).repartition(PARTS * 4, *keys)
+        b = b.withColumn("_deal", F.pmod(F.xxhash64(f"right_{right_id}"), F.lit(deals))).repartition(PARTS * 4, *keys)
+    met = a.join(b, keys)
+    met = met if where is None else met.where(where)
     for c, n in zip(low, "ijk", strict=True):
         met = met.where(F.col(f"_{n}") == voxel(F.greatest(F.col(c), F.col(f"r_{c}")), size))
     iou = box_iou([F.col(c) for c in low], [F.col(c) for c in high], [F.col(f"r_{c}") for c in low], [F.col(f"r_{c}") for c in high])

@@ -103,13 +103,17 @@ def stable_voxels(points: DataFrame, frame: str, size: float, least: int, coords
     return seen.where(F.col("frames") >= least)
 
 
+#: Boxes of one deal of a crowded cell.
+DEALT = 4000
+
+
 def proposals(boxes: DataFrame, *, node: str, label: str, size: float, least: float, first: str = "first", last: str = "last") -> DataFrame:
     """from_node, to_node, iou: boxes of one label that overlap by at least so much and were never seen at one time."""
-    met = by_box_iou(boxes, boxes, left_id=node, right_id=node, size=size, least=least, equal=[label]).where(F.col(node) < F.col(f"right_{node}"))
-    times = boxes.select(F.col(node).alias("_n"), F.col(first).alias("_f"), F.col(last).alias("_l"))
-    a, b = times.select(F.col("_n").alias(node), F.col("_f").alias("f1"), F.col("_l").alias("l1")), times.select(F.col("_n").alias(f"right_{node}"), F.col("_f").alias("f2"), F.col("_l").alias("l2"))
-    apart = (F.col("l1") < F.col("f2")) | (F.col("l2") < F.col("f1"))
-    return met.join(a, node).join(b, f"right_{node}").where(apart).select(F.col(f"right_{node}").alias("from_node"), F.col(node).alias("to_node"), "iou")
+    apart = (F.col(last) < F.col(f"right_{first}")) | (F.col(f"right_{last}") < F.col(first))
+    deals = -(-boxes.count() // DEALT)
+    # times come along with the boxes, so that pairs are judged where they meet and never shuffled
+    met = by_box_iou(boxes, boxes, left_id=node, right_id=node, size=size, least=least, equal=[label], keep=[first, last], where=(F.col(node) < F.col(f"right_{node}")) & apart, deals=deals)
+    return met.select(F.col(f"right_{node}").alias("from_node"), F.col(node).alias("to_node"), "iou")
 
 
 def pixel_iou(a: DataFrame, b: DataFrame, pixel: Sequence[str], left: str, right: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 
-from palimpsest.operators import association, gridjoin, masks, rays, tracks
+from palimpsest.operators import association, clusters, gridjoin, masks, rays, tracks
 from palimpsest.plans import scratch, track_queries
 
 
@@ -178,3 +178,22 @@ def test_tracks_and_clusters_may_be_of_one_table(spark):
     p = spark.createDataFrame([(k, 0.1 * k, 0.0, 0.0) for k in range(4)], "vid long, x double, y double, z double")
     got = tracks.nearest_tracks(p, p.where("vid > 1"), 5.0, track="vid", cluster="vid")
     assert {(r["vid"], r["right_vid"]) for r in got.collect()} == {(0, 2), (1, 3)}
+
+
+def test_merge_proposals_are_judged_where_boxes_meet(spark, monkeypatch):
+    r = random.Random(17)
+    at = [(k, k % 2, k * 5, k * 5 + r.randint(0, 40), *[round(r.random(), 2) for _ in "xyz"]) for k in range(60)]
+    boxes = spark.createDataFrame([(*row, *[round(c + 0.1 + r.random() * 0.8, 2) for c in row[4:]]) for row in at], "node long, label long, first long, last long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    rows, want = boxes.collect(), set()
+    for p in rows:
+        for q in rows:
+            if p["node"] < q["node"] and p["label"] == q["label"] and (p["last"] < q["first"] or q["last"] < p["first"]):
+                common = math.prod(max(min(p[f"{c}1"], q[f"{c}1"]) - max(p[f"{c}0"], q[f"{c}0"]), 0.0) for c in "xyz")
+                both = sum(math.prod(b[f"{c}1"] - b[f"{c}0"] for c in "xyz") for b in (p, q)) - common
+                if common / both >= 0.1:
+                    want.add((q["node"], p["node"], round(common / both, 9)))
+    for dealt in (4000, 7):
+        monkeypatch.setattr(clusters, "DEALT", dealt)
+        got = clusters.proposals(boxes, node="node", label="label", size=0.5, least=0.1)
+        assert sorted((x["from_node"], x["to_node"], round(x["iou"], 9)) for x in got.collect()) == sorted(want)
+        assert _plan(got).count("Join ") == 1
