@@ -5,11 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import pack_voxel, voxel
-from .gridjoin import XYZ, pairs
+from ..plans.scratch import PARTS
+from .gridjoin import LISTED, XYZ, cell, spread
 
 
 def signed_cells(points: DataFrame, size: float, truncation: float, *, normal: Sequence[Column], least: int = 1, coords: Sequence[str] = XYZ) -> DataFrame:
@@ -29,11 +33,44 @@ def signed_cells(points: DataFrame, size: float, truncation: float, *, normal: S
 
 
 def neighbourhoods(points: DataFrame, radius: float, *, vid: str = "vid", coords: Sequence[str] = XYZ) -> DataFrame:
-    """vid, n, and the six covariances (xx, xy, ..) of the points within the radius, the point itself among them."""
-    near = pairs(points, points, radius, left_id=vid, right_id=vid, coords=coords)
-    met = near.select(vid, F.col(f"right_{vid}").alias("_o")).join(points.select(F.col(vid).alias("_o"), *coords), "_o")
-    two = [(a, b) for k, a in enumerate(coords) for b in coords[k:]]
-    return met.groupBy(vid).agg(F.count("*").alias("n"), *[F.covar_pop(a, b).alias(f"{a}{b}") for a, b in two])
+    """vid, n, and the six covariances (xx, xy, ..) of the points within the radius, the point itself among them.
+
+    The points around a cell come to it in lists, where the moments of those that are near are summed about the cell's middle: a point
+    is returned once a list and pairs are not made."""
+    two = [(a, b) for k, a in enumerate(range(len(coords))) for b in range(len(coords))[k:]]
+    own = points.select(F.col(vid).alias("_v"), *[F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate(coords)])
+    axes = [f"_{k}" for k in range(len(coords))]
+    own = own.dropna(subset=["_v", *axes])
+    crowd = own.groupBy(cell(axes, radius)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    lists = max(1, -(-crowd * 3 ** len(coords) // LISTED))
+    own = own.withColumn("cell", cell(axes, radius))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lists - 1).cast("long")))
+    around = spread(own.drop("cell"), axes, radius).withColumn("_list", F.pmod(F.xxhash64("_v"), F.lit(lists)))
+    sums = ["_n", *[f"_s{k}" for k in range(len(coords))], *[f"_m{k}" for k in range(len(two))]]
+
+    def moments(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return left[["_v", *axes]].iloc[:0].assign(**{c: 0.0 for c in sums})
+        p, q = left[axes].to_numpy(float), right[axes].to_numpy(float)
+        middle = (np.floor(p[0] / radius) + 0.5) * radius  # the same in each list of the cell
+        away = q - middle
+        held = np.column_stack([np.ones(len(q)), away, *[away[:, a] * away[:, b] for a, b in two]])
+        out, step = np.empty((len(p), held.shape[1])), max(1, 500_000 // len(q))
+        for i in range(0, len(p), step):
+            d2 = (p[i : i + step, 0, None] - q[:, 0]) ** 2
+            for c in range(1, p.shape[1]):
+                d2 += (p[i : i + step, c, None] - q[:, c]) ** 2
+            out[i : i + step] = (d2 <= radius * radius).astype(float) @ held
+        return left[["_v", *axes]].assign(**dict(zip(sums, out.T, strict=True)))
+
+    fields = T.StructType([*own.select("_v", *axes).schema.fields, *[T.StructField(c, T.DoubleType()) for c in sums]])
+    # columns of their own: both sides are of one table
+    a, b = (df.toDF(*df.columns).repartition(PARTS, "cell", "_list").groupBy("cell", "_list") for df in (own.withColumn("_list", every), around))
+    met = a.cogroup(b).applyInPandas(moments, fields)
+    total = met.groupBy("_v", *axes).agg(*[F.sum(c).alias(c) for c in sums])
+    n = F.col("_n")
+    covariances = [((F.col(f"_m{k}") - F.col(f"_s{a}") * F.col(f"_s{b}") / n) / n).alias(f"{coords[a]}{coords[b]}") for k, (a, b) in enumerate(two)]
+    return total.select(F.col("_v").alias(vid), n.cast("long").alias("n"), *covariances)
 
 
 def normals(spread: DataFrame, keys: Sequence[str], coords: Sequence[str] = XYZ) -> DataFrame:

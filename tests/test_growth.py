@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 
-from palimpsest.operators import association, clusters, gridjoin, masks, rays, tracks
+from palimpsest.operators import association, clusters, gridjoin, masks, rays, surfaces, tracks
 from palimpsest.plans import scratch, track_queries
 
 
@@ -197,3 +197,21 @@ def test_merge_proposals_are_judged_where_boxes_meet(spark, monkeypatch):
         got = clusters.proposals(boxes, node="node", label="label", size=0.5, least=0.1)
         assert sorted((x["from_node"], x["to_node"], round(x["iou"], 9)) for x in got.collect()) == sorted(want)
         assert _plan(got).count("Join ") == 1
+
+
+def test_neighbourhoods_are_summed_without_pairs(spark, monkeypatch):
+    r = random.Random(19)
+    at = [(k, *[round(r.gauss(0, 0.3), 2) for _ in "xyz"]) for k in range(150)]
+    p = spark.createDataFrame([*at, (900, None, 0.0, 0.0)], "vid long, x double, y double, z double")
+    for listed in (8192, 40):
+        monkeypatch.setattr(surfaces, "LISTED", listed)
+        got = surfaces.neighbourhoods(p, 0.4)
+        assert "Join" not in _plan(got)
+        rows = {x["vid"]: x for x in got.collect()}
+        assert set(rows) == set(range(150))
+        for v, *a in at:
+            near = [b for _, *b in at if sum((s - t) * (s - t) for s, t in zip(a, b, strict=True)) <= 0.4 * 0.4]
+            mean = [sum(b[k] for b in near) / len(near) for k in range(3)]
+            assert rows[v]["n"] == len(near)
+            assert math.isclose(rows[v]["xz"], sum((b[0] - mean[0]) * (b[2] - mean[2]) for b in near) / len(near), abs_tol=1e-12)
+            assert math.isclose(rows[v]["yy"], sum((b[1] - mean[1]) ** 2 for b in near) / len(near), abs_tol=1e-12)
