@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import pack_voxel, voxel
-from ..plans.scratch import PARTS
-from .gridjoin import LISTED, XYZ, cell, spread
+from ..plans.scratch import PARTS, ROWS_OF_A_TASK
+from .gridjoin import XYZ, cell, spread
+
+#: Points of one list, of which a task holds the moments.
+HELD = ROWS_OF_A_TASK
 
 
 def signed_cells(points: DataFrame, size: float, truncation: float, *, normal: Sequence[Column], least: int = 1, coords: Sequence[str] = XYZ) -> DataFrame:
@@ -42,7 +45,7 @@ def neighbourhoods(points: DataFrame, radius: float, *, vid: str = "vid", coords
     axes = [f"_{k}" for k in range(len(coords))]
     own = own.dropna(subset=["_v", *axes])
     crowd = own.groupBy(cell(axes, radius)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    lists = max(1, -(-crowd * 3 ** len(coords) // LISTED))
+    lists = max(1, -(-crowd * 3 ** len(coords) // HELD))
     own = own.withColumn("cell", cell(axes, radius))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lists - 1).cast("long")))
     around = spread(own.drop("cell"), axes, radius).withColumn("_list", F.pmod(F.xxhash64("_v"), F.lit(lists)))

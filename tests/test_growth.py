@@ -204,7 +204,7 @@ def test_neighbourhoods_are_summed_without_pairs(spark, monkeypatch):
     at = [(k, *[round(r.gauss(0, 0.3), 2) for _ in "xyz"]) for k in range(150)]
     p = spark.createDataFrame([*at, (900, None, 0.0, 0.0)], "vid long, x double, y double, z double")
     for listed in (8192, 40):
-        monkeypatch.setattr(surfaces, "LISTED", listed)
+        monkeypatch.setattr(surfaces, "HELD", listed)
         got = surfaces.neighbourhoods(p, 0.4)
         assert "Join" not in _plan(got)
         rows = {x["vid"]: x for x in got.collect()}
